@@ -25,7 +25,35 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, in_training, learn
+    from .shared import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(spark, docs, learn(spark, docs.where(in_training())))
+    return found.withColumnRenamed("id", "doc_id").withColumn("held_out", crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+def op7_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import learn, scan
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan(spark, docs, learn(spark, docs))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op6_pack_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op6_pack_configurations": op6_pack_configurations,
+    "op7_secret_formats": op7_secret_formats,
+    "op9_language_mixture": op9_language_mixture,
     "op10_simhash_tiles": op10_simhash_tiles,
 }
