@@ -50,8 +50,28 @@ def op6_pack_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learn, scored
+    from .shared import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(spark, docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    found = scored(spark, docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+    from .shared import crc_mod
+
+    found = score(spark, table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality_network": op2_quality_network,
+    "op3_backoff_automaton": op3_backoff_automaton,
     "op6_pack_configurations": op6_pack_configurations,
     "op7_secret_formats": op7_secret_formats,
     "op9_language_mixture": op9_language_mixture,
