@@ -68,10 +68,24 @@ def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated
+
+    return repeated(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_network": op2_quality_network,
     "op3_backoff_automaton": op3_backoff_automaton,
+    "op4_anisotropic_search": op4_anisotropic_search,
+    "op5_substring_chunks": op5_substring_chunks,
     "op6_pack_configurations": op6_pack_configurations,
     "op7_secret_formats": op7_secret_formats,
     "op9_language_mixture": op9_language_mixture,

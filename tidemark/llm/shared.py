@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key is heavy if it has more than one in HEAVY_SHARE of all rows; so at most HEAVY_SHARE keys are.
 HEAVY_SHARE = 1000
+#: Parts that the rows of a heavy key are dealt into.
+SALTS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,19 +45,19 @@ class Tables:
 
 
 def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
-    """Join left to right, which has one row a key, without sending a hot key to one task.
+    """Join left to right, which has one row a key, without sending a hot key to one task; left is read once.
 
     ``weight`` is right's column with the number of left's rows of that key and
     ``total`` is their sum.  Keys over ``total / HEAVY_SHARE`` are at most
-    HEAVY_SHARE, whatever the data, so they are broadcast; the others shuffle.
+    HEAVY_SHARE, whatever the data, so their list is broadcast: rows of these
+    keys are salted by a hash of the row and right's rows repeated for each salt.
     """
     limit = max(1, total // HEAVY_SHARE)
-    heavy = right.where(F.col(weight) > limit).drop(weight).withColumn("_heavy", F.lit(True))
-    light = right.where(F.col(weight) <= limit).drop(weight)
-    keys = heavy.select(F.col(key).alias("_k"), "_heavy")
-    of_heavy = left.join(F.broadcast(heavy.drop("_heavy")), key, "inner")
-    rest = left.join(F.broadcast(keys), F.col(key) == F.col("_k"), "left_anti")
-    return of_heavy.unionByName(rest.join(light, key, how), allowMissingColumns=True)
+    heavy = F.broadcast(right.where(F.col(weight) > limit).select(F.col(key).alias("_heavy")))
+    salt = F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", salt).drop("_heavy")
+    repeated = right.withColumn("_salt", F.explode(F.when(F.col(weight) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(weight)
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def crc_mod(column: str, by: int) -> Column:

@@ -124,8 +124,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_
     roots = components(spark, links, tables)
     placed = tables.save(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_g"))
-    named = heavy_join(placed.select("fp", "_w", "root"), least, "root", "_g", distinct.count())
-    return heavy_join(each, named.select("fp", "_w", "component_id"), "fp", "_w", total).select("id", "fp", "component_id")
+    named = tables.save(heavy_join(placed.select("fp", "_w", "root"), least, "root", "_g", distinct.count()).select("fp", "_w", "component_id"), "named")
+    return heavy_join(each, named, "fp", "_w", total).select("id", "fp", "component_id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
