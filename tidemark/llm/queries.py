@@ -80,6 +80,12 @@ def op5_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_network": op2_quality_network,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_chunks": op5_substring_chunks,
     "op6_pack_configurations": op6_pack_configurations,
     "op7_secret_formats": op7_secret_formats,
+    "op8_subspace_pigeonhole": op8_subspace_pigeonhole,
     "op9_language_mixture": op9_language_mixture,
     "op10_simhash_tiles": op10_simhash_tiles,
 }
