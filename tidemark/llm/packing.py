@@ -27,7 +27,9 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections import defaultdict
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,15 @@ from .shared import Tables, map_arrow
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+#: Marks that the tokenizer splits from a letter or digit before them, whatever follows; no apostrophe, which may begin an ending.
+MARKS = b'!"#$%&()*+,-./:;<=>?@[]^_`{|}~\\'
 #: Pieces that a rank bucket holds, about.
 RANKED = 20_000
 #: Only configurations with at most so much room are rounded up; the others' pieces are left over.
 SLACK = 0
+#: Byte-level letters: printable Latin-1 characters stand for their bytes, those from U+0100 on for the others in turn.
+BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 _workers: dict = {}
 
 
@@ -55,6 +61,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self.ids: dict[bytes, bytes] = {}
 
     def split(self, text: str | None) -> list[bytes]:
@@ -63,17 +70,38 @@ class Words:
             raw = raw.lower()
         return raw.split()
 
+    def _add(self, words: list[bytes]) -> None:
+        slow = []
+        for word in words:
+            text = word.decode("utf-8")
+            # normalised lower-case Latin letters are one unit of the model: nothing before it would change them
+            if text.isalpha() and max(text) < "\u0250" and text.islower() and is_normalized("NFC", text):
+                self.ids[word] = array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+            else:
+                slow.append((word, text))
+        for at in range(0, len(slow), 20_000):
+            some = slow[at : at + 20_000]
+            for (word, _), found in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                self.ids[word] = array("I", found.ids).tobytes()
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, with ``end`` at the end."""
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
         parts = [self.split(t) for t in texts]
-        new = list({w for words in parts for w in words if w not in self.ids})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                self.ids[word] = np.array(found.ids, "<u4").tobytes()
-        of, close = self.ids.__getitem__, int(end).to_bytes(4, "little")
+        known = self.ids
+        whole, joined = [], []
+        for word in set().union(*parts).difference(known):
+            core = word.rstrip(MARKS)
+            if core and len(core) < len(word) and b"<|" not in word and core.decode("utf-8").lower()[-1].isalnum():
+                joined.append((word, core, word[len(core) :]))
+            else:
+                whole.append(word)
+        # a word that ends in marks has the ids of the word before them, then those of the marks
+        self._add(list({*whole, *(x for _, *two in joined for x in two)}.difference(known)))
+        for word, core, marks in joined:
+            known[word] = known[core] + known[marks]
+        of, close = known.__getitem__, int(end).to_bytes(4, "little")
         return [b"".join(map(of, words)) + close for words in parts]
 
 
@@ -237,7 +265,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACI
     offsets = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     offsets = tables.save(offsets, "offsets")
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "bucket"])
+    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(offsets.hint("merge"), ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
