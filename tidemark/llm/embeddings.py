@@ -129,7 +129,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     total = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     joined = heavy_join(marked.where("able").select("id", "node"), named, "node", "copies", total).select("id", "n_links", "component_id")
     alone = marked.where("not able").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return joined.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def _join(tables: Tables, classes: DataFrame, width: int, cosine: float) -> DataFrame:

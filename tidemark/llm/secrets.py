@@ -35,6 +35,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words of at least this many characters are candidates.
 LEAST = 12
 WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
+NUMBER = frozenset("0123456789.-+")
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Bounds of what is learned from: documents (a share by hash) and examples a kind.
 SAMPLE_DOCUMENTS, EXAMPLES = 20_000, 400
@@ -164,6 +165,11 @@ class Format:
         return total
 
 
+def at_least(word: str) -> float:
+    """What any word has: that of its characters at random, digits and their marks apart, however few examples of words there are."""
+    return -len(word) * log(11 if set(word) <= NUMBER else 66) - 3.0
+
+
 class Formats:
     """The formats by kind, and that of ordinary words."""
 
@@ -179,7 +185,7 @@ class Formats:
             if len(self.seen) > 100_000:
                 self.seen.clear()
             best = max(((f.score(word), k) for k, f in self.by_kind.items()), default=(0.0, None))
-            gain = best[0] - max(f.score(word) for f in self.words)
+            gain = best[0] - max(at_least(word), *(f.score(word) for f in self.words))
             self.seen[word] = best[1] if best[1] and gain >= max(MARGIN, MARGIN_EACH * len(word)) else None
         return self.seen[word]
 
