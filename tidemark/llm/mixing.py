@@ -35,10 +35,10 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_of(*columns: str) -> Column:
-    """60 bits; a null differs from every text."""
-    parts = [p for c in columns for p in (F.col(c).isNull(), F.col(c))]
-    return F.shiftrightunsigned(F.xxhash64(*parts), 64 - HASH_BITS)
+def hash_of(docs: DataFrame, *columns: str) -> Column:
+    """The leading 60 bits of the MD5 of these columns as text, joined by a bar; a null is a tilde."""
+    text = F.concat_ws("|", *[F.coalesce(docs[c].cast("string"), F.lit("~")) for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h")
 
 
 def shared_out(sizes: DataFrame, total: float, most: float, weights: tuple[int, ...]) -> DataFrame:
@@ -114,18 +114,13 @@ def thresholds(sized: DataFrame, targets: DataFrame, tables: Tables, total: int)
 def plan(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> tuple[DataFrame, DataFrame]:
     """(sized, rule): sized has id, source, size, h a document; rule has source, n, source_size, target, copies, below a source."""
     tables = Tables(spark, "mixing")
-    sized = tables.save(docs.select(docs[id_column].alias("id"), docs[source_column].alias("source"), words_in(docs[text_column]).alias("size"), _hash(docs, id_column, text_column, source_column)), "sized")
+    sized = tables.save(docs.select(docs[id_column].alias("id"), docs[source_column].alias("source"), words_in(docs[text_column]).alias("size"), hash_of(docs, id_column, source_column, text_column)), "sized")
     sizes = tables.save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sizes")
     n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rule = thresholds(sized, shared_out(sizes, total, most, weights), tables, n)
     return sized, rule
 
 
-def _hash(docs: DataFrame, *columns: str) -> Column:
-    parts = [p for c in columns for p in (docs[c].isNull(), docs[c])]
-    return F.shiftrightunsigned(F.xxhash64(*parts), 64 - HASH_BITS).alias("h")
-
-
 def times() -> Column:
     """How often the mix takes a document, from the rule's columns beside its own; without words it is taken no time."""
     return F.when(F.col("size") > 0, F.col("copies") + (F.col("h") < F.col("below")).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -143,7 +138,7 @@ def repeat(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text
     _, rule = plan(spark, docs, id_column, text_column, source_column, **options)
     total = rule.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kept = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    hashed = docs.select(kept, docs[source_column].alias("source"), words_in(docs[text_column]).alias("size"), _hash(docs, id_column, text_column, source_column))
+    hashed = docs.select(kept, docs[source_column].alias("source"), words_in(docs[text_column]).alias("size"), hash_of(docs, id_column, source_column, text_column))
     ruled = by_source(hashed, rule.select("source", "n", "copies", "below"), total)
     often = F.when(F.col("size") > 0, times()).otherwise(F.lit(1).cast("long")).cast("int")
     return ruled.select("_row", F.explode(F.array_repeat(F.lit(0), often))).select("_row.*")

@@ -98,3 +98,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_mixture": op9_language_mixture,
     "op10_simhash_tiles": op10_simhash_tiles,
 }
+
+#: DuckDB SQL for the queries that it can express on whole tables.
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, '~'), coalesce(source, '~'), coalesce(text, '~'))), 1, 15))::BIGINT AS h
+    FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+r AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+        sum(weight) OVER () - sum(weight) OVER o + weight AS w_left,
+        coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS stopped
+    FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+l AS (SELECT arg_min((budget - stopped) / w_left, source_size / weight) AS level FROM r WHERE (budget - stopped) / w_left * weight <= 2 * source_size),
+t AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM l), 'inf'::DOUBLE) * weight) ELSE 0 END AS target FROM r),
+e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, target - copies * source_size AS want, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY source, h) AS own FROM e),
+n AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE copies + (upto < want OR (upto - own < want AND 2 * (want - (upto - own)) > own))::BIGINT END AS times FROM c)
+SELECT doc_id, source, size, source_size, target, times, (size * times)::BIGINT AS taken FROM n""",
+    "op8_subspace_pigeonhole": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AND isfinite(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))),
+links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+}
