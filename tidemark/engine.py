@@ -128,6 +128,8 @@ class Engine:
         self._lock = threading.RLock()
         self._sources = 0
         self._cleaned: dict[str, int] = {}
+        self._wrote: dict[str, set[str]] = {}
+        self._rows: dict[str, tuple[DataFrame, int]] = {}
         self.counters = {"settles": 0, "generations": 0, "waves": 0, "commits": 0}
         for s in self.systems:
             self._register(s)
@@ -294,7 +296,10 @@ class Engine:
             if c.target and despawned is not None:  # edges at removed targets go too
                 at = w.table(name).withColumn("_at", c.target_of(F.col("value")))
                 lost.append(at.join(despawned.withColumnRenamed("entity", "_e"), F.col("_at") == F.col("_e"), "left_semi").select("entity"))
-            if self._write(name, new.get(name), swept.get(name), reduce(DataFrame.union, lost) if lost else None, rev):
+            leaving = reduce(DataFrame.union, lost) if lost else None
+            if name not in new and name not in swept and w.table(name).join(leaving, "entity", "left_semi").isEmpty():
+                continue
+            if self._write(name, new.get(name), swept.get(name), leaving, rev):
                 changed[name] = w.table(name)
         for name, before in changed.items():
             if self.registry[name].target:
@@ -327,13 +332,16 @@ class Engine:
         fresh = diff.one_writer(new) if new is not None else empty
         table = self.storage.save(diff.apply(old, fresh, c.fingerprint, rev, swept, gone))
         now = table.agg(F.count("*").alias("n"), F.count_if(F.col("_rev") == rev).alias("changed"), F.count_if(F.col("_born") == rev).alias("born")).first()
-        lost = old.count() + now.born - now.n if (swept is not None or gone is not None) else 0
+        rows = self._rows.get(name)
+        was = rows[1] if rows and rows[0] is old else old.count() if name in self.world.tables or name in self.world.fused else 0
+        lost = was + now.born - now.n
         if not now.changed and not lost:
             return False
         if c.on_insert and now.changed:
             c.on_insert(table.where(F.col("_rev") == rev))
         if c.on_remove and lost:
             c.on_remove(old.join(table, "entity", "left_anti"))
+        self._rows[name] = (table, now.n)
         self.world = self.world.with_table(name, table, rev, bool(lost))
         return True
 
@@ -370,13 +378,13 @@ class Engine:
         if orphans:
             owners = reduce(DataFrame.union, orphans)
             spawned = self._owned_entities(owners)
-            self._commit({}, {n: owners for n in [*self.world.tables] if not isinstance(self.registry[n], Inverse)}, {}, None)
+            self._commit({}, {n: owners for n in [*self.world.tables] if self._wrote.get(n)}, {}, None)
             if spawned is not None and not spawned.isEmpty():
                 self._retire(spawned, external)
 
     def _owned_entities(self, owners: DataFrame) -> DataFrame | None:
         """Entities that rules of ``owners`` spawned: negative, and owned."""
-        found = [self.world.tables[n].join(owners, ["_owner", "_keys"], "left_semi").where("entity < 0").select("entity") for n in self.world.tables if not isinstance(self.registry[n], Inverse)]
+        found = [self.world.tables[n].join(owners, ["_owner", "_keys"], "left_semi").where("entity < 0").select("entity") for n in self.world.tables if self._wrote.get(n)]
         return self.storage.save(reduce(DataFrame.union, found).distinct()) if found else None
 
     # -- planning --------------------------------------------------------
@@ -464,8 +472,8 @@ class Engine:
         keys = F.array(*[F.col(f"`p{i}.entity`") for i in range(len(params))])
         return rows.withColumns({"_keys": keys, "_deps": F.array(*deps).cast("array<long>") if deps else F.array().cast("array<long>")})
 
-    def _todo(self, s: System) -> DataFrame | None:
-        """The invocations that must run, saved; None if there are none."""
+    def _todo(self, s: System) -> tuple[DataFrame, int] | None:
+        """The invocations that must run, saved, and their number; None if there are none."""
         st, w = self.state[s.name], self.world
         interest = self._interest(s)
         high = max((w.watermark.get(c, -1) for c in interest), default=-1)
@@ -482,7 +490,8 @@ class Engine:
         todo = self.storage.save(rows)
         st.planned, st.stale = self.revision, False
         st.plan_s += time.time() - began
-        return None if todo.isEmpty() else todo
+        n = todo.count()
+        return (todo, n) if n else None
 
     # -- settling --------------------------------------------------------
 
@@ -555,10 +564,10 @@ class Engine:
         while True:
             batch = []
             for s in (s for s in self.systems if s.phase == phase):
-                todo = self._todo(s)
-                if todo is None:
+                found = self._todo(s)
+                if found is None:
                     continue
-                n = todo.count()
+                todo, n = found
                 committed += n
                 if self.commit_limit is not None and committed > self.commit_limit:
                     raise FactError(f"commit limit exceeded: {committed} invocations, {self.commit_limit} allowed")
@@ -622,13 +631,16 @@ class Engine:
                 seen = todo.select("_keys", "_deps")
                 st.memo = self.storage.save(seen if st.memo is None else st.memo.join(seen.select("_keys"), st.memo["_keys"].eqNullSafe(seen["_keys"]), "left_anti").unionByName(seen))
         owners = {s.name for s, t, _ in batch if t is not None}
+        for s, _, outputs in batch:
+            for c in (c for o in outputs for c in ([o.component] if isinstance(o, Write) else o.components if isinstance(o, Spawn) else [])):
+                self._wrote.setdefault(c, set()).add(s.name)
+        for s, c, _ in anchored:
+            self._wrote.setdefault(c, set()).add(s.name)
         ran = self.storage.save(reduce(DataFrame.union, swept)) if swept else None
         over: dict[str, DataFrame] = {}
         if ran is not None:
-            for name, table in self.world.tables.items():
-                # only tables that these rules have written can hold outputs to sweep
-                if name in new or self._writes(owners, name, table):
-                    over[name] = ran
+            # only tables that these rules have written can hold outputs to sweep
+            over = {name: ran for name in self.world.tables if owners & self._wrote.get(name, set())}
         before = self.revision
         self._commit({c: reduce(DataFrame.unionByName, d) for c, d in new.items()}, over, {c: reduce(DataFrame.union, d) for c, d in gone.items()}, reduce(DataFrame.union, dead) if dead else None)
         if anchored:
@@ -690,12 +702,6 @@ class Engine:
             if all(s is other or not isinstance(o, Write) or o.component not in own for other, _, out in batch for o in out):
                 st.planned = self.revision
 
-    def _writes(self, owners: set[str], name: str, table: DataFrame) -> bool:
-        declared = [s.outputs for s in self.systems if s.name in owners]
-        if all(declared):
-            return any(name in d for d in declared)
-        return not table.where(F.col("_owner").isin(sorted(owners))).limit(1).isEmpty()
-
     def _conform(self, s: System, written: frozenset[str], spawned: bool) -> None:
         if s.outputs and not written <= set(s.outputs):
             raise FactError(f"{s.name} writes {sorted(written - set(s.outputs))}, which it did not declare")
