@@ -29,7 +29,7 @@ from .model import Component, FactError, Inverse, Plugin, Registry, Shape
 from .operators import diff, joins, relationships
 from .plans.query import Entity, Eq, Filter, Maybe, Named, Query, Read, Without, bound, plan, visible, walk
 from .sources.tables import Source
-from .storage import Storage
+from .storage import LAYER_SHARE, Layered, Storage, small
 from .world import META, Fused, World
 
 PHASES = ("startup", "evaluate", "complete", "settle")
@@ -96,7 +96,7 @@ def query_of(p: Query | Maybe) -> Query:
 class _State:
     """What the engine knows of a system: its memo, when it last planned, and counters."""
 
-    memo: DataFrame | None = None
+    memo: Layered | None = None
     planned: int = -1
     stale: bool = True
     views: int = -1
@@ -129,7 +129,7 @@ class Engine:
         self._sources = 0
         self._cleaned: dict[str, int] = {}
         self._wrote: dict[str, set[str]] = {}
-        self._rows: dict[str, tuple[DataFrame, int]] = {}
+        self._news: dict[str, tuple[DataFrame, DataFrame]] = {}
         self.counters = {"settles": 0, "generations": 0, "waves": 0, "commits": 0}
         for s in self.systems:
             self._register(s)
@@ -156,6 +156,8 @@ class Engine:
                     raise FactError(f"{s.name}: {key} has no fingerprint to join on")
             if b.members:
                 self._provider(s, i, b.members)
+                if b.keys:
+                    raise FactError(f"{s.name}: a parameter is bound by equality or by membership, not by both")
         for name, v in s.views.items():
             b = bound(v.where)
             if b.keys or b.members:
@@ -242,7 +244,11 @@ class Engine:
         def work() -> None:
             q = Query(Entity(), Read(component), where=where)
             found = plan(self.world, self.registry, q, args).rows.select("entity", F.col(f"`{component}`").alias("value"))
-            self._base({component: found.select("entity", value.cast(self.registry[component].type).alias("value"))})
+            c = self.registry[component]
+            new = found.select("entity", value.cast(c.type).alias("value"), F.col("value").alias("_was"))
+            if c.hash:  # an equal value would be no change
+                new = new.where(~F.col("value").eqNullSafe(F.col("_was")))
+            self._base({component: new.select("entity", "value")})
 
         self._put(work)
 
@@ -323,43 +329,88 @@ class Engine:
             if not lost:
                 continue
             dead = self.storage.save(reduce(DataFrame.union, lost).distinct())
-            if not dead.isEmpty():
-                st.memo, st.stale = self.storage.save(st.memo.join(dead, "_keys", "left_anti")), True
+            n = dead.count()
+            if n:
+                st.memo, st.stale = self._forget(st.memo, dead, n), True
+
+    def _forget(self, memo: Layered, keys: DataFrame, n: int) -> Layered:
+        gone = keys.select("_keys", F.lit(None).cast("array<long>").alias("_deps"), F.lit(True).alias("_dead"))
+        return memo.put(self.storage, gone, n, memo.n)
+
+    def _remember(self, memo: Layered | None, seen: DataFrame, n: int) -> Layered:
+        """Memo with these invocations at the revisions that they saw."""
+        if memo is None:
+            return Layered("_keys", seen, n, None, 0, n)
+        return memo.put(self.storage, seen.withColumn("_dead", F.lit(False)), n, memo.n + n)
 
     def _write(self, name: str, new: DataFrame | None, swept: DataFrame | None, gone: DataFrame | None, rev: int) -> bool:
-        c, old = self.registry[name], self.world.table(name)
+        """Change one table; what it costs to write is what changes, unless that is much of the table."""
+        c = self.registry[name]
+        layer, old = self._layer(name), self.world.table(name)
         empty = self.spark.createDataFrame([], f"entity long, value {c.type}, _owner string, _keys array<long>")
-        fresh = diff.one_writer(new) if new is not None else empty
-        table = self.storage.save(diff.apply(old, fresh, c.fingerprint, rev, swept, gone))
-        now = table.agg(F.count("*").alias("n"), F.count_if(F.col("_rev") == rev).alias("changed"), F.count_if(F.col("_born") == rev).alias("born")).first()
-        rows = self._rows.get(name)
-        was = rows[1] if rows and rows[0] is old else old.count() if name in self.world.tables or name in self.world.fused else 0
-        lost = was + now.born - now.n
-        if not now.changed and not lost:
+        fresh = self.storage.save(diff.one_writer(new)) if new is not None else empty
+        touched = [fresh.select("entity")]
+        owned = None
+        if swept is not None:
+            ran = swept.select(F.col("_owner").alias("_so"), F.col("_keys").alias("_sk"))
+            owned = self.storage.save(old.join(ran, (F.col("_owner") == F.col("_so")) & (F.col("_keys") == F.col("_sk")), "left_semi").select("entity"))
+            touched.append(owned)
+        if gone is not None:
+            gone = self.storage.save(gone.select("entity").distinct())
+            touched.append(gone)
+        entities = self.storage.save(reduce(DataFrame.union, touched).distinct())
+        n = entities.count()
+        if not n:
+            return False
+        before = old.join(small(entities, n), "entity", "left_semi") if n <= LAYER_SHARE * layer.n else old
+        change = diff.apply(before, fresh, c.fingerprint, rev, owned, gone)
+        if before is not old:
+            change = self.storage.save(change)
+        else:
+            whole = change = self.storage.save(change)
+        live = ~F.col("_dead")
+        now = change.agg(F.count_if(live & (F.col("_rev") == rev)).alias("changed"), F.count_if(live & (F.col("_born") == rev)).alias("born"), F.count_if("_dead").alias("lost"), F.count("*").alias("n")).first()
+        if not now.changed and not now.lost:
             return False
+        after = layer.n + now.born - now.lost
+        if before is old:
+            table = Layered("entity", whole.where(live).drop("_dead"), after, None, 0, after)
+        else:
+            table = layer.put(self.storage, change, now.n, after)
+        news = change.where(live & (F.col("_rev") == rev)).drop("_dead")
+        lost = change.where("_dead").drop("_dead")
         if c.on_insert and now.changed:
-            c.on_insert(table.where(F.col("_rev") == rev))
-        if c.on_remove and lost:
-            c.on_remove(old.join(table, "entity", "left_anti"))
-        self._rows[name] = (table, now.n)
-        self.world = self.world.with_table(name, table, rev, bool(lost))
+            c.on_insert(news)
+        if c.on_remove and now.lost:
+            c.on_remove(lost)
+        self._news[name] = (news.select("entity", "value"), lost.select("entity"))
+        self.world = self.world.with_table(name, table, rev, bool(now.lost))
         return True
 
+    def _layer(self, name: str) -> Layered:
+        if name in self.world.tables:
+            return self.world.tables[name]
+        table = self.world.table(name)
+        n = table.count() if name in self.world.fused else 0
+        return Layered("entity", table, n, None, 0, n)
+
     def _invert(self, edge: str, before: DataFrame | None, rev: int | None = None) -> None:
-        """Keep the inverses of an edge: lists of the targets that changed edges left or reached."""
+        """Keep the inverses of an edge: those of the targets that changed edges left or reached."""
         rev = self.revision if rev is None else rev
         target = self.registry[edge].target_of(F.col("value"))
         now = self.world.table(edge)
         for inv in self.registry.inverses(edge):
+            form = relationships.inverse if inv.lists else relationships.digest
             if before is None:
-                lists, gone = relationships.inverse(now, target), None
+                held, gone = form(now, target), None
             else:
-                fresh = now.where(F.col("_rev") == rev)
-                left = before.join(now.where(F.col("_rev") != rev), "entity", "left_anti")
+                fresh, lost = self._news[edge]
+                moved = fresh.select("entity").union(lost)
+                left = before.join(moved, "entity", "left_semi")
                 touched = self.storage.save(fresh.select(target.alias("target")).union(left.select(target.alias("target"))).where("target is not null").distinct())
-                lists = self.storage.save(relationships.inverse(relationships.affected(touched, now, target), target))
-                gone = touched.select(F.col("target").alias("entity")).join(lists, "entity", "left_anti")
-            owned = lists.select("entity", "value", F.lit(None).cast("string").alias("_owner"), F.lit(None).cast("array<long>").alias("_keys"))
+                held = self.storage.save(form(relationships.affected(touched, now, target), target))
+                gone = touched.select(F.col("target").alias("entity")).join(held, "entity", "left_anti")
+            owned = held.select("entity", "value", F.lit(None).cast("string").alias("_owner"), F.lit(None).cast("array<long>").alias("_keys"))
             self._write(inv.name, owned, None, gone, rev)
 
     def _retire(self, entities: DataFrame, external: bool) -> None:
@@ -370,10 +421,11 @@ class Engine:
             st = self.state[s.name]
             if st.memo is None or not (external or pairwise):
                 continue
-            dead = self.storage.save(st.memo.withColumn("_e", F.explode("_keys")).join(entities.withColumnRenamed("entity", "_e"), "_e", "left_semi").select("_keys").distinct())
-            if dead.isEmpty():
+            dead = self.storage.save(st.memo.rows().withColumn("_e", F.explode("_keys")).join(entities.withColumnRenamed("entity", "_e"), "_e", "left_semi").select("_keys").distinct())
+            n = dead.count()
+            if not n:
                 continue
-            st.memo = self.storage.save(st.memo.join(dead, "_keys", "left_anti"))
+            st.memo = self._forget(st.memo, dead, n)
             orphans.append(dead.select(F.lit(s.name).alias("_owner"), "_keys"))
         if orphans:
             owners = reduce(DataFrame.union, orphans)
@@ -384,7 +436,7 @@ class Engine:
 
     def _owned_entities(self, owners: DataFrame) -> DataFrame | None:
         """Entities that rules of ``owners`` spawned: negative, and owned."""
-        found = [self.world.tables[n].join(owners, ["_owner", "_keys"], "left_semi").where("entity < 0").select("entity") for n in self.world.tables if self._wrote.get(n)]
+        found = [self.world.table(n).join(owners, ["_owner", "_keys"], "left_semi").where("entity < 0").select("entity") for n in self.world.tables if self._wrote.get(n)]
         return self.storage.save(reduce(DataFrame.union, found).distinct()) if found else None
 
     # -- planning --------------------------------------------------------
@@ -404,7 +456,7 @@ class Engine:
             out.append((renamed, [f"p{i}.{c}" for c in deps if c in columns], [f"p{i}.{c}" for c in columns if c.startswith("_rev.")]))
         return out
 
-    def _joined(self, s: System, parts: list[DataFrame]) -> DataFrame:
+    def _joined(self, s: System, parts: list[DataFrame], world: World) -> DataFrame:
         """The rows of a rule: parameters joined in order, those whose providers come later after them."""
         done: set[int] = set()
         rows: DataFrame | None = None
@@ -423,11 +475,14 @@ class Engine:
                 pairs = [(f"p{self._provider(s, i, k)}.{k}", f"p{i}.{k}") for k in b.keys]
                 rows = joins.equality(rows, right, pairs, isinstance(p, Maybe))
             elif b.members:
-                rows = joins.membership(rows, right, f"p{self._provider(s, i, b.members)}.{b.members}", f"p{i}.entity")
+                j, m = self._provider(s, i, b.members), self.registry[b.members]
+                if isinstance(m, Inverse):
+                    edges = world.table(m.edge).select(self.registry[m.edge].target_of(F.col("value")).alias("_at"), F.col("entity").alias("_member"))
+                    rows = joins.along_edges(rows.drop(f"p{j}.{m.name}"), edges, right, f"p{j}.entity", f"p{i}.entity")
+                else:
+                    rows = joins.membership(rows, right, f"p{j}.{m.name}", f"p{i}.entity")
             else:
                 rows = joins.product(rows, right)
-            if b.keys and b.members:
-                rows = rows.where(F.array_contains(F.col(f"`p{self._provider(s, i, b.members)}.{b.members}`"), F.col(f"`p{i}.entity`")))
             done.add(i)
         return rows
 
@@ -451,7 +506,7 @@ class Engine:
         params = self._params(s, world)
         outer = any(isinstance(p, Maybe) for p in s.params)
         if only_new is None or outer:
-            rows = self._joined(s, [df for df, _, _ in params])
+            rows = self._joined(s, [df for df, _, _ in params], world)
         else:
             # one union member a parameter: its changed rows with all rows of those before and the unchanged of those after
             members = []
@@ -460,7 +515,7 @@ class Engine:
                 for j, (df, _, revs) in enumerate(params):
                     newer = joins.greatest_of(revs) > only_new
                     parts.append(df.where(newer) if j == i else df.where(~newer) if j > i else df)
-                members.append(self._joined(s, parts))
+                members.append(self._joined(s, parts, world))
             rows = reduce(DataFrame.unionByName, members)
         deps = [F.col(f"`{c}`") for _, d, _ in params for c in d]
         if outer:
@@ -485,7 +540,7 @@ class Engine:
         delta = not (st.stale or s.always or st.memo is None or absence or removed)
         rows = self._plan(s, w, st.planned if delta else None)
         if not delta and st.memo is not None and not s.always:
-            seen = st.memo.select(F.col("_keys").alias("_mk"), F.col("_deps").alias("_md"))
+            seen = st.memo.rows().select(F.col("_keys").alias("_mk"), F.col("_deps").alias("_md"))
             rows = rows.join(seen, F.col("_keys").eqNullSafe(F.col("_mk")) & F.col("_deps").eqNullSafe(F.col("_md")), "left_anti")
         todo = self.storage.save(rows)
         st.planned, st.stale = self.revision, False
@@ -534,7 +589,7 @@ class Engine:
             for work in queue:
                 work()
             for s, outputs in late:
-                self._apply([(s, None, outputs)])
+                self._apply([(s, None, 0, outputs)])
             self.counters["generations"] += 1
             while True:
                 moved = False
@@ -575,7 +630,7 @@ class Engine:
                     callback(s.name)
                 st, began = self.state[s.name], time.time()
                 views = {name: plan(self.world, self.registry, q).rows.select([f"`{c}`" for c in visible(q)]) for name, q in s.views.items()}
-                batch.append((s, todo, list(s.body(todo, **views) or ())))
+                batch.append((s, todo, n, list(s.body(todo, **views) or ())))
                 st.views = max((self.world.watermark.get(c, -1) for q in s.views.values() for c in self._view_interest(q)), default=-1)
                 st.runs, st.waves, st.run_s = st.runs + n, st.waves + 1, st.run_s + time.time() - began
             if not batch:
@@ -583,7 +638,7 @@ class Engine:
             any_ran = True
             self.counters["waves"] += 1
             self._apply(batch, settle=phase == "settle")
-            for s, _, _ in batch:
+            for s, _, _, _ in batch:
                 for callback in self._hooks["complete"]:
                     callback(s.name)
             if once:
@@ -595,14 +650,14 @@ class Engine:
             found |= self.registry.shapes[shape].parts
         return found
 
-    def _apply(self, batch: list[tuple[System, DataFrame | None, list[Any]]], settle: bool = False) -> None:
+    def _apply(self, batch: list[tuple[System, DataFrame | None, int, list[Any]]], settle: bool = False) -> None:
         """One commit for all systems of a wave."""
         new: dict[str, list[DataFrame]] = {}
         gone: dict[str, list[DataFrame]] = {}
         dead: list[DataFrame] = []
         anchored: list[tuple[System, str, DataFrame]] = []
         swept: list[DataFrame] = []
-        for s, todo, outputs in batch:
+        for s, todo, n, outputs in batch:
             keep = [o for o in outputs if not settle or isinstance(o, (Remove, Despawn))]
             if settle and len(keep) < len(outputs):  # inserts of this phase wait for the next settle
                 self._late.append((s, [o for o in outputs if o not in keep]))
@@ -628,10 +683,9 @@ class Engine:
             if todo is not None:
                 swept.append(todo.select(F.lit(s.name).alias("_owner"), "_keys"))
                 st = self.state[s.name]
-                seen = todo.select("_keys", "_deps")
-                st.memo = self.storage.save(seen if st.memo is None else st.memo.join(seen.select("_keys"), st.memo["_keys"].eqNullSafe(seen["_keys"]), "left_anti").unionByName(seen))
-        owners = {s.name for s, t, _ in batch if t is not None}
-        for s, _, outputs in batch:
+                st.memo = self._remember(st.memo, todo.select("_keys", "_deps"), n)
+        owners = {s.name for s, t, _, _ in batch if t is not None}
+        for s, _, _, outputs in batch:
             for c in (c for o in outputs for c in ([o.component] if isinstance(o, Write) else o.components if isinstance(o, Spawn) else [])):
                 self._wrote.setdefault(c, set()).add(s.name)
         for s, c, _ in anchored:
@@ -686,20 +740,20 @@ class Engine:
         gone = self.storage.save(reduce(DataFrame.union, stale).distinct())
         return not gone.isEmpty() and self._commit({}, {}, {}, gone)
 
-    def _absorb(self, batch: list[tuple[System, DataFrame | None, list[Any]]], new: dict[str, list[DataFrame]], before: int) -> None:
+    def _absorb(self, batch: list[tuple[System, DataFrame | None, int, list[Any]]], new: dict[str, list[DataFrame]], before: int) -> None:
         """A rule's write to what it reads is no news to itself: its memo takes the revision of after the commit."""
         if self.revision == before:
             return
-        for s, todo, outputs in batch:
+        for s, todo, n, outputs in batch:
             own = {o.component for o in outputs if isinstance(o, Write)} & {c for p in s.params for c in query_of(p).reads()}
             if not own or todo is None or len(s.params) > 1:
                 continue
             st = self.state[s.name]
             rows = self._plan(s, self.world, None).select(F.col("_keys").alias("_ak"), F.col("_deps").alias("_ad"))
             ran = todo.select("_keys").distinct()
-            now = ran.join(rows, F.col("_keys") == F.col("_ak")).select("_keys", F.col("_ad").alias("_deps"))
-            st.memo = self.storage.save(st.memo.join(now.select("_keys"), "_keys", "left_anti").unionByName(now))
-            if all(s is other or not isinstance(o, Write) or o.component not in own for other, _, out in batch for o in out):
+            now = self.storage.save(ran.join(rows, F.col("_keys") == F.col("_ak")).select("_keys", F.col("_ad").alias("_deps")))
+            st.memo = self._remember(st.memo, now, n)
+            if all(s is other or not isinstance(o, Write) or o.component not in own for other, _, _, out in batch for o in out):
                 st.planned = self.revision
 
     def _conform(self, s: System, written: frozenset[str], spawned: bool) -> None:
@@ -775,6 +829,10 @@ class Engine:
             self.despawn([entity])
             self.settle()
 
+    def close(self) -> None:
+        """Delete all that the store wrote; its DataFrames can't be read afterwards."""
+        self.storage.clear()
+
     # -- reports ---------------------------------------------------------
 
     def explain(self, suffix: str) -> dict[str, Any] | None:
@@ -783,7 +841,7 @@ class Engine:
             if s.name.endswith(suffix):
                 st = self.state[s.name]
                 now = max((self.world.watermark.get(c, -1) for q in s.views.values() for c in self._view_interest(q)), default=-1)
-                return {"name": s.name, "phase": s.phase, "matched": self._plan(s, self.world, None).count(), "memoized": 0 if st.memo is None else st.memo.count(), "stale_views": bool(s.views) and now > st.views}
+                return {"name": s.name, "phase": s.phase, "matched": self._plan(s, self.world, None).count(), "memoized": 0 if st.memo is None else st.memo.rows().count(), "stale_views": bool(s.views) and now > st.views}
         return None
 
     def explain_all(self) -> list[dict[str, Any]]:

@@ -63,9 +63,15 @@ class Component:
 
 @dataclass(frozen=True)
 class Inverse(Component):
-    """For each target of ``edge`` the sorted list of entities that point at it; kept by the store, always hashed."""
+    """For each target of ``edge`` the sorted list of entities that point at it; kept by the store, always hashed.
+
+    Without ``lists`` it only holds how many there are and a digest of the set:
+    enough for rules that join its members, which go along the edges, and the
+    form to choose where a target may have very many.
+    """
 
     edge: str = ""
+    lists: bool = True
 
     def __post_init__(self) -> None:
         if self.hash or self.revision:
@@ -73,6 +79,7 @@ class Inverse(Component):
         if self.target:
             raise FactError(f"{self.name}: an inverse cannot be an edge too")
         object.__setattr__(self, "hash", True)
+        object.__setattr__(self, "type", "array<bigint>" if self.lists else "struct<n:bigint,digest:bigint>")
 
 
 @dataclass(frozen=True)

@@ -13,32 +13,31 @@ def one_writer(written: DataFrame) -> DataFrame:
 
 
 def apply(old: DataFrame, new: DataFrame, fingerprint, rev: int, swept: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
-    """The table after a commit.
+    """What a commit makes of the rows ``old``, with a column _dead for those that it removes.
 
     ``new`` (entity, value, _owner, _keys) is written over ``old``; a row whose fingerprint
-    and value stay the same keeps its revision.  ``swept`` (_owner, _keys) ran
-    again: what they own and did not write again goes.  ``gone`` (entity, by) goes too; ``by``
-    null from anyone, else only if nobody writes it in the same commit.
+    and value stay the same keeps its revision.  Rows of ``swept`` entities that are
+    not written again go, and those of ``gone`` whatever is written.
     """
-    base = old.withColumn("_swept", F.lit(False))
-    if swept is not None:
-        mark = swept.select(F.col("_owner").alias("_so"), F.col("_keys").alias("_sk"), F.lit(True).alias("_mark")).distinct()
-        base = old.join(mark, (F.col("_owner") == F.col("_so")) & (F.col("_keys") == F.col("_sk")), "left").drop("_so", "_sk").withColumn("_swept", F.coalesce("_mark", F.lit(False))).drop("_mark")
-    fresh = new.select("entity", F.struct(F.col("value"), F.col("_owner"), F.col("_keys"), fingerprint(F.col("value")).alias("_fp")).alias("_new"))
-    kept = base.select("entity", F.struct(*[c for c in base.columns if c != "entity"]).alias("_old"))
+    fresh = new.select("entity", F.struct("value", "_owner", "_keys", fingerprint(F.col("value")).alias("_fp")).alias("_new"))
+    kept = old.select("entity", F.struct(*[c for c in old.columns if c != "entity"]).alias("_old"))
     both = kept.join(fresh, "entity", "full_outer")
+    for name, marks in (("_swept", swept), ("_gone", gone)):
+        if marks is None:
+            both = both.withColumn(name, F.lit(False))
+        else:
+            both = both.join(marks.select("entity").distinct().withColumn(name, F.lit(True)), "entity", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     same = F.coalesce((F.col("_old._fp") == F.col("_new._fp")) & F.col("_old.value").eqNullSafe(F.col("_new.value")), F.lit(False))
-    has_new = F.col("_new").isNotNull()
-    stays = has_new | ~F.coalesce(F.col("_old._swept"), F.lit(False))
-    out = both.where(stays).select(
+    has_new, has_old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    dead = F.col("_gone") | (~has_new & F.col("_swept"))
+    pick = lambda c: F.when(has_new, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c)
+    return both.where((has_new | has_old) & ~(dead & ~has_old)).select(
         "entity",
-        F.when(has_new, F.col("_new.value")).otherwise(F.col("_old.value")).alias("value"),
+        pick("value"),
         F.when(has_new & ~same, F.lit(rev)).otherwise(F.col("_old._rev")).cast("long").alias("_rev"),
-        F.when(has_new, F.col("_new._fp")).otherwise(F.col("_old._fp")).alias("_fp"),
-        F.when(F.col("_old").isNull(), F.lit(rev)).otherwise(F.col("_old._born")).cast("long").alias("_born"),
-        F.when(has_new, F.col("_new._owner")).otherwise(F.col("_old._owner")).alias("_owner"),
-        F.when(has_new, F.col("_new._keys")).otherwise(F.col("_old._keys")).alias("_keys"),
+        pick("_fp"),
+        F.when(~has_old, F.lit(rev)).otherwise(F.col("_old._born")).cast("long").alias("_born"),
+        pick("_owner"),
+        pick("_keys"),
+        dead.alias("_dead"),
     )
-    if gone is not None:
-        out = out.join(gone.select("entity").distinct(), "entity", "left_anti")
-    return out

@@ -26,8 +26,14 @@ def equality(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], ou
 
 
 def membership(left: DataFrame, right: DataFrame, members: str, entity: str) -> DataFrame:
-    """Pairs of a list's row and each of its members: the list is exploded, so the join stays an equality."""
-    each = left.withColumn("_member", F.explode(F.col(f"`{members}`")))
+    """Pairs of a list's row and each of its members: the list is exploded and left behind, so the join stays an equality and no pair carries a list."""
+    each = left.withColumn("_member", F.explode(F.col(f"`{members}`"))).drop(members)
+    return each.join(right, F.col("_member") == F.col(f"`{entity}`")).drop("_member")
+
+
+def along_edges(left: DataFrame, edges: DataFrame, right: DataFrame, target: str, entity: str) -> DataFrame:
+    """Pairs of an edge's target and source, by the edges themselves: (at, member).  No list of members is ever built."""
+    each = left.join(edges, F.col(f"`{target}`") == F.col("_at")).drop("_at")
     return each.join(right, F.col("_member") == F.col(f"`{entity}`")).drop("_member")
 
 

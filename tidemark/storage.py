@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A change of at most this share of a table is kept as a layer over it; beyond it the table is written anew.
+LAYER_SHARE = 0.25
+#: Rows up to which the keys of a layer are broadcast; beyond it both sides shuffle.
+BROADCAST_ROWS = 200_000
 
 
 class Storage:
@@ -29,3 +36,45 @@ class Storage:
         self.count += 1
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete all versions: nothing read from here can be used afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its known number of rows allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+@dataclass(frozen=True)
+class Layered:
+    """A table of one row a key: a base and, over it, the rows that have changed since, dead ones among them.
+
+    A small change so costs a write of its own size; the base is read with a
+    filter on its revisions, which Parquet statistics answer.
+    """
+
+    key: str
+    base: DataFrame
+    n_base: int
+    delta: DataFrame | None = None
+    n_delta: int = 0
+    n: int = 0
+
+    def rows(self) -> DataFrame:
+        if self.delta is None:
+            return self.base
+        kept = self.base.join(small(self.delta.select(self.key), self.n_delta), self.key, "left_anti")
+        return kept.unionByName(self.delta.where(~F.col("_dead")).drop("_dead"))
+
+    def put(self, storage: Storage, change: DataFrame, n_change: int, n: int) -> Layered:
+        """With ``change`` (the columns and _dead) over it; ``n`` is the number of rows after it."""
+        if self.delta is not None:
+            change = storage.save(self.delta.join(small(change.select(self.key), n_change), self.key, "left_anti").unionByName(change))
+            n_change += self.n_delta  # at most
+        layered = Layered(self.key, self.base, self.n_base, change, n_change, n)
+        if n_change <= LAYER_SHARE * self.n_base:
+            return layered
+        return Layered(self.key, storage.save(layered.rows()), n, None, 0, n)

@@ -28,9 +28,10 @@ COMPONENTS = [
     Component("InRegion", "long", hash=True, target="value"),
     Component("InNation", "long", hash=True, target="value"),
     Component("PlacedBy", "long", hash=True, target="value"),
-    Inverse("RegionNations", "array<long>", edge="InRegion"),
-    Inverse("NationCustomers", "array<long>", edge="InNation"),
-    Inverse("CustomerOrders", "array<long>", edge="PlacedBy"),
+    Inverse("RegionNations", edge="InRegion", lists=False),
+    Inverse("NationCustomers", edge="InNation", lists=False),
+    Inverse("CustomerOrders", edge="PlacedBy", lists=False),
+    Inverse("NationMembers", edge="InNation"),
     Component("Origin", provenance=True),
     Component("Demand", "boolean", singleton=True),
     *hashed(OutText="string", OutLong="long", OutDouble="double", OutLeft="long", OutRight="long", Path="string", Label="string"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import Registry
+from .storage import Layered
 
 #: Columns of a component table: value, the commit of the last change, its fingerprint, the commit of the insert, and who owns the row.
 META = "_rev long, _fp long, _born long, _owner string, _keys array<long>"
@@ -29,7 +30,7 @@ class Fused:
 class World:
     spark: SparkSession
     registry: Registry
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, Layered] = field(default_factory=dict)
     fused: dict[str, Fused] = field(default_factory=dict)
     #: Highest commit at which a table changed, and at which it lost a row.
     watermark: dict[str, int] = field(default_factory=dict)
@@ -39,14 +40,14 @@ class World:
         """entity, value and the columns of META."""
         c = self.registry[name]
         if name in self.tables:
-            return self.tables[name]
+            return self.tables[name].rows()
         if name in self.fused:
             f = self.fused[name]
             rows = f.table.select(f.entity.alias("entity"), f.column.cast(c.type).alias("value")).where("value is not null")
             return rows.select("entity", "value", F.lit(f.rev).cast("long").alias("_rev"), c.fingerprint(F.col("value")).alias("_fp"), F.lit(f.rev).cast("long").alias("_born"), F.lit(None).cast("string").alias("_owner"), F.lit(None).cast("array<long>").alias("_keys"))
         return self.spark.createDataFrame([], f"entity long, value {c.type}, {META}")
 
-    def with_table(self, name: str, table: DataFrame, rev: int, lost: bool = False) -> World:
+    def with_table(self, name: str, table: Layered, rev: int, lost: bool = False) -> World:
         fused = {k: f for k, f in self.fused.items() if k != name}
         return replace(self, tables={**self.tables, name: table}, fused=fused, watermark={**self.watermark, name: rev}, removed={**self.removed, name: rev} if lost else self.removed)
 
