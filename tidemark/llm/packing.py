@@ -40,7 +40,7 @@ from .shared import Tables, map_arrow
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 #: Marks that the tokenizer splits from a letter or digit before them, whatever follows; no apostrophe, which may begin an ending.
 MARKS = b'!"#$%&()*+,-./:;<=>?@[]^_`{|}~\\'
 #: Pieces that a rank bucket holds, about.
@@ -73,6 +73,9 @@ class Words:
     def _add(self, words: list[bytes]) -> None:
         slow = []
         for word in words:
+            if word.isalpha() and word.islower():  # a-z alone
+                self.ids[word] = array("I", [t.id for t in self.model.tokenize(word.decode("ascii"))]).tobytes()
+                continue
             text = word.decode("utf-8")
             # normalised lower-case Latin letters are one unit of the model: nothing before it would change them
             if text.isalpha() and max(text) < "\u0250" and text.islower() and is_normalized("NFC", text):
@@ -93,7 +96,7 @@ class Words:
         whole, joined = [], []
         for word in set().union(*parts).difference(known):
             core = word.rstrip(MARKS)
-            if core and len(core) < len(word) and b"<|" not in word and core.decode("utf-8").lower()[-1].isalnum():
+            if core and len(core) < len(word) and b"<|" not in word and (core[-1:].isalnum() or core.decode("utf-8").lower()[-1].isalnum()):
                 joined.append((word, core, word[len(core) :]))
             else:
                 whole.append(word)
