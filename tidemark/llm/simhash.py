@@ -111,7 +111,9 @@ def tile_links(distinct: DataFrame, radius: int, tables: Tables) -> DataFrame:
         linked = np.nonzero(label != np.arange(len(label)))[0]
         return pa.table({"a": names[linked].view(np.int64), "b": names[label[linked]].view(np.int64)})
 
-    return sides.groupBy("x", "y").applyInArrow(compare, "a long, b long")
+    # bytes say nothing of the work in a pair of tiles: deal pairs out by their number
+    pairs = sum(number[p] * number[q] for p in sizes for q in sizes if abs(p - q) <= radius) // 2 + 1
+    return sides.repartition(-(-pairs // 4), "x", "y").groupBy("x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
