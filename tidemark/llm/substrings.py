@@ -8,6 +8,8 @@ window.  Chunks are compared by 128-bit digests.  A chunk that an earlier
 document (smaller id) has too is a repeat; consecutive repeats make a span, and
 spans of enough words are what the operator reports or removes.
 
+Chunks of one or two words again and again are no passages and never count.
+
 Digests are grouped by partial aggregation, those in one document only fall
 away, and hot digests join as heavy keys; what is left of a document's chunks
 is put in order by windows over its own rows.
@@ -21,6 +23,7 @@ occurrence; an empty table gives an empty result; columns of other names play no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +83,12 @@ def chunks(docs: DataFrame) -> DataFrame:
             blank = SPACE[b]
             begins = np.cumsum(~blank & np.concatenate([[True], blank[:-1]]))
             names.append(np.full(len(end), name))
-            places.append(start << 24 | (end - start) << 12 | np.diff(begins[end - 1], prepend=0))
-            digests += [xxhash.xxh3_128_digest(body[s:e]) for s, e in zip(start.tolist(), end.tolist())]
+            parts = [body[s:e] for s, e in zip(start.tolist(), end.tolist())]
+            words = np.diff(begins[end - 1], prepend=0)
+            prose = np.fromiter((len(set(p.split())) > 2 for p in parts), bool, len(parts)) | (words < 4)
+            names[-1] = names[-1][prose]
+            places.append((start << 24 | (end - start) << 12 | words)[prose])
+            digests += map(xxhash.xxh3_128_digest, compress(parts, prose))
         whole = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         join = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64))
         return pa.RecordBatch.from_arrays([join(names), join(places), pa.array(whole[:, 0]), pa.array(whole[:, 1].astype(np.int32))], names=["id", "at", "d1", "d2"])
@@ -90,7 +97,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = SPAN_WORDS) -> DataFrame:
-    """One row an id: n_repeats (chunks of reported spans), n_spans, repeat_words, spans (start:end in bytes, comma-joined)."""
+    """One row a span of repeats: id, start, end (bytes), words, chunks, first_id (the earliest document that has one of its chunks)."""
     tables = Tables(spark, "substrings")
     rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text")).where(F.col("id").isNotNull())
     cut = chunks(rows)
@@ -99,19 +106,19 @@ def repeated(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", te
     total = shared.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
     one = shared.groupBy("d1").agg(F.collect_list(F.struct("d2", "first")).alias("held"), F.sum("_w").alias("_w"))  # the rest of the digest is compared after the join
     met = heavy_join(cut, one, "d1", "_w", total)
-    first = F.filter("held", lambda h: h["d2"] == F.col("d2"))[0]["first"]
-    hit = met.where(F.coalesce(first < F.col("id"), F.lit(False))).select("id", F.shiftright("at", 24).alias("start"), (F.shiftright("at", 24) + F.shiftright("at", 12) % 4096).alias("end"), (F.col("at") % 4096).alias("words"))
-    again = tables.save(hit.distinct(), "again")
+    met = met.withColumn("first", F.filter("held", lambda h: h["d2"] == F.col("d2"))[0]["first"]).where(F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
+    start = F.shiftright("at", 24)
+    again = tables.save(met.groupBy("id", "at").agg(F.min("first").alias("first")).select("id", start.alias("start"), (start + F.shiftright("at", 12) % 4096).alias("end"), (F.col("at") % 4096).alias("words"), "first"), "again")
     here = Window.partitionBy("id").orderBy("start", "end")
     begins = again.withColumn("new", (F.coalesce(F.lag("end").over(here), F.lit(-1)) != F.col("start")).cast("int")).withColumn("run", F.sum("new").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = begins.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("n")).where(F.col("words") >= least)
-    by_id = spans.groupBy("id").agg(F.sum("n").alias("n_repeats"), F.count("*").alias("n_spans"), F.sum("words").alias("repeat_words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"))
-    return rows.select("id").distinct().join(by_id, "id", "left").na.fill(0, ["n_repeats", "n_spans", "repeat_words"]).na.fill("", ["spans"])
+    spans = begins.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min("first").alias("first_id"))
+    return spans.where(F.col("words") >= least).drop("run")
 
 
 def removed(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = SPAN_WORDS) -> DataFrame:
     """The documents, all columns as they were, with the reported spans cut out of the text."""
-    found = repeated(spark, docs, id_column, text_column, least).where(F.col("n_spans") > 0).select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
+    spans = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    found = repeated(spark, docs, id_column, text_column, least).groupBy(F.col("id").alias("_id")).agg(spans.alias("_spans"))
     joined = docs.join(found, docs[id_column].cast("long") == F.col("_id"), "left")
 
     @F.pandas_udf("string")
