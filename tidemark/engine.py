@@ -33,8 +33,8 @@ from .storage import LAYER_SHARE, Layered, Storage, small
 from .world import META, Fused, World
 
 PHASES = ("startup", "evaluate", "complete", "settle")
-#: Invocations committed in one settle, and runs of one rule by healing in one settle, at most.
-COMMIT_LIMIT, HEAL_LIMIT = 10_000, 128
+#: Waves of one settle, and runs of one rule by healing in one settle, at most.
+WAVE_LIMIT, HEAL_LIMIT = 10_000, 128
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ class System:
     views: dict[str, Query] = field(default_factory=dict)
     phase: str = "evaluate"
     outputs: tuple[str, ...] = ()
-    always: bool = False
+    always: bool = False  # once a generation for all rows, whatever has changed
 
 
 def system(name: str, *params: Query | Maybe, views: dict[str, Query] | None = None, phase: str = "evaluate", outputs: Iterable[str] = (), always: bool = False) -> Callable[[Callable], System]:
@@ -101,6 +101,7 @@ class _State:
     stale: bool = True
     views: int = -1
     heals: int = 0
+    generation: int = -1
     runs: int = 0
     waves: int = 0
     plan_s: float = 0.0
@@ -108,14 +109,14 @@ class _State:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, components: Iterable[Component] = (), shapes: Iterable[Shape] = (), systems: Iterable[System] = (), plugins: Iterable[Plugin] = (), commit_limit: int | None = COMMIT_LIMIT):
+    def __init__(self, spark: SparkSession, components: Iterable[Component] = (), shapes: Iterable[Shape] = (), systems: Iterable[System] = (), plugins: Iterable[Plugin] = (), commit_limit: int | None = None, wave_limit: int | None = WAVE_LIMIT):
         plugins = list(plugins)
         self.spark, self.registry, self.storage = spark, Registry(), Storage(spark)
         for c, s in [(components, shapes), *((p.components, p.shapes) for p in plugins)]:
             self.registry.add(c, s)
         self.registry.check()
         self.systems = [*systems, *(s for p in plugins for s in p.systems)]
-        self.commit_limit = commit_limit
+        self.commit_limit, self.wave_limit = commit_limit, wave_limit
         self.world = World(spark, self.registry)
         self.settled = self.world
         self.revision = 0
@@ -180,6 +181,10 @@ class Engine:
         """``start`` and ``complete`` of each system's batch, ``settled`` after each settle that did work."""
         self._hooks[event].append(callback)
 
+    def insert_on(self, event: str, entity: int | None = None, **values: Any) -> None:
+        """Put a bundle whenever the event happens; it is part of the next settle."""
+        self.on(event, lambda _: self.put(entity, **values))
+
     # -- base writes -----------------------------------------------------
 
     def _put(self, work: Callable[[], None]) -> None:
@@ -193,6 +198,7 @@ class Engine:
 
         def work() -> None:
             self._sources += 1
+            self.revision += 1
             for name, column in source.columns.items():
                 if name in self.world.tables or name in self.world.fused:
                     rows = source.table.select(source.entity.alias("entity"), column.cast(self.registry[name].type).alias("value")).where("value is not null")
@@ -530,16 +536,19 @@ class Engine:
     def _todo(self, s: System) -> tuple[DataFrame, int] | None:
         """The invocations that must run, saved, and their number; None if there are none."""
         st, w = self.state[s.name], self.world
+        always = s.always and st.generation != self.counters["generations"]  # once a generation
+        st.generation = self.counters["generations"]
         interest = self._interest(s)
         high = max((w.watermark.get(c, -1) for c in interest), default=-1)
-        if high <= st.planned and not st.stale and not s.always:
+        if high <= st.planned and not st.stale and not always:
             return None  # nothing that it reads has moved: no Spark job
         began = time.time()
         absence = any(isinstance(p, Maybe) or query_of(p).optional() or any(isinstance(f, Without) for f in walk(query_of(p).where)) for p in s.params)
+        absence |= any(self.registry[c].untracked for c in interest)  # their revisions say nothing
         removed = max((w.removed.get(c, -1) for c in interest), default=-1) > st.planned
-        delta = not (st.stale or s.always or st.memo is None or absence or removed)
+        delta = not (st.stale or always or st.memo is None or absence or removed)
         rows = self._plan(s, w, st.planned if delta else None)
-        if not delta and st.memo is not None and not s.always:
+        if not delta and st.memo is not None and not always:
             seen = st.memo.rows().select(F.col("_keys").alias("_mk"), F.col("_deps").alias("_md"))
             rows = rows.join(seen, F.col("_keys").eqNullSafe(F.col("_mk")) & F.col("_deps").eqNullSafe(F.col("_md")), "left_anti")
         todo = self.storage.save(rows)
@@ -567,7 +576,7 @@ class Engine:
                 for callback in self._watch:
                     callback(self.revision)
                 for callback in self._hooks["settled"]:
-                    callback("")
+                    callback(str(self.revision))
             return self.revision
 
     @property
@@ -579,7 +588,7 @@ class Engine:
         self._watch.append(callback)
 
     def _settle(self) -> bool:
-        start, committed = self.revision, 0
+        start, committed, self._waves = self.revision, 0, 0
         for st in self.state.values():
             st.heals = 0
         first = True
@@ -637,6 +646,9 @@ class Engine:
                 return committed, any_ran
             any_ran = True
             self.counters["waves"] += 1
+            self._waves += 1
+            if self.wave_limit is not None and self._waves > self.wave_limit:
+                raise FactError(f"wave limit exceeded: {self.wave_limit} allowed in one settle")
             self._apply(batch, settle=phase == "settle")
             for s, _, _, _ in batch:
                 for callback in self._hooks["complete"]:

@@ -242,8 +242,13 @@ def plan(world, registry: Registry, query: Query, args: dict[str, Any] | None =
     for c in [*inner, *outer]:
         registry[c]
     df = world.gather(inner, outer)
-    if query.where is not None:
-        df = df.where(predicate(query.where, {c: F.col(f"`{c}`") for c in [*inner, *outer]}, args))
+    columns = {c: F.col(f"`{c}`") for c in [*inner, *outer]}
+    for part in conjuncts(query.where):
+        held = predicate(part, columns, args)
+        if isinstance(part, (Eq, Gte)):  # as a condition of its own a null is as good as false, and scans can be asked it
+            value = args[part.component] if part.value is _MISSING else part.value
+            held = columns[part.component] == F.lit(value) if isinstance(part, Eq) else columns[part.component] >= F.lit(value)
+        df = df.where(held)
     return Planned(df, required, [c for c in optional if c in outer], tracked, filters)
 
 

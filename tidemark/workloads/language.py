@@ -245,7 +245,7 @@ def language(spark: SparkSession, *plugins: Plugin) -> Engine:
     # an anchor is written after the wave's own commit, so shapes that need one are checked without it
     shapes = [Shape(s.name, tuple(p for p in s.required if p != "DerivedFrom"), (*s.optional, *(p for p in s.required if p == "DerivedFrom"))) for s in SHAPES]
     plugins = [Plugin(p.components, [Shape(s.name, tuple(x for x in s.required if x != "DerivedFrom"), ("DerivedFrom",)) for s in p.shapes], p.systems) for p in plugins]
-    e = Engine(spark, COMPONENTS, shapes, rules(), plugins, commit_limit=None)
+    e = Engine(spark, COMPONENTS, shapes, rules(), plugins)
     e.put(ImportDb=["std.io"])
     return e
 

@@ -23,8 +23,8 @@ def query(sql: str | None):
     return add
 
 
-def store(spark: SparkSession, systems: list[System], *sources, limit: int | None = None) -> Engine:
-    e = Engine(spark, schema.COMPONENTS, systems=systems, commit_limit=limit)
+def store(spark: SparkSession, systems: list[System], *sources) -> Engine:
+    e = Engine(spark, schema.COMPONENTS, systems=systems)
     for s in sources:
         e.load(s)
     return e
