@@ -9,7 +9,10 @@ found, and only that bucket is split by the next bits, until it holds one hash
 value.  Nothing is sorted and no document leaves its executor: what moves is
 one row for each source and bucket.
 
-A larger budget of the same source takes a superset (thresholds are nested).
+The bucket's last hash is left out; instead one more document is taken whose
+size comes nearest to the words still wanted, if that comes nearer than none.
+Thresholds are nested: but for that one document, a larger budget of a source
+takes a superset.
 
 Defined cases: a null source is a source of its own, placed last; a null or
 empty text has size 0 and takes nothing; rows that are equal in all
@@ -82,7 +85,7 @@ def by_source(docs: DataFrame, per_source: DataFrame, total: int) -> DataFrame:
 
 
 def thresholds(sized: DataFrame, targets: DataFrame, tables: Tables, total: int) -> DataFrame:
-    """Targets with copies (whole ones) and below: hashes under it are taken once more."""
+    """Targets with copies (whole ones), below (hashes under it are taken once more) and extra (so is this one)."""
     state = targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     state = state.withColumns({"left": F.col("target") - F.col("copies") * F.col("source_size"), "lo": F.lit(0).cast("long"), "below": F.lit(None).cast("long")})
     state = tables.save(state, "level0")
@@ -104,15 +107,24 @@ def thresholds(sized: DataFrame, targets: DataFrame, tables: Tables, total: int)
         crossing = met.groupBy("source").agg(F.min_by(F.struct("bucket", "words", "h0", "h1", "upto"), F.col("bucket")).alias("at")).withColumnRenamed("source", "_source")
         joined = open_.drop("below").join(crossing, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
         short = F.col("left") - (F.col("at.upto") - F.col("at.words"))  # still wanted when the bucket begins
-        one = F.col("at.h0") == F.col("at.h1")
-        below = F.when(F.col("at").isNull(), F.lit(1 << HASH_BITS)).when(one, F.when(2 * short > F.col("at.words"), F.col("at.h1") + 1).otherwise(F.col("at.h0")))
+        below = F.when(F.col("at").isNull(), F.lit(1 << HASH_BITS)).when(F.col("at.h0") == F.col("at.h1"), F.col("at.h0"))
         refined = joined.select("source", "source_size", "n", "target", "copies", F.coalesce(short, F.col("left")).alias("left"), F.coalesce(F.col("at.bucket") * width, F.col("lo")).alias("lo"), below.cast("long").alias("below"))
         state = tables.save(state.where(F.col("below").isNotNull()).unionByName(refined), f"level{level}")
-    return state
+    return one_more(sized, state, tables, total)
+
+
+def one_more(sized: DataFrame, state: DataFrame, tables: Tables, total: int) -> DataFrame:
+    """State with extra: the hash of the document at or over the threshold whose size comes nearest to what is still wanted, if it comes nearer than none."""
+    over = by_source(sized, state.select("source", "n", "left", "below"), total).where((F.col("h") >= F.col("below")) & (F.col("size") > 0))
+    picked = tables.save(over.groupBy("source").agg(F.min_by("h", F.struct(F.abs(F.col("size") - F.col("left")), "h")).alias("extra")).withColumnRenamed("source", "_source"), "picked")
+    wanted = state.join(picked, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    alike = by_source(sized, wanted.select("source", "n", "extra"), total).where(F.col("h") == F.col("extra")).groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "_source")
+    held = wanted.join(alike, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    return tables.save(held.withColumn("extra", F.when(F.abs(F.col("words") - F.col("left")) < F.col("left"), F.col("extra"))).drop("words", "left", "lo"), "rule")
 
 
 def plan(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> tuple[DataFrame, DataFrame]:
-    """(sized, rule): sized has id, source, size, h a document; rule has source, n, source_size, target, copies, below a source."""
+    """(sized, rule): sized has id, source, size, h a document; rule has source, n, source_size, target, copies, below, extra a source."""
     tables = Tables(spark, "mixing")
     sized = tables.save(docs.select(docs[id_column].alias("id"), docs[source_column].alias("source"), words_in(docs[text_column]).alias("size"), hash_of(docs, id_column, source_column, text_column)), "sized")
     sizes = tables.save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sizes")
@@ -123,14 +135,14 @@ def plan(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_c
 
 def times() -> Column:
     """How often the mix takes a document, from the rule's columns beside its own; without words it is taken no time."""
-    return F.when(F.col("size") > 0, F.col("copies") + (F.col("h") < F.col("below")).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(F.col("size") > 0, F.col("copies") + ((F.col("h") < F.col("below")) | F.coalesce(F.col("h") == F.col("extra"), F.lit(False))).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """One row a document: id, source, size, source_size, target, times, taken (words, repeats counted)."""
     sized, rule = plan(spark, docs, **options)
     total = rule.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return by_source(sized, rule.select("source", "n", "source_size", "target", "copies", "below"), total).withColumn("times", times()).select("id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    return by_source(sized, rule.select("source", "n", "source_size", "target", "copies", "below", "extra"), total).withColumn("times", times()).select("id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def repeat(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
@@ -139,6 +151,6 @@ def repeat(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text
     total = rule.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kept = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
     hashed = docs.select(kept, docs[source_column].alias("source"), words_in(docs[text_column]).alias("size"), hash_of(docs, id_column, source_column, text_column))
-    ruled = by_source(hashed, rule.select("source", "n", "copies", "below"), total)
+    ruled = by_source(hashed, rule.select("source", "n", "copies", "below", "extra"), total)
     often = F.when(F.col("size") > 0, times()).otherwise(F.lit(1).cast("long")).cast("int")
     return ruled.select("_row", F.explode(F.array_repeat(F.lit(0), often))).select("_row.*")
