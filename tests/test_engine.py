@@ -260,6 +260,8 @@ def test_update_and_compare_and_set(spark):
     assert e.compare_and_set(1, "A", 2)
     assert not e.compare_and_set(1, "A", 3, seen)
     assert values(e.read(Query("A")), "A") == [2, 50]
+    assert e.with_latest(2, "A", lambda v: v + 1) == 51 and e.with_latest(9, "A", lambda v: v) is None
+    assert values(e.read(Query("A")), "A") == [2, 51]
 
 
 def test_cursor_drain_and_last_settled(spark):

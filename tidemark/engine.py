@@ -268,6 +268,17 @@ class Engine:
             self.put(entity, **{component: value})
             return True
 
+    def with_latest(self, entity: int, component: str, change: Callable[[Any], Any]) -> Any:
+        """Replace one value by a function of what it is now; the new value, or None if there is none."""
+        with self._lock:
+            self.settle()
+            row = self.world.table(component).where(F.col("entity") == entity).select("value").first()
+            if row is None:
+                return None
+            new = change(row[0])
+            self.put(entity, **{component: new})
+            return new
+
     def revision_of(self, entity: int, component: str) -> int | None:
         self.settle()
         row = self.world.table(component).where(F.col("entity") == entity).select("_rev").first()
