@@ -110,7 +110,7 @@ def meet(blocks: Blocks, block: int, home: np.ndarray, x: np.ndarray, copies_x:
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """One row a vector: id, n_links, component_id, kept."""
     tables = Tables(spark, "embeddings")
-    rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].cast("array<double>").alias("v"), vectors[label_column].alias("label"))
+    rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].alias("v"), vectors[label_column].alias("label"))
     able = usable(F.col("v")) & F.col("label").isNotNull()
     marked = tables.save(rows.select("id", "v", "label", able.alias("able"), F.when(able, F.xxhash64("label", "v")).alias("node")), "rows")
     classes = tables.save(marked.where("able").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("id").alias("least"), F.count("*").alias("copies")), "classes")
@@ -145,8 +145,8 @@ def _join(tables: Tables, classes: DataFrame, width: int, cosine: float) -> Data
                 took = some.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([took.column("label"), pa.array(block.astype(np.int32)), pa.array(cell), pa.array(home), took.column("node"), took.column("copies"), took.column("v")], names=["label", "block", "cell", "home", "node", "copies", "v"])
 
-    kind = dict(classes.dtypes)["label"]
-    visits = classes.select("label", "node", "copies", "v").mapInArrow(visit, f"label {kind}, block int, cell long, home boolean, node long, copies long, v array<double>")
+    kind = dict(classes.dtypes)
+    visits = classes.select("label", "node", "copies", "v").mapInArrow(visit, f"label {kind['label']}, block int, cell long, home boolean, node long, copies long, v {kind['v']}")
     visits = tables.save(visits.withColumn("key", F.xxhash64("label", "block", "cell")), f"visits{width}")
     # homes and visitors of a cell are dealt by hash into so many parts each; every pair of parts is a tile
     sizes = tables.save(visits.groupBy("key").agg(F.count("*").alias("_w"), F.ceil(F.count_if("home") / TILE).cast("int").alias("hosts"), F.ceil(F.count("*") / TILE).cast("int").alias("guests")).where("hosts > 0"), f"sizes{width}")
