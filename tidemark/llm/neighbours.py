@@ -129,7 +129,7 @@ def scan(model: Quantiser, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray
 def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", again: int = AGAIN) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k nearest found among all rows of other ids."""
     tables = Tables(spark, "neighbours")
-    rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     found = [_nearest(spark, rows.where(F.size("v") == width), width, k, again) for width in widths(rows, "v")]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
