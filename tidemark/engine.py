@@ -405,9 +405,13 @@ class Engine:
         return True
 
     def _layer(self, name: str) -> Layered:
-        if name in self.world.tables:
+        if name in self.world.tables and self.world.tables[name].n >= 0:
             return self.world.tables[name]
         table = self.world.table(name)
+        if name in self.world.tables:
+            table = self.storage.save(table)
+            n = table.count()
+            return Layered("entity", table, n, None, 0, n)
         n = table.count() if name in self.world.fused else 0
         return Layered("entity", table, n, None, 0, n)
 
@@ -418,15 +422,16 @@ class Engine:
         now = self.world.table(edge)
         for inv in self.registry.inverses(edge):
             form = relationships.inverse if inv.lists else relationships.digest
-            if before is None:
-                held, gone = form(now, target), None
-            else:
-                fresh, lost = self._news[edge]
-                moved = fresh.select("entity").union(lost)
-                left = before.join(moved, "entity", "left_semi")
-                touched = self.storage.save(fresh.select(target.alias("target")).union(left.select(target.alias("target"))).where("target is not null").distinct())
-                held = self.storage.save(form(relationships.affected(touched, now, target), target))
-                gone = touched.select(F.col("target").alias("entity")).join(held, "entity", "left_anti")
+            if before is None:  # of a loaded table: worked out when it is read, written when it first changes
+                meta = {"_rev": F.lit(rev).cast("long"), "_fp": inv.fingerprint(F.col("value")), "_born": F.lit(rev).cast("long"), "_owner": F.lit(None).cast("string"), "_keys": F.lit(None).cast("array<long>")}
+                self.world = self.world.with_table(inv.name, Layered("entity", form(now, target).withColumns(meta), -1, None, 0, -1), rev)
+                continue
+            fresh, lost = self._news[edge]
+            moved = fresh.select("entity").union(lost)
+            left = before.join(moved, "entity", "left_semi")
+            touched = self.storage.save(fresh.select(target.alias("target")).union(left.select(target.alias("target"))).where("target is not null").distinct())
+            held = self.storage.save(form(relationships.affected(touched, now, target), target))
+            gone = touched.select(F.col("target").alias("entity")).join(held, "entity", "left_anti")
             owned = held.select("entity", "value", F.lit(None).cast("string").alias("_owner"), F.lit(None).cast("array<long>").alias("_keys"))
             self._write(inv.name, owned, None, gone, rev)
 
