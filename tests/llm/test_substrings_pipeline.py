@@ -46,6 +46,30 @@ def test_passages_are_found_and_clean_documents_left_alone(spark, prose):
             short.setdefault(x, i)
 
 
+def test_every_passage_of_enough_words_is_found_whole(spark):
+    """Passages of 25 to 80 words in other surroundings, wherever chunks end, some of them of several earlier documents."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    rows, want = [], {}
+    for i in range(0, 1200, 3):
+        n = 24 if i % 60 == 0 else 25 + i % 56
+        passage = some(n)
+        rows.append((i, " ".join(some(r.randint(0, 60)) + passage + some(r.randint(0, 60)))))
+        rows.append((i + 1, " ".join(some(r.randint(0, 60)) + passage[: n // 2] + some(40))))  # part of it alone
+        head = some(r.randint(0, 60))
+        rows.append((i + 2, " ".join([*head, *passage, *some(r.randint(0, 60))])))
+        if n >= 25:
+            a = len(" ".join([*head, ""])) if head else 0
+            want[i + 2] = (a, a + len(" ".join(passage)), i)
+    found = {}
+    for x in substrings.repeated(spark, spark.createDataFrame(rows, DOCS)).collect():
+        found.setdefault(x.id, []).append(x)
+    for i, (a, b, first) in want.items():
+        assert any(x.start <= a and x.end >= b and x.first_id <= first and x.words >= 25 for x in found.get(i, [])), (i, a, b, found.get(i))
+    assert all(i % 3 == 2 and i in want or i % 3 == 1 and (i - 1) % 56 >= 24 for i in found)
+
+
 def test_substrings_odd_rows(spark, odd):
     text = "one two three four five six seven eight nine ten eleven twelve " * 5
     docs = spark.createDataFrame([(1, text), (1, text), (2, text + "and more"), (None, text), (3, None), (4, "")], DOCS).withColumn("at", F.lit(1)).withColumn("id", F.lit(9))
