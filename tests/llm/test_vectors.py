@@ -72,6 +72,24 @@ def test_search_against_brute_force(spark, vectors, block, again, monkeypatch):
     assert hit / total >= 0.95
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-6, 0.02])
+def test_search_in_a_group_larger_than_what_is_ranked_again(noise):
+    """A third of a block are copies or near copies, in any row order: the result is that of brute force, ties to smaller ids."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3000, 16))
+    x[:1000] = x[0] + noise * r.normal(size=(1000, 16))
+    ids = r.permutation(3000)
+    ids[50] = ids[51]  # a repeated id
+    model = neighbours.Quantiser(x[:2000])
+    asked = [*range(8), *range(2000, 2008)]
+    got = neighbours.scan(model, ids, x, ids[asked], x[asked], 20, 320)
+    for i in asked:
+        exact = (x * x[i]).sum(axis=1)
+        want = sorted((-s, j) for s, j in zip(exact.tolist(), ids.tolist()) if j != ids[i])[:20]
+        some = got["query_id"] == ids[i]
+        assert list(zip((-got["score"][some]).tolist(), got["vec_id"][some].tolist()))[:20] == want, i
+
+
 def test_anisotropic_loss_lowers_the_parallel_residual():
     x = np.random.default_rng(1).normal(size=(2000, 32))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -6,7 +6,10 @@ the residual, the part parallel to the vector counts more than the rest, since
 that part is what moves the inner products that matter.  A query turns the
 centres into tables of partial products; a scan of the codes adds up table
 entries, two codes at a time, and the best few are ranked again by the exact
-product of the original vectors in double precision.
+product of the original vectors in double precision.  The k-th of these is a
+floor: by the residual of its codes each other vector has a bound of its exact
+product, and all that may reach the floor are ranked again too, so the result is
+that of brute force.  Equal vectors of a block are coded and ranked as one.
 
 Centres are fitted on a bounded sample; every vector is coded.  Candidates and
 queries are dealt into blocks, and a task holds one block of each.
@@ -36,7 +39,7 @@ CENTRES = 16
 SUBSPACE, SAMPLE, ROUNDS = 2, 8192, 8
 #: Products below this share of the vector's norm need not be exact; sets how much more a parallel residual counts.
 THRESHOLD = 0.2
-#: Blocks: candidates and queries of a task at most about, and candidates ranked again in each.
+#: Blocks: candidates and queries of a task at most about, and distinct vectors ranked again in each at first.
 CANDIDATES, QUERIES, AGAIN = 16_384, 1024, 320
 
 
@@ -102,27 +105,63 @@ class Quantiser:
         return np.stack([(part[j][:, None] + part[j + 1][None]).ravel() for j in range(0, len(part), 2)]).astype(np.float32)
 
 
+def collapse(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors, and for each from ``start`` on ``size`` of its ids in order: the k + 1 smallest, each as often as it occurs but at most k times."""
+    row = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0]
+    _, at, of = np.unique(row, return_index=True, return_inverse=True)
+    order = np.lexsort((ids, of))
+    ids, of = ids[order], of[order]
+    position = np.arange(len(ids))
+    new_vector = np.diff(of, prepend=-1) != 0
+    new_id = new_vector | (np.diff(ids, prepend=ids[:1]) != 0)
+    nth_id = np.cumsum(new_id) - np.maximum.accumulate(np.where(new_vector, np.cumsum(new_id), 0))
+    nth_row = position - np.maximum.accumulate(np.where(new_id, position, 0))
+    keep = (nth_id <= k) & (nth_row < k)
+    size = np.bincount(of[keep], minlength=len(at))
+    return x[at], ids[keep], np.cumsum(size) - size, size
+
+
 def scan(model: Quantiser, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, again: int) -> dict[str, np.ndarray]:
-    """The k best of this block for each query: a table scan, then exact products of the best ``again``."""
-    codes = model.pairs(model.encode(x))
+    """The k best of this block for each query: a table scan, exact products of the best ``again``, then of all that may reach the k-th of these."""
+    x, ids, start, size = collapse(ids, x, k)
+    found = model.encode(x)
+    codes = model.pairs(found)
+    back = np.concatenate([model.centres[j][found[:, j]] for j in range(len(model.cuts))], axis=1)
+    length = np.linalg.norm(back, axis=1)
+    # how far a table sum may be off a product, for a query of norm 1: the residual, and rounding
+    off = np.linalg.norm(x - back, axis=1) + 1e-5 * (length + sum(np.linalg.norm(c, axis=1).max(initial=0.0) for c in model.centres))
     out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "score": []}
     sums, room = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
+
+    def ranked(near: np.ndarray, name: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = size[near]
+        at = np.repeat(start[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        exact = np.repeat((x[near] * q).sum(axis=1), n)
+        other = ids[at] != name
+        at, exact = at[other], exact[other]
+        if len(at) > 4 * k:  # only those that reach the k-th, ties included, are put in order
+            high = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+            at, exact = at[high], exact[high]
+        best = np.lexsort((ids[at], -exact))[:k]
+        return ids[at[best]], exact[best]
+
     for name, q in zip(query_ids.tolist(), queries):
+        near = np.arange(len(x))
         if len(x) > again:
-            tables = model.tables(q)
-            np.take(tables[0], codes[0], out=sums)
-            for table, code in zip(tables[1:], codes[1:]):
-                np.take(table, code, out=room)
-                np.add(sums, room, out=sums)
-            near = np.argpartition(-sums, again - 1)[:again]
-        else:
-            near = np.arange(len(x))
-        near = near[ids[near] != name]
-        exact = (x[near] * q).sum(axis=1)
-        best = near_order = np.lexsort((ids[near], -exact))[:k]
+            with np.errstate(over="ignore", invalid="ignore"):
+                tables = model.tables(q)
+                np.take(tables[0], codes[0], out=sums)
+                for table, code in zip(tables[1:], codes[1:]):
+                    np.take(table, code, out=room)
+                    np.add(sums, room, out=sums)
+                first = np.argpartition(-sums, again - 1)[:again]
+                got = ranked(first, name, q)[1]
+                if len(got) == k:
+                    near = np.nonzero(~(sums + np.linalg.norm(q) * off < got[-1]))[0]  # what is no number may be anything
+        best, exact = ranked(near, name, q)
         out["query_id"].append(np.full(len(best), name))
-        out["vec_id"].append(ids[near][near_order])
-        out["score"].append(exact[best])
+        out["vec_id"].append(best)
+        out["score"].append(exact)
     return {c: np.concatenate(v) if v else np.empty(0) for c, v in out.items()}
 
 
