@@ -67,6 +67,18 @@ def test_formats_tell_credentials_from_words(spark, prose):
     assert not formats.spans("call 5551234567 or 4041894974608795 about order.number.12345678")[1]
 
 
+def test_short_words_and_words_without_a_digit_are_scored():
+    import random
+
+    r = random.Random(6)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(6, 14))) for _ in range(400)]
+    formats = secrets.Formats({"assign": [f"qz{r.choice('XY')}K{r.choice('WV')}J" for _ in range(40)], "": words})  # six letters
+    text = f"{words[3]} qzXKVJ {words[9]} {words[0]}"
+    at = text.index("qzXKVJ")
+    assert [s[:3] for s in formats.spans(text)[1]] == [("like_assign", at, at + 6)]
+    assert not formats.spans(" ".join(words))[1]
+
+
 def test_secrets_odd_rows(spark, odd, none):
     formats = secrets.learn(spark, odd)
     rows = secrets.scan(spark, odd, formats).collect()

@@ -5,8 +5,8 @@ bounded sample of documents are the labelled examples from which formats are
 inferred: the examples of a kind become a prefix tree with counts, and states
 whose outgoing distributions agree statistically are merged into a
 probabilistic automaton.  Two further automata are inferred from long words that
-no pattern matches, those with digits and those without apart.  Every other candidate word of every document is then
-scored by the log-likelihood of the best format over that of ordinary words;
+no pattern matches, those with digits and those without apart.  Every other word of every document, of
+at least the shortest length that a pattern takes, with digits or without, is then scored by the log-likelihood of the best format over that of ordinary words;
 those over a threshold are added as spans of kind ``like_<kind>``.
 
 Defined cases: a null or empty text has no spans; without examples of a kind
@@ -32,9 +32,9 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Words of at least this many characters are candidates.
-LEAST = 12
-WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
+#: Characters of the shortest secret that a pattern can match, so of a word that a format can be of.
+LEAST = 6
+WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 NUMBER = frozenset("0123456789.-+")
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Bounds of what is learned from: documents (a share by hash) and examples a kind.
@@ -50,7 +50,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int, int]]:
     found = []
     low = text.lower()
     if any(h in low for h in HINTS):
-        found += [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 6]
+        found += [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= LEAST]
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
@@ -68,8 +68,8 @@ def has_digit(word: str) -> bool:
 
 
 def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int]]:
-    """Long words with a digit that no base span touches."""
-    found = [(m.start(), m.end()) for m in WORD.finditer(text) if has_digit(m[0])]
+    """Words of LEAST characters or more that no base span touches."""
+    found = [(m.start(), m.end()) for m in WORD.finditer(text)]
     return [(a, b) for a, b in found if not any(s < b and a < e for _, s, e, _ in taken)]
 
 
