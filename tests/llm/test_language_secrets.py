@@ -79,6 +79,10 @@ def test_short_words_and_words_without_a_digit_are_scored():
     assert not formats.spans(" ".join(words))[1]
 
 
+def test_examples_are_of_all_documents(spark, prose):
+    assert "assign" in secrets.learn(spark, prose, documents=20).by_kind  # 20 of 500 documents hold a credential
+
+
 def test_secrets_odd_rows(spark, odd, none):
     formats = secrets.learn(spark, odd)
     rows = secrets.scan(spark, odd, formats).collect()

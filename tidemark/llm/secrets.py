@@ -1,8 +1,8 @@
 """Secret scanning with inferred formats.
 
-Three fixed patterns find the base spans.  Credentials that they match in a
-bounded sample of documents are the labelled examples from which formats are
-inferred: the examples of a kind become a prefix tree with counts, and states
+Three fixed patterns find the base spans.  Credentials that they match in any
+document are the labelled examples; formats are inferred from a bounded number of
+each kind, by hash, and ordinary words from a bounded sample of documents: the examples of a kind become a prefix tree with counts, and states
 whose outgoing distributions agree statistically are merged into a
 probabilistic automaton.  Two further automata are inferred from long words that
 no pattern matches, those with digits and those without apart.  Every other word of every document, of
@@ -37,7 +37,7 @@ LEAST = 6
 WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 NUMBER = frozenset("0123456789.-+")
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-#: Bounds of what is learned from: documents (a share by hash) and examples a kind.
+#: Bounds of what is learned from: documents for ordinary words (a share by hash) and examples a kind.
 SAMPLE_DOCUMENTS, EXAMPLES = 20_000, 400
 #: Log-likelihood over ordinary words that a candidate must reach, in nats a character and in all.
 MARGIN_EACH, MARGIN = 0.35, 8.0
@@ -199,27 +199,26 @@ class Formats:
 
 
 def learn(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", documents: int = SAMPLE_DOCUMENTS, examples: int = EXAMPLES) -> Formats:
-    """Infer the formats from at most about ``documents`` documents and ``examples`` distinct examples a kind."""
+    """Infer the formats from at most ``examples`` distinct examples a kind, of credentials in all documents and ordinary words in about ``documents``."""
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     n = rows.select("id").count()
-    if n > documents:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * documents / n))
+    sampled = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, documents / max(1, n)))
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
         kinds, values = [], []
-        for text in batch.column("text").to_pylist():
+        for text, in_sample in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist()):
             base = base_spans(text)
             for k, _, end, inner in base:
                 kinds.append(k)
                 values.append(text[inner:end][:256])
-            if text:
+            if text and in_sample:
                 words = [text[m.start() : m.end()] for m in WORD.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)]
                 kinds += [""] * len(words)
                 values += [w[:256] for w in words]
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
     tables = Tables(spark, "secrets")
-    found = tables.save(map_arrow(rows.select("text"), find, "kind string, value string").distinct(), "examples")
+    found = tables.save(map_arrow(rows.select("text", sampled.alias("sampled")), find, "kind string, value string").distinct(), "examples")
     got: dict[str, list[str]] = {}
     for kind in (*KINDS, ""):
         of_kind = found.where(F.col("kind") == kind).withColumn("digit", F.col("value").rlike("[0-9]").cast("int"))
