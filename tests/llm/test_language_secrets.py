@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 import re
 
 from tidemark.llm import language, secrets
@@ -68,8 +70,6 @@ def test_formats_tell_credentials_from_words(spark, prose):
 
 
 def test_short_words_and_words_without_a_digit_are_scored():
-    import random
-
     r = random.Random(6)
     words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(6, 14))) for _ in range(400)]
     formats = secrets.Formats({"assign": [f"qz{r.choice('XY')}K{r.choice('WV')}J" for _ in range(40)], "": words})  # six letters
@@ -96,6 +96,85 @@ def test_secrets_odd_rows(spark, odd, none):
     assert got[3].text is None and got[6].text.startswith("lorem")
 
 
+B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+HEX = "0123456789abcdef"
+# name: how many characters of each alphabet, literal parts between
+PLANTED = {
+    "tagged": lambda r: "ghp_" + some(r, B62, 24),
+    "live": lambda r: "sk-live-" + some(r, HEX, 16),
+    "five": lambda r: "-".join(some(r, HEX, n) for n in (8, 4, 4, 4, 12)),
+    "padded": lambda r: some(r, B62 + "+/", 22) + "==",
+    "code": lambda r: some(r, B62[10:36], 4) + "-" + some(r, "0123456789", 6),
+}
+
+
+def some(r, letters, n):
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+def planted_formats(r, words):
+    return secrets.Formats({"assign": [f(r) for f in PLANTED.values() for _ in range(60)], "access": ["AKIA" + some(r, B62[:36], 16) for _ in range(60)], "": words})
+
+
+def by_hand(formats, word):
+    """The kind of a word, from all likelihoods in full."""
+
+    def classes(w):
+        of = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in w]
+        size = (10, 26, 26, 6)
+        return sum(math.log((0.9 if i == 0 or of[i - 1] == k else 0.1 / 3) / size[k]) for i, k in enumerate(of))
+
+    def whole(f):
+        at, total = 0, 0.0
+        for c in word:
+            total += f.step[at][c][1]
+            at = f.step[at][c][0]
+        return total + f.end[at]
+
+    gain = max(secrets.MARGIN, secrets.MARGIN_EACH * len(word))
+    best, kind = max(((share + whole(f), k) for k, fs in formats.by_kind.items() for share, f in fs), default=(-1e9, None))
+    return kind if best - max([classes(word), *map(whole, formats.words)]) >= gain else None
+
+
+def test_planted_credentials_are_found_without_a_name(spark, prose):
+    r = random.Random(8)
+    rows = prose.collect()
+    words = sorted({w for x in rows for w in secrets.WORD.findall(x.text) if "=" not in w})
+    formats = planted_formats(r, words[::2])
+    assert all(len(f.step) > 10 for fs in formats.by_kind.values() for _, f in fs)
+    for name, f in PLANTED.items():
+        found = [formats.spans(f"{words[i]} {f(r)} {words[i + 1]}") for i in range(100)]
+        assert not any(base for base, _ in found if name != "five"), name
+        assert sum(len(spans) == 1 for _, spans in found) >= 90, name
+    clean = [w for x in rows for w in secrets.WORD.findall(x.text) if w[:8] != "password"]
+    assert sum(formats.kind(w) is not None for w in clean) <= len(clean) / 1000
+
+
+def test_likelihoods_equal_brute_force(prose):
+    r = random.Random(9)
+    texts = [x.text for x in prose.collect()] + [" ".join(f(r) for f in PLANTED.values()) + " mail8.example.com 4041894974608795 169.122.221.182 the.72 A" * 3 for _ in range(50)]
+    formats = planted_formats(r, [w for t in texts[:200] for w in secrets.WORD.findall(t)])
+    found = 0
+    for t in texts:
+        taken = secrets.base_spans(t)
+        for a, b in secrets.candidates(t, taken):
+            want = by_hand(formats, t[a:b])
+            assert formats.kind(t[a:b]) == want, t[a:b]
+            found += want is not None
+    assert found > 150
+    for f in [f for fs in formats.by_kind.values() for _, f in fs] + formats.words:  # chances of a state sum to one
+        assert all(abs(sum(math.exp(p) for _, p in arcs.values()) + math.exp(end) - 1) < 1e-9 for arcs, end in zip(f.step, f.end))
+
+
+def test_examples_are_learned_whole_and_kinds_of_few_count():
+    long = "x" + "0f" * 300
+    formats = secrets.Formats({"assign": [long], "": ["ordinary", "another"]})
+    (share, f), = formats.by_kind["assign"]
+    assert formats.kind(long) == "assign" and share == 0 and len(f.step) == len(long) + 1
+    assert f.score(long) > max(f.score(long[:-1]), f.score(long[:256]), f.score(long + "0"))  # what follows after any prefix is known too
+    assert secrets.Formats({}).kind(long) is None
+
+
 def test_inferred_automaton_keeps_structure():
     f = secrets.Format([f"AK{i:04d}" for i in range(300)])
     assert f.score("AK0234") > f.score("0234AK") + 5
