@@ -171,7 +171,7 @@ def test_examples_are_learned_whole_and_kinds_of_few_count():
     formats = secrets.Formats({"assign": [long], "": ["ordinary", "another"]})
     (share, f), = formats.by_kind["assign"]
     assert formats.kind(long) == "assign" and share == 0 and len(f.step) == len(long) + 1
-    assert f.score(long) > max(f.score(long[:-1]), f.score(long[:256]), f.score(long + "0"))  # what follows after any prefix is known too
+    assert f.score(long) > max(f.score(long[:-1]), f.score(long + "0")) + 3
     assert secrets.Formats({}).kind(long) is None
 
 

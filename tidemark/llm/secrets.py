@@ -233,7 +233,7 @@ class Format:
             guess = {c: share[k] * usual[c] for c, k in CLASS.items()} | {"": (tree.ends[a] + 0.1) / whole}
             seen = {**flow, "": tree.ends[a]}
             # the guess weighs so much as makes what was seen the likeliest: much where characters are at random, little where they are literal
-            weight = max(WEIGHTS, key=lambda w: lgamma(w) - lgamma(w + n) + sum(lgamma(w * guess[c] + k) - lgamma(w * guess[c]) for c, k in seen.items()))
+            weight = max(WEIGHTS, key=lambda w: round(lgamma(w) - lgamma(w + n) + sum(lgamma(w * guess[c] + k) - lgamma(w * guess[c]) for c, k in seen.items()), 9))
             best = sorted(flow, key=lambda c: (-flow[c], c))
             arcs = {}
             for c, k in CLASS.items():
