@@ -68,3 +68,53 @@ def test_solutions_hold_everything_once(histogram):
     assert held == Counter(histogram)
     least = -(-sum(n * k for n, k in histogram.items()) // 10)
     assert sum(solution.values()) <= max(least + 1, sum(k for n, k in histogram.items() if n > 5))
+
+
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying all ways to fill them."""
+    best = {}
+
+    def least(left):
+        if not left:
+            return 0
+        if left not in best:
+            fills = [((), 0)]
+            for i, n in enumerate(left[1:]):
+                fills += [((*f, i), size + n) for f, size in fills if size + n + left[0] <= capacity]
+            best[left] = 1 + min(least(tuple(n for i, n in enumerate(left[1:]) if i not in f)) for f, _ in fills)
+        return best[left]
+
+    return least(tuple(sorted(pieces, reverse=True)))
+
+
+def test_solutions_near_exact_ones():
+    r = random.Random(5)
+    for _ in range(60):
+        pieces = [r.randint(1, 12) for _ in range(r.randint(1, 9))]
+        found = sum(packing.solve(dict(Counter(pieces)), 12).values())
+        exact = fewest(pieces, 12)
+        assert exact <= found <= exact + 1 and found <= sum(packing.best_fit(dict(Counter(pieces)), 12).values())
+
+
+@pytest.mark.parametrize("times", [1, 40, 5000])
+def test_linear_program_covers_and_its_configurations_place_nearly_all(times):
+    r, capacity = random.Random(6), 512
+    histogram = Counter(min(capacity - 1, 1 + int(r.gammavariate(1.5, 90))) for _ in range(3000))
+    histogram = {n: k * times for n, k in histogram.items()}
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[n] for n in lengths.tolist()])
+    amount = packing.fractional(lengths, demand, capacity)
+    covered = Counter()
+    for config, x in amount.items():
+        assert x > 0 and sum(n * k for n, k in config) <= capacity
+        for n, k in config:
+            covered[n] += x * k
+    assert sum(covered.values()) >= 0.99 * demand.sum() and all(covered[n] <= histogram[n] + 1e-6 for n in histogram)
+    material = sum(n * x for n, x in covered.items()) / capacity
+    assert sum(amount.values()) <= 1.01 * material  # no configurations can do with fewer
+    begun, left = packing.rounded(amount, histogram, packing.KEPT[-1])
+    assert sum(t * k for c, t in begun.items() for _, k in c) >= 0.9 * demand.sum()
+    solution = packing.solve(histogram, capacity)
+    alone = sum(packing.best_fit(histogram, capacity).values())
+    bound = -(-int(lengths @ demand) // capacity)
+    assert bound <= sum(solution.values()) <= min(alone, bound + 1 + bound // 1000)
