@@ -9,15 +9,21 @@ found, and only that bucket is split by the next bits, until it holds one hash
 value.  Nothing is sorted and no document leaves its executor: what moves is
 one row for each source and bucket.
 
-The bucket's last hash is left out; instead one more document is taken whose
-size comes nearest to the words still wanted, if that comes nearer than none.
+The last hash is that of one document, or of rows equal in all columns used (id,
+text, source), of which as many are taken as the budget holds.  Then one more document is
+taken whose size comes nearest to the words still wanted, if that comes nearer than none.
+Which of several equal rows are taken can't be told by their columns: they are
+written to the shared folder, dealt into parts by their place there and numbered part by part, so a
+row repeated millions of times is numbered in many tasks.
 Thresholds are nested: but for that one document, a larger budget of a source
 takes a superset.
 
 Defined cases: a null source is a source of its own, placed last; a null or
-empty text has size 0 and takes nothing; rows that are equal in all
-columns used (id, text, source) hash alike and are taken together, any number of
-them; an empty table gives an empty result; columns of other names play no part.
+empty text has size 0 and takes nothing; of equal rows some may be taken once more than the
+others, which of them is not said; of documents that come equally near that of the least
+hash is taken; very long texts count whole, and one that is over what its source is
+to give is not taken once more unless that comes nearer than none; an empty table gives an empty result; columns of
+other names play no part.
 """
 
 from __future__ import annotations
@@ -85,7 +91,7 @@ def by_source(docs: DataFrame, per_source: DataFrame, total: int) -> DataFrame:
 
 
 def thresholds(sized: DataFrame, targets: DataFrame, tables: Tables, total: int) -> DataFrame:
-    """Targets with copies (whole ones), below (hashes under it are taken once more) and extra (so is this one)."""
+    """Targets with copies (whole ones), below (hashes under it are taken once more), and the rows taken once more of ``equal`` ones at hash below and of ``alike`` ones at hash extra."""
     state = targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     state = state.withColumns({"left": F.col("target") - F.col("copies") * F.col("source_size"), "lo": F.lit(0).cast("long"), "below": F.lit(None).cast("long")})
     state = tables.save(state, "level0")
@@ -113,44 +119,92 @@ def thresholds(sized: DataFrame, targets: DataFrame, tables: Tables, total: int)
     return one_more(sized, state, tables, total)
 
 
-def one_more(sized: DataFrame, state: DataFrame, tables: Tables, total: int) -> DataFrame:
-    """State with extra: the hash of the document at or over the threshold whose size comes nearest to what is still wanted, if it comes nearer than none."""
-    over = by_source(sized, state.select("source", "n", "left", "below"), total).where((F.col("h") >= F.col("below")) & (F.col("size") > 0))
-    picked = tables.save(over.groupBy("source").agg(F.min_by("h", F.struct(F.abs(F.col("size") - F.col("left")), "h")).alias("extra")).withColumnRenamed("source", "_source"), "picked")
-    wanted = state.join(picked, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    alike = by_source(sized, wanted.select("source", "n", "extra"), total).where(F.col("h") == F.col("extra")).groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "_source")
-    held = wanted.join(alike, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    return tables.save(held.withColumn("extra", F.when(F.abs(F.col("words") - F.col("left")) < F.col("left"), F.col("extra"))).drop("words", "left", "lo"), "rule")
+def rows_at(sized: DataFrame, state: DataFrame, column: str, total: int) -> DataFrame:
+    """By source, how many rows have the hash in this column and what size each of them has."""
+    met = by_source(sized, state.select("source", "n", F.col(column).alias("_at")), total).where(F.col("h") == F.col("_at"))
+    return met.groupBy("source").agg(F.count("*").alias("rows"), F.max("size").alias("each")).withColumnRenamed("source", "_source")
+
 
+def one_more(sized: DataFrame, state: DataFrame, tables: Tables, total: int) -> DataFrame:
+    """State with equal and n_equal: the rows at hash ``below``, and how many of them the budget holds; then extra, alike and n_extra.
 
-def plan(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> tuple[DataFrame, DataFrame]:
-    """(sized, rule): sized has id, source, size, h a document; rule has source, n, source_size, target, copies, below, extra a source."""
+    Extra is the hash at or over the threshold, of a row not taken yet, whose size comes nearest to what is then
+    still wanted, if it comes nearer than none; one of its rows is taken.
+    """
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    begun = state.join(rows_at(sized, state, "below", total), same, "left").drop("_source")
+    fit = F.when(F.col("each") > 0, F.least(F.col("rows"), F.expr("floor(left) div each"))).otherwise(0).cast("long")
+    begun = begun.withColumns({"equal": F.coalesce("rows", F.lit(0)), "n_equal": F.coalesce(fit, F.lit(0))}).withColumn("left", F.col("left") - F.col("n_equal") * F.coalesce("each", F.lit(0)))
+    begun = tables.save(begun.drop("rows", "each"), "begun")
+    more = (F.col("h") > F.col("below")) | (F.col("h") == F.col("below")) & (F.col("n_equal") < F.col("equal"))
+    over = by_source(sized, begun.select("source", "n", "left", "below", "equal", "n_equal"), total).where(more & (F.col("size") > 0))
+    picked = over.groupBy("source").agg(F.min_by(F.struct("h", "size"), F.struct(F.abs(F.col("size") - F.col("left")), "h")).alias("one")).withColumnRenamed("source", "_source")
+    found = begun.join(picked, same, "left").drop("_source")
+    nearer = F.abs(F.col("one.size") - F.col("left")) < F.col("left")
+    found = tables.save(found.withColumn("extra", F.when(nearer, F.col("one.h"))).drop("one", "left", "lo"), "picked")
+    alike = rows_at(sized, found, "extra", total).drop("each").withColumnRenamed("rows", "alike")
+    return tables.save(found.join(alike, same, "left").drop("_source").withColumn("alike", F.coalesce("alike", F.lit(0))), "rule")
+
+
+#: What of the rule tells how often a document is taken.
+RULE = ("source", "n", "copies", "below", "equal", "n_equal", "extra", "alike")
+#: Parts into which equal rows are dealt to be numbered, at least, and rows a part if there is one key.
+PARTS, PART_ROWS = 256, 500_000
+
+
+def plan(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> tuple[DataFrame, DataFrame, Tables]:
+    """(sized, rule, tables): sized has id, source, size, h a document; rule has source, n, source_size, target and what ``one_more`` adds a source."""
     tables = Tables(spark, "mixing")
     sized = tables.save(docs.select(docs[id_column].alias("id"), docs[source_column].alias("source"), words_in(docs[text_column]).alias("size"), hash_of(docs, id_column, source_column, text_column)), "sized")
     sizes = tables.save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sizes")
     n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rule = thresholds(sized, shared_out(sizes, total, most, weights), tables, n)
-    return sized, rule
-
-
-def times() -> Column:
-    """How often the mix takes a document, from the rule's columns beside its own; without words it is taken no time."""
-    return F.when(F.col("size") > 0, F.col("copies") + ((F.col("h") < F.col("below")) | F.coalesce(F.col("h") == F.col("extra"), F.lit(False))).cast("long")).otherwise(F.lit(0).cast("long"))
+    return sized, rule, tables
+
+
+def taken_of_equals() -> Column:
+    """Of the rows that have this row's hash, how many are taken once more; all or none of those that are not at a boundary."""
+    at_below = F.when(F.col("h") == F.col("below"), F.col("n_equal")).otherwise(0)
+    at_extra = F.when(F.col("h") == F.col("extra"), 1).otherwise(0)
+    return (at_below + at_extra).cast("long")
+
+
+def counted(ruled: DataFrame, tables: Tables, rule: DataFrame) -> DataFrame:
+    """Rows with the rule's columns, to these with ``times``: how often the mix takes each; without words it is taken no time."""
+    known = [c for c in ruled.columns if c not in RULE[1:]]
+    rows = F.when(F.col("h") == F.col("below"), F.col("equal")).when(F.col("h") == F.col("extra"), F.col("alike"))
+    some = F.when(F.col("size") > 0, taken_of_equals()).otherwise(F.lit(0).cast("long"))
+    full = F.when(F.col("size") > 0, F.col("copies") + F.when(F.col("h") < F.col("below"), 1).otherwise((taken_of_equals() > 0).cast("int"))).otherwise(0).cast("long")
+    split = F.coalesce((some > 0) & (some < rows), F.lit(False))
+    whole = ruled.where(~split).select(*known, full.alias("times"))
+    several = (F.col("n_equal") > 0) & (F.col("n_equal") < F.col("equal")) | F.col("extra").isNotNull() & (F.col("alike") > 1) | (F.col("extra") == F.col("below")) & (F.col("n_equal") + 1 < F.col("equal"))
+    if rule.where(several).isEmpty():
+        return whole
+    held = tables.save(ruled.where(split).select(*known, "copies", some.alias("_some")), "equals")
+    parts = max(PARTS, rule.agg(F.sum("n")).first()[0] // PART_ROWS)
+    part = F.pmod(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")), F.lit(parts)).cast("int")
+    dealt = held.select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_row_index"), F.col("_metadata.file_path").alias("_file"))
+    before = Window.partitionBy("source", "h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("source", "h", "_part").agg(F.count("*").alias("_n")).select(F.col("source").alias("_source"), F.col("h").alias("_h"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("source", "h", "_part").orderBy("_file", "_row_index"))
+    met = dealt.withColumn("_nth", nth).join(sizes, F.col("source").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_h")) & (F.col("_part") == F.col("_p")))
+    return whole.unionByName(met.select(*known, (F.col("copies") + (F.col("_nth") + F.col("_before") <= F.col("_some")).cast("long")).alias("times")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """One row a document: id, source, size, source_size, target, times, taken (words, repeats counted)."""
-    sized, rule = plan(spark, docs, **options)
+    sized, rule, tables = plan(spark, docs, **options)
     total = rule.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return by_source(sized, rule.select("source", "n", "source_size", "target", "copies", "below", "extra"), total).withColumn("times", times()).select("id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    ruled = by_source(sized, rule.select(*RULE, "source_size", "target"), total)
+    return counted(ruled, tables, rule).select("id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def repeat(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """The mixed documents themselves, all columns as they were: each as often as the mix takes it; documents without words stay once."""
-    _, rule = plan(spark, docs, id_column, text_column, source_column, **options)
+    _, rule, tables = plan(spark, docs, id_column, text_column, source_column, **options)
     total = rule.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kept = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
     hashed = docs.select(kept, docs[source_column].alias("source"), words_in(docs[text_column]).alias("size"), hash_of(docs, id_column, source_column, text_column))
-    ruled = by_source(hashed, rule.select("source", "n", "copies", "below", "extra"), total)
-    often = F.when(F.col("size") > 0, times()).otherwise(F.lit(1).cast("long")).cast("int")
+    ruled = counted(by_source(hashed, rule.select(*RULE), total), tables, rule)
+    often = F.when(F.col("size") > 0, F.col("times")).otherwise(F.lit(1).cast("long")).cast("int")
     return ruled.select("_row", F.explode(F.array_repeat(F.lit(0), often))).select("_row.*")

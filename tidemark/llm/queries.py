@@ -115,10 +115,11 @@ r AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
 l AS (SELECT arg_min((budget - stopped) / w_left, source_size / weight) AS level FROM r WHERE (budget - stopped) / w_left * weight <= 2 * source_size),
 t AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM l), 'inf'::DOUBLE) * weight) ELSE 0 END AS target FROM r),
 e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, target - copies * source_size AS want, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY source, h) AS own FROM e),
-k AS (SELECT *, upto < want AS under, want - coalesce(sum(size) FILTER (WHERE upto < want) OVER (PARTITION BY source), 0) AS rest FROM c),
-p AS (SELECT source, arg_min(h, (abs(size - rest), h)) AS pick FROM k WHERE NOT under AND size > 0 GROUP BY source),
-n AS (SELECT k.*, CASE WHEN size = 0 THEN 0 ELSE copies + (under OR (coalesce(h = pick, false) AND abs(own - rest) < rest))::BIGINT END AS times
+o AS (SELECT *, target - copies * source_size AS want, row_number() OVER (PARTITION BY source ORDER BY h) AS nth FROM e),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, nth ROWS UNBOUNDED PRECEDING) AS upto FROM o),
+k AS (SELECT *, upto <= want AS under, want - coalesce(max(upto) FILTER (WHERE upto <= want) OVER (PARTITION BY source), 0) AS rest FROM c),
+p AS (SELECT source, arg_min({'h': h, 'nth': nth}, (abs(size - rest), h, nth)) AS pick FROM k WHERE NOT under AND size > 0 GROUP BY source),
+n AS (SELECT k.*, CASE WHEN size = 0 THEN 0 ELSE copies + (under OR (coalesce(h = pick.h AND nth = pick.nth, false) AND abs(size - rest) < rest))::BIGINT END AS times
     FROM k LEFT JOIN p ON k.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, source, size, source_size, target, times, (size * times)::BIGINT AS taken FROM n""",
     "op8_subspace_pigeonhole": """
