@@ -5,7 +5,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import (And, Component, Despawn, Engine, Entity, Eq, FactError, Gte, In, Inverse, Maybe, Named, Not, Optional, Or, Plugin, Query, Read, Remove, Shape, Spawn, Tracked, With, Without, Write, system)
+import threading
+from dataclasses import dataclass
+from typing import Any
+
+from tidemark import (And, Component, Despawn, Engine, Entity, Eq, FactError, Gte, In, Inverse, Maybe, Meta, Mut, Named, Not, Optional, Or, Plugin, Query, Read, Remove, Shape, Spawn, Tracked, With, Without, Write, system)
 
 A, B, C = (Component(n, "int") for n in ("A", "B", "C"))
 H = Component("H", "int", hash=True)
@@ -313,6 +317,7 @@ def test_commit_limit(spark):
     def body(rows):
         yield Spawn(rows.select("_keys", (F.col("`p0.A`") + 1).alias("A")), ("A",))
 
+    assert Engine(spark).commit_limit == 10_000
     e = Engine(spark, ALL, systems=[body], commit_limit=2)
     put(e, 1, A=1)
     with pytest.raises(FactError, match="commit limit exceeded"):
@@ -320,6 +325,17 @@ def test_commit_limit(spark):
     assert e.last_settled(Query("A")).isEmpty()
 
 
+def test_a_settle_that_fails_keeps_its_inputs(spark):
+    e = Engine(spark, ALL, systems=[plus_one()], commit_limit=2)
+    e.insert(A=spark.range(5).selectExpr("id AS entity", "cast(id AS int) AS value"))
+    for _ in range(2):
+        with pytest.raises(FactError, match="commit limit exceeded"):
+            e.settle()
+    assert e.last_settled(Query("A")).isEmpty()
+    e.commit_limit = None
+    assert values(e.read(Query("B")), "B") == [1, 2, 3, 4, 5] and e.profile()["derive"]["runs"] == 5
+
+
 def test_views_heal(spark):
     @system("count", Query(Entity(), "Note"), views={"all": Query(Entity(), "B")}, outputs=["C"])
     def body(rows, all):
@@ -463,3 +479,221 @@ def test_incremental_equals_from_scratch(spark):
         put(whole, entity, **v)
     for c in ("B", "Key", "A"):
         assert values(e.read(Query(c)), c) == values(whole.read(Query(c)), c)
+
+
+def test_writes_of_other_threads_are_the_next_epoch(spark):
+    """A settle works on the writes that were there when it began; nobody waits for it to write."""
+    inside, go_on = threading.Event(), threading.Event()
+
+    @system("slow", Query(Entity(), "A"), outputs=["B"])
+    def body(rows):
+        inside.set()
+        assert go_on.wait(60)
+        yield Write("B", rows.select("_keys", F.col("`p0.entity`").alias("entity"), F.col("`p0.A`").alias("value")))
+
+    e = Engine(spark, ALL, systems=[body])
+    put(e, 1, A=1)
+    runner = threading.Thread(target=e.settle)
+    runner.start()
+    assert inside.wait(60)
+    put(e, 2, A=2)  # returns at once
+    go_on.set()
+    runner.join(120)
+    assert e.profile()["slow"]["runs"] == 1 and values(e.last_settled(Query("B")), "B") == [1]
+    assert values(e.read(Query("B")), "B") == [1, 2] and e.profile()["slow"]["runs"] == 2
+
+
+def test_a_preempting_write_ends_the_wave(spark):
+    inside, go_on, seen = threading.Event(), threading.Event(), []
+
+    @system("begin", Query(Entity(), "A"), phase="startup")
+    def begin(rows):
+        seen.append("startup")
+        return ()
+
+    @system("slow", Query(Entity(), "A"), outputs=["B"])
+    def body(rows):
+        inside.set()
+        assert go_on.wait(60)
+        seen.append(values(rows, "p0.A"))
+        yield Write("B", rows.select("_keys", F.col("`p0.entity`").alias("entity"), F.col("`p0.A`").alias("value")))
+
+    e = Engine(spark, ALL, systems=[begin, body])
+    put(e, 1, A=1)
+    runner = threading.Thread(target=e.settle)
+    runner.start()
+    assert inside.wait(60)
+    e.put(1, _preempt=True, A=7)
+    go_on.set()
+    runner.join(120)
+    # what the first wave gave is dropped, the epoch goes on with the new value, through the startup phase again
+    assert values(e.last_settled(Query("B")), "B") == [7] and e.counters["preemptions"] == 1
+    assert seen == ["startup", [1], "startup", [7]]
+
+
+def test_many_callers_one_runner(spark):
+    e = Engine(spark, ALL, systems=[plus_one()])
+    put(e, 1, A=1)
+    threads = [threading.Thread(target=e.settle) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert e.profile()["derive"]["runs"] == 1 and e.counters["settles"] == 1
+
+
+def test_new_entities_in_order(spark):
+    e = Engine(spark, ALL)
+    a, b = e.put(A=1), e.put(A=2)
+    e.insert_rows(spark.range(100).selectExpr("cast(id AS int) AS n"), C="n")
+    assert a < b and values(e.read(Query("A")), "A") == [1, 2]
+    ids = values(e.read(Query(Entity(), "C")), "entity")
+    assert len(set(ids)) == 100 and min(ids) > b
+
+
+def test_mutation_with_a_partner(spark):
+    """Of the pairs that would write one entity one runs in a wave; its own write is no news to it."""
+
+    @system("raise", Query(Entity(), Mut("Key"), "Rank"), Query(Entity(), "C", where=Eq("Rank")), outputs=["Key"])
+    def body(rows):
+        yield Write("Key", rows.select("_keys", F.col("`p0.entity`").alias("entity"), F.greatest("`p0.Key`", "`p1.C`").alias("value")))
+
+    ranked = [Component("Rank", "int", hash=True) if c.name == "Rank" else c for c in ALL]
+    e = Engine(spark, ranked, systems=[body])
+    put(e, 1, Key=3, Rank=1)
+    for i, c in enumerate((5, 9, 4), 10):
+        put(e, i, C=c, Rank=1)
+    assert values(e.read(Query("Key")), "Key") == [9]
+    assert e.profile()["raise"]["waves"] >= 3
+
+
+def test_own_write_does_not_hide_what_others_wrote(spark):
+    @system("own", Query(Entity(), Mut("A"), "H"), outputs=["A"])
+    def own(rows):
+        yield Write("A", rows.select("_keys", F.col("`p0.entity`").alias("entity"), (F.col("`p0.A`") + F.col("`p0.H`")).alias("value")))
+
+    e = Engine(spark, ALL, systems=[own, derive(F.col("`p0.C`") * 10, "C", "H", "other")])
+    put(e, 1, A=1, H=1, C=5)
+    # own sees H = 1 while the other rule makes it 50 in the same wave: it runs once more
+    assert values(e.read(Query("A")), "A") == [52] and e.profile()["own"]["runs"] == 2
+
+
+def test_views_of_provenance_and_bundles(spark):
+    @dataclass
+    class Seen:
+        notes: Any = Query(Entity(), "Note")
+        ranks: Any = Query(Entity(), "Rank")
+
+    got = []
+
+    @system("spawn", Query(Entity(), "A"))
+    def spawn(rows):
+        yield Spawn(rows.select("_keys", F.col("`p0.A`").alias("B")), ("B",), anchors="From")
+
+    @system("look", Query(Entity(), "C"), views={"seen": Seen(), "meta": Meta("From")}, phase="complete")
+    def look(rows, seen, meta):
+        got.append((seen.notes.count(), seen.ranks.count(), [r.current for r in meta.collect()]))
+        return ()
+
+    e = Engine(spark, ALL, systems=[spawn, look])
+    put(e, 1, A=1, Note=True)
+    put(e, 2, C=1, Rank=1)
+    e.settle()
+    assert got[-1] == (1, 1, [True])
+    with pytest.raises(FactError, match="no provenance"):
+        Engine(spark, ALL, systems=[system("s", Query("A"), views={"m": Meta("A")})(lambda rows, m: ())])
+
+
+def test_races_in_a_wave_are_told(spark):
+    def racing():
+        @system("watch", Query(Entity(), "A"), views={"all": Query(Entity(), where=With("B"))})
+        def watch(rows, all):
+            all.count()
+            return ()
+
+        return [watch, plus_one()]
+
+    e = Engine(spark, ALL, systems=racing())
+    put(e, 1, A=1)
+    e.settle()
+    assert any("watch viewed B, which derive changed in the same wave" in w for w in e.warnings)
+    strict = Engine(spark, ALL, systems=racing(), strict=True)
+    put(strict, 1, A=1)
+    with pytest.raises(FactError, match="same wave"):
+        strict.settle()
+
+
+def test_only_what_moved_is_planned(spark):
+    """Optional and absent values, outer partners and removals: run counts, and results as from scratch."""
+
+    @system("maybe", Query(Entity(), "A", Optional("C")), outputs=["B"])
+    def maybe(rows):
+        yield Write("B", rows.select("_keys", F.col("`p0.entity`").alias("entity"), (F.col("`p0.A`") + F.coalesce("`p0.C`", F.lit(0))).alias("value")))
+
+    @system("without", Query(Entity(), "A", where=Without("Note")), outputs=["Rank"])
+    def without(rows):
+        yield Write("Rank", rows.select("_keys", F.col("`p0.entity`").alias("entity"), F.col("`p0.A`").alias("value")))
+
+    @system("outer", Query(Entity(), "A", "Key"), Maybe(Query(Entity(), "H", where=Eq("Key"))))
+    def outer(rows):
+        yield Spawn(rows.select("_keys", F.coalesce("`p1.H`", F.lit(-1)).alias("Sum")), ("Sum",))
+
+    e = Engine(spark, ALL, systems=[maybe, without, outer])
+    for i in range(1, 5):
+        put(e, i, A=i, Key=i)
+    e.settle()
+    runs = lambda: [e.profile()[n]["runs"] for n in ("maybe", "without", "outer")]
+    assert runs() == [4, 4, 4]
+    put(e, 2, C=10)
+    assert sorted(values(e.read(Query("B")), "B")) == [1, 3, 4, 12] and runs() == [5, 4, 4]
+    put(e, 3, Note=True)
+    e.settle()
+    assert runs() == [5, 4, 4]
+    e.remove("Note", [3])
+    e.settle()
+    e.remove("C", [2])
+    assert sorted(values(e.read(Query("B")), "B")) == [1, 2, 3, 4] and runs()[0] == 6
+    put(e, 50, H=7, Key=4)
+    assert 7 in values(e.read(Query("Sum")), "Sum") and runs()[2] == 5
+    e.despawn([50])
+    assert sorted(values(e.read(Query("Sum")), "Sum")).count(7) == 0 and runs()[2] == 6
+    e.despawn([1])
+    put(e, 4, A=40)
+    assert sorted(values(e.read(Query("B")), "B")) == [2, 3, 40] and runs()[0] == 7
+
+
+def test_a_gate_that_is_nowhere_costs_no_job(spark):
+    @system("product", Query(Entity(), where=With("Note")), Query(Entity(), "A"))
+    def body(rows):
+        yield Spawn(rows.select("_keys", F.col("`p1.A`").alias("Sum")), ("Sum",))
+
+    e = Engine(spark, ALL, systems=[body])
+    e.settle()
+    put(e, 1, A=1)
+    e.settle()
+    assert e.profile()["product"]["waves"] == 0 and e.state["product"].memo is None
+    put(e, 9, Note=True)
+    assert values(e.read(Query("Sum")), "Sum") == [1]
+
+
+def test_removed_outputs_come_again(spark):
+    """A pair that still holds gives again what was removed from outside."""
+    e = Engine(spark, ALL, systems=[joined()])
+    put(e, 1, A=1, Key=1)
+    put(e, 10, B=5, Key=1)
+    assert values(e.read(Query("Sum")), "Sum") == [105]
+    at = [r.entity for r in e.read(Query(Entity(), "Sum")).collect()]
+    e.remove("Sum", at)
+    assert values(e.read(Query("Sum")), "Sum") == [105] and e.profile()["join"]["runs"] == 2
+    put(e, 10, B=6)
+    assert values(e.read(Query("Sum")), "Sum") == [106]
+
+
+def test_vacuum(spark):
+    e = Engine(spark, ALL, systems=[plus_one()])
+    for i in range(4):
+        put(e, 1, A=i)
+        e.settle()
+    assert e.vacuum() > 0 and values(e.read(Query("B")), "B") == [4]
+    put(e, 1, A=9)
+    assert values(e.read(Query("B")), "B") == [10]

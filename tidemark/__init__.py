@@ -6,7 +6,7 @@ from importlib import import_module
 _PLACES = {
     "engine": ("Despawn", "Engine", "Remove", "Spawn", "System", "Write", "system"),
     "model": ("Component", "FactError", "Inverse", "Plugin", "Shape"),
-    "plans.query": ("And", "Entity", "Eq", "Gte", "In", "Maybe", "Named", "Not", "Optional", "Or", "Query", "Read", "Tracked", "With", "Without"),
+    "plans.query": ("And", "Entity", "Eq", "Gte", "In", "Maybe", "Meta", "Mut", "Named", "Not", "Optional", "Or", "Query", "Read", "Tracked", "With", "Without"),
     "sources.tables": ("from_table", "kind_entity"),
     "streaming.ingest": ("ingest",),
 }

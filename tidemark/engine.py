@@ -6,7 +6,13 @@ those whose revisions differ.  Where every dependency is a present value and
 nothing was removed since the rule last ran, only rows with a newer revision can
 differ, so the memo isn't read at all.  All rules of a wave commit as one diff:
 outputs whose value stays the same keep their revision, so nothing downstream runs again,
-and outputs that a rule no longer gives are swept.
+and outputs that a rule no longer gives are swept.  After removals, and where a rule looks at
+absent or optional values or joins outer, it plans only for entities that were written or lost something
+since, and for what was joined to them.
+
+One settle is an epoch: it works on the writes that were there when it began.  Writes of other
+threads don't wait for it; they are the next epoch, or, if they preempt, end the wave at hand without
+its results and are taken in at once.
 
 State of a version is a set of Parquet tables in the shared folder; a settle
 that fails leaves the last settled version as it was.
@@ -18,23 +24,27 @@ import threading
 import time
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .model import Component, FactError, Inverse, Plugin, Registry, Shape
 from .operators import diff, joins, relationships
-from .plans.query import Entity, Eq, Filter, Maybe, Named, Query, Read, Without, bound, plan, visible, walk
+from .plans.query import Entity, Eq, Filter, Gte, Maybe, Meta, Mut, Named, Not, Or, Query, Read, Tracked, With, Without, bound, conjuncts, plan, visible, walk
 from .sources.tables import Source
 from .storage import LAYER_SHARE, Layered, Storage, small
 from .world import META, Fused, World
 
 PHASES = ("startup", "evaluate", "complete", "settle")
-#: Waves of one settle, and runs of one rule by healing in one settle, at most.
-WAVE_LIMIT, HEAL_LIMIT = 10_000, 128
+#: Invocations of one settle, waves of one, and runs of one rule by healing in one, at most.
+COMMIT_LIMIT, WAVE_LIMIT, HEAL_LIMIT = 10_000, 10_000, 128
+#: How often preempting writes may end a wave in one settle; beyond it they wait for the next one.
+PREEMPTIONS = 4
+#: The first of the entities that the store names itself, and how many a table of new entities may take.
+FIRST_ENTITY, BLOCK = 1 << 60, 1 << 52
 
 
 @dataclass(frozen=True)
@@ -72,20 +82,31 @@ class System:
 
     rows has ``_keys`` (the entities of its parameters, in order), and for the
     i-th parameter ``p<i>.entity`` and ``p<i>.<component>``.  Views are DataFrames
-    of whole queries; they are no dependency.
+    of whole queries; they are no dependency.  A view may be a dataclass of queries,
+    which the body gets with DataFrames in their place.  With ``keeps`` the body gets
+    ``keep``, which writes a DataFrame that several outputs are made from, so that it is worked out once.
     """
 
     name: str
     params: tuple[Query | Maybe, ...]
     body: Callable[..., Iterable[Any]]
-    views: dict[str, Query] = field(default_factory=dict)
+    views: dict[str, Any] = field(default_factory=dict)
     phase: str = "evaluate"
     outputs: tuple[str, ...] = ()
     always: bool = False  # once a generation for all rows, whatever has changed
+    keeps: bool = False
+
+    def view_queries(self) -> list[tuple[str, Query | Meta]]:
+        """All queries of views, those in a bundle too."""
+        return [(name, q) for name, v in self.views.items() for q in (bundled(v).values() if is_dataclass(v) and not isinstance(v, (Query, Meta)) else [v])]
+
+
+def bundled(bundle: Any) -> dict[str, Any]:
+    return {f.name: getattr(bundle, f.name) for f in fields(bundle)}
 
 
-def system(name: str, *params: Query | Maybe, views: dict[str, Query] | None = None, phase: str = "evaluate", outputs: Iterable[str] = (), always: bool = False) -> Callable[[Callable], System]:
-    return lambda body: System(name, params, body, views or {}, phase, tuple(outputs), always)
+def system(name: str, *params: Query | Maybe, views: dict[str, Any] | None = None, phase: str = "evaluate", outputs: Iterable[str] = (), always: bool = False, keeps: bool = False) -> Callable[[Callable], System]:
+    return lambda body: System(name, params, body, views or {}, phase, tuple(outputs), always, keeps)
 
 
 def query_of(p: Query | Maybe) -> Query:
@@ -106,23 +127,40 @@ class _State:
     waves: int = 0
     plan_s: float = 0.0
     run_s: float = 0.0
+    #: Keys of invocations that the memo has lost to a removal since it last planned.
+    forgotten: tuple[DataFrame, ...] = ()
+
+
+class _Preempted(Exception):
+    pass
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, components: Iterable[Component] = (), shapes: Iterable[Shape] = (), systems: Iterable[System] = (), plugins: Iterable[Plugin] = (), commit_limit: int | None = None, wave_limit: int | None = WAVE_LIMIT):
+    """A store of facts and the rules over it.
+
+    ``commit_limit`` bounds the invocations that one settle may commit; give None where rules run over whole tables.
+    With ``strict`` a rule that writes what another of its phase views in the same wave is an error, else a warning.
+    """
+
+    def __init__(self, spark: SparkSession, components: Iterable[Component] = (), shapes: Iterable[Shape] = (), systems: Iterable[System] = (), plugins: Iterable[Plugin] = (), commit_limit: int | None = COMMIT_LIMIT, wave_limit: int | None = WAVE_LIMIT, strict: bool = False):
         plugins = list(plugins)
         self.spark, self.registry, self.storage = spark, Registry(), Storage(spark)
         for c, s in [(components, shapes), *((p.components, p.shapes) for p in plugins)]:
             self.registry.add(c, s)
         self.registry.check()
         self.systems = [*systems, *(s for p in plugins for s in p.systems)]
-        self.commit_limit, self.wave_limit = commit_limit, wave_limit
+        self.commit_limit, self.wave_limit, self.strict = commit_limit, wave_limit, strict
         self.world = World(spark, self.registry)
         self.settled = self.world
         self.revision = 0
         self.state: dict[str, _State] = {}
         self.warnings: list[str] = []
-        self._queue: list[Callable[[], None]] = []
+        self._queue: list[Callable[[], None]] = []  # writes for the next epoch
+        self._inner: list[Callable[[], None]] = []  # writes of hooks while a settle runs: a generation more of it
+        self._inbox = threading.Lock()
+        self._driver: int | None = None  # the thread that settles
+        self._preempting, self._preemptions = False, 0
+        self._blocks, self._named = 0, FIRST_ENTITY
         self._late: list[tuple[System, list[Any]]] = []
         self._watch: list[Callable[[int], None]] = []
         self._hooks: dict[str, list[Callable[[str], None]]] = {"start": [], "complete": [], "settled": []}
@@ -131,7 +169,7 @@ class Engine:
         self._cleaned: dict[str, int] = {}
         self._wrote: dict[str, set[str]] = {}
         self._news: dict[str, tuple[DataFrame, DataFrame]] = {}
-        self.counters = {"settles": 0, "generations": 0, "waves": 0, "commits": 0}
+        self.counters = {"settles": 0, "generations": 0, "waves": 0, "commits": 0, "preemptions": 0}
         for s in self.systems:
             self._register(s)
 
@@ -159,18 +197,25 @@ class Engine:
                 self._provider(s, i, b.members)
                 if b.keys:
                     raise FactError(f"{s.name}: a parameter is bound by equality or by membership, not by both")
-        for name, v in s.views.items():
+        for name, v in s.view_queries():
+            if isinstance(v, Meta):
+                if not self.registry[v.component].provenance:
+                    raise FactError(f"{s.name}: {v.component} holds no provenance")
+                continue
             b = bound(v.where)
             if b.keys or b.members:
                 raise FactError(f"{s.name}: view {name} cannot be bound")
         for c in s.outputs:
             self.registry[c]
             for other in self.systems:
-                seen = {x for v in other.views.values() for x in v.reads()}
+                seen = self._viewed(other)
                 if other is not s and other.phase == s.phase and c in seen:
                     self.warnings.append(f"{other.name} views {c}, which {s.name} writes in the same phase")
         self.state[s.name] = _State()
 
+    def _viewed(self, s: System) -> set[str]:
+        return {c for _, q in s.view_queries() if not isinstance(q, Meta) for c in self._view_interest(q)}
+
     def _provider(self, s: System, i: int, key: str) -> int:
         found = [j for j, p in enumerate(s.params) if j != i and key in query_of(p).reads()]
         if len(found) != 1:
@@ -187,9 +232,14 @@ class Engine:
 
     # -- base writes -----------------------------------------------------
 
-    def _put(self, work: Callable[[], None]) -> None:
-        with self._lock:
+    def _put(self, work: Callable[[], None], preempt: bool = False) -> None:
+        """Queue a write; one that a running settle's own hooks make is part of that settle, one of another thread is not waited for."""
+        with self._inbox:
+            if self._driver == threading.get_ident():
+                self._inner.append(work)
+                return
             self._queue.append(work)
+            self._preempting |= preempt and self._driver is not None
 
     def load(self, source: Source) -> None:
         """Components over a table's columns, without copying it."""
@@ -211,29 +261,42 @@ class Engine:
 
         self._put(work)
 
-    def insert(self, **rows: DataFrame) -> None:
+    def insert(self, _preempt: bool = False, **rows: DataFrame) -> None:
         """Facts by component: each DataFrame has entity and value; an entity's old value is replaced."""
         for name in rows:
             if isinstance(self.registry[name], Inverse):
                 raise FactError(f"{name} is kept by the store")
         if sum(self.registry[n].singleton for n in rows) > 1:
             raise FactError("one singleton at most in a bundle")
-        self._put(lambda: self._base(rows))
+        self._put(lambda: self._base(rows), _preempt)
+
+    def insert_rows(self, table: DataFrame, entity: str | None = None, **columns: str) -> None:
+        """A bundle: one row an entity, a column for each component; a null column is a component left out.
 
-    def insert_rows(self, table: DataFrame, entity: str, **columns: str) -> None:
-        """A bundle: one row an entity, a column for each component; a null column is a component left out."""
+        Without a column of entities each row gets a new one; those of a later call are greater.
+        """
+        if entity is None:
+            with self._inbox:
+                self._blocks += 1
+                first = FIRST_ENTITY + self._blocks * BLOCK
+            table, entity = self.storage.save(table.withColumn("_entity", F.monotonically_increasing_id() + F.lit(first))), "_entity"
         self.insert(**{n: table.select(F.col(entity).cast("long").alias("entity"), F.col(c).alias("value")).where("value is not null") for n, c in columns.items()})
 
-    def put(self, entity: int | None = None, **values: Any) -> None:
-        """One entity's bundle of plain values; without an entity, that of its singleton."""
+    def put(self, entity: int | None = None, _preempt: bool = False, **values: Any) -> int:
+        """One entity's bundle of plain values; without an entity, that of its singleton, else a new one.  Which one it is.
+
+        A preempting one does not wait for the end of a settle that another thread runs.
+        """
         marker = [n for n in values if self.registry[n].singleton]
         if len(marker) > 1:
             raise FactError("one singleton at most in a bundle")
         if marker:
             entity = self.registry.singleton_entity(marker[0])
         if entity is None:
-            raise FactError("an entity is needed where no component is a singleton")
-        self.insert(**{n: self.spark.createDataFrame([(entity, v)], f"entity long, value {self.registry[n].type}") for n, v in values.items()})
+            with self._inbox:
+                entity, self._named = self._named, self._named + 1
+        self.insert(_preempt, **{n: self.spark.createDataFrame([(entity, v)], f"entity long, value {self.registry[n].type}") for n, v in values.items()})
+        return entity
 
     def remove(self, component: str, entities: DataFrame | list[int]) -> None:
         ids = self._ids(entities)
@@ -244,19 +307,33 @@ class Engine:
         ids = self._ids(entities)
         self._put(lambda: self._commit({}, {}, {}, ids, external=True))
 
-    def update(self, component: str, value: Column, where: Filter | None = None, **args: Any) -> None:
+    def update(self, component: str, value: Column, where: Filter | None = None, _preempt: bool = False, **args: Any) -> None:
         """A new value for each row that meets the filter: an expression over the old one, ``value``, and the entity."""
 
         def work() -> None:
-            q = Query(Entity(), Read(component), where=where)
-            found = plan(self.world, self.registry, q, args).rows.select("entity", F.col(f"`{component}`").alias("value"))
             c = self.registry[component]
-            new = found.select("entity", value.cast(c.type).alias("value"), F.col("value").alias("_was"))
-            if c.hash:  # an equal value would be no change
-                new = new.where(~F.col("value").eqNullSafe(F.col("_was")))
-            self._base({component: new.select("entity", "value")})
+            if isinstance(c, Inverse):
+                raise FactError(f"{component} is kept by the store")
+            before, rev = self.world.table(component), self.revision + 1
+            layer, old, size = None, before, Observation()
+            if component in self.world.fused:  # its size is counted as it is read
+                old = old.observe(size, F.count(F.lit(1)).alias("n"))
+            else:
+                layer = self._layer(component)
+            if where is not None:
+                q = Query(Entity(), Read(component), where=where)
+                old = old.join(plan(self.world, self.registry, q, args).rows.select("entity"), "entity", "left_semi")
+            change, n = self.storage.counted(diff.replaced(c, old, rev, value.cast(c.type)))
+            if not n["n"]:
+                return
+            layer = layer or Layered("entity", before, size.get["n"], None, 0, size.get["n"])
+            self._lay(component, layer, change, n["n"], layer.n, rev, n["n"], 0)
+            if c.target:
+                self._invert(component, before, rev)
+            self.revision = rev
+            self.counters["commits"] += 1
 
-        self._put(work)
+        self._put(work, _preempt)
 
     def compare_and_set(self, entity: int, component: str, value: Any, seen: int | None = None) -> bool:
         """Set one value now; with ``seen``, only if its revision is still that.  False if it isn't, or there is none."""
@@ -299,7 +376,7 @@ class Engine:
 
     # -- commit ----------------------------------------------------------
 
-    def _commit(self, new: dict[str, DataFrame], swept: dict[str, DataFrame], gone: dict[str, DataFrame], despawned: DataFrame | None, external: bool = False) -> bool:
+    def _commit(self, new: dict[str, DataFrame], swept: dict[str, DataFrame], gone: dict[str, DataFrame], despawned: DataFrame | None, external: bool = False, n_swept: int | None = None) -> bool:
         """Apply writes, sweeps (by component) and removals as one diff; whether anything changed."""
         rev = self.revision + 1
         w = self.world
@@ -322,7 +399,7 @@ class Engine:
             leaving = reduce(DataFrame.union, lost) if lost else None
             if name not in new and name not in swept and w.table(name).join(leaving, "entity", "left_semi").isEmpty():
                 continue
-            if self._write(name, new.get(name), swept.get(name), leaving, rev):
+            if self._write(name, new.get(name), swept.get(name), leaving, rev, None, n_swept):
                 changed[name] = w.table(name)
         for name, before in changed.items():
             if self.registry[name].target:
@@ -345,10 +422,9 @@ class Engine:
             lost = [t.where(F.col("_owner") == s.name).join(x.select("entity"), "entity", "left_semi").select("_keys") for n, t in before.items() for x in (gone.get(n), despawned) if x is not None]
             if not lost:
                 continue
-            dead = self.storage.save(reduce(DataFrame.union, lost).distinct())
-            n = dead.count()
-            if n:
-                st.memo, st.stale = self._forget(st.memo, dead, n), True
+            dead, seen = self.storage.counted(reduce(DataFrame.union, lost).distinct())
+            if seen["n"]:
+                st.memo, st.stale = self._forget(st.memo, dead, seen["n"]), True
 
     def _forget(self, memo: Layered, keys: DataFrame, n: int) -> Layered:
         gone = keys.select("_keys", F.lit(None).cast("array<long>").alias("_deps"), F.lit(True).alias("_dead"))
@@ -360,59 +436,63 @@ class Engine:
             return Layered("_keys", seen, n, None, 0, n)
         return memo.put(self.storage, seen.withColumn("_dead", F.lit(False)), n, memo.n + n)
 
-    def _write(self, name: str, new: DataFrame | None, swept: DataFrame | None, gone: DataFrame | None, rev: int) -> bool:
-        """Change one table; what it costs to write is what changes, unless that is much of the table."""
+    def _write(self, name: str, new: DataFrame | None, swept: DataFrame | None, gone: DataFrame | None, rev: int, n_new: int | None = None, n_swept: int | None = None) -> bool:
+        """Change one table by one grouping of the rows that it touches; what it costs to write is what changes, unless that is much of the table."""
         c = self.registry[name]
         layer, old = self._layer(name), self.world.table(name)
-        empty = self.spark.createDataFrame([], f"entity long, value {c.type}, _owner string, _keys array<long>")
-        fresh = self.storage.save(diff.one_writer(new)) if new is not None else empty
-        touched = [fresh.select("entity")]
-        owned = None
-        if swept is not None:
-            ran = swept.select(F.col("_owner").alias("_so"), F.col("_keys").alias("_sk"))
-            owned = self.storage.save(old.join(ran, (F.col("_owner") == F.col("_so")) & (F.col("_keys") == F.col("_sk")), "left_semi").select("entity"))
-            touched.append(owned)
+        if new is not None and (n_new is None or layer.n):
+            new, seen = self.storage.counted(new)
+            n_new = seen["n"]
         if gone is not None:
-            gone = self.storage.save(gone.select("entity").distinct())
-            touched.append(gone)
-        entities = self.storage.save(reduce(DataFrame.union, touched).distinct())
-        n = entities.count()
-        if not n:
-            return False
-        before = old.join(small(entities, n), "entity", "left_semi") if n <= LAYER_SHARE * layer.n else old
-        change = diff.apply(before, fresh, c.fingerprint, rev, owned, gone)
-        if before is not old:
-            change = self.storage.save(change)
+            gone, seen = self.storage.counted(gone.select("entity").distinct())
+            n_gone = seen["n"]
+        if not layer.n:
+            touched: list[tuple[DataFrame, str]] = []
+            whole = True
         else:
-            whole = change = self.storage.save(change)
-        live = ~F.col("_dead")
-        now = change.agg(F.count_if(live & (F.col("_rev") == rev)).alias("changed"), F.count_if(live & (F.col("_born") == rev)).alias("born"), F.count_if("_dead").alias("lost"), F.count("*").alias("n")).first()
-        if not now.changed and not now.lost:
+            whole = (n_new or 0) + (n_swept or 0) + (n_gone if gone is not None else 0) > LAYER_SHARE * layer.n
+            touched = [(old, "kept")] if whole else [(old.join(small(new.select("entity"), n_new), "entity", "left_semi"), "kept")] if n_new else []
+            if swept is not None:
+                ran = small(swept.selectExpr("_owner AS _so", "_keys AS _sk"), n_swept or 0)
+                touched.append((old.join(ran, F.expr("_owner = _so AND _keys = _sk"), "left_semi"), "swept"))
+            if gone is not None and n_gone:
+                touched.append((old.join(small(gone, n_gone), "entity", "left_semi"), "gone"))
+        if n_new == 0:
+            new = None
+        if not touched and new is None:
             return False
-        after = layer.n + now.born - now.lost
-        if before is old:
-            table = Layered("entity", whole.where(live).drop("_dead"), after, None, 0, after)
-        else:
-            table = layer.put(self.storage, change, now.n, after)
-        news = change.where(live & (F.col("_rev") == rev)).drop("_dead")
-        lost = change.where("_dead").drop("_dead")
-        if c.on_insert and now.changed:
+        change = diff.merge(c, rev, touched, new)
+        change = change.drop("_moved") if whole else change.where("_moved").drop("_moved")
+        change, now = self.storage.counted(change, changed=F.expr(f"count_if(NOT _dead AND _rev = {rev})"), born=F.expr(f"count_if(NOT _dead AND _born = {rev})"), lost=F.expr("count_if(_dead)"))
+        if not now["n"] or whole and not now["changed"] and not now["lost"]:
+            return False
+        after = layer.n + now["born"] - now["lost"]
+        self._lay(name, layer, change, now["n"], after, rev, now["changed"], now["lost"], whole)
+        return bool(now["changed"] or now["lost"])
+
+    def _lay(self, name: str, layer: Layered, change: DataFrame, n: int, after: int, rev: int, changed: int, lost: int, whole: bool = False) -> None:
+        """The world with ``change`` (saved, with _dead) on a table; what moved is news."""
+        c = self.registry[name]
+        table = Layered("entity", change.where("NOT _dead").drop("_dead"), after, None, 0, after) if whole else layer.put(self.storage, change, n, after)
+        news, gone = change.where(f"NOT _dead AND _rev = {rev}").drop("_dead"), change.where("_dead").drop("_dead")
+        if c.on_insert and changed:
             c.on_insert(news)
-        if c.on_remove and now.lost:
-            c.on_remove(lost)
-        self._news[name] = (news.select("entity", "value"), lost.select("entity"))
-        self.world = self.world.with_table(name, table, rev, bool(now.lost))
-        return True
+        if c.on_remove and lost:
+            c.on_remove(gone)
+        self._news[name] = (news.select("entity", "value"), gone.select("entity"))
+        if changed or lost:
+            self.world = self.world.with_table(name, table, rev, gone.select("entity") if lost else None)
+        else:  # other owners of the same values
+            self.world = replace(self.world, tables={**self.world.tables, name: table}, fused={k: f for k, f in self.world.fused.items() if k != name})
 
     def _layer(self, name: str) -> Layered:
         if name in self.world.tables and self.world.tables[name].n >= 0:
             return self.world.tables[name]
         table = self.world.table(name)
         if name in self.world.tables:
-            table = self.storage.save(table)
-            n = table.count()
-            return Layered("entity", table, n, None, 0, n)
-        n = table.count() if name in self.world.fused else 0
+            table, seen = self.storage.counted(table)
+            return Layered("entity", table, seen["n"], None, 0, seen["n"])
+        n = self.storage.count(table) if name in self.world.fused else 0
         return Layered("entity", table, n, None, 0, n)
 
     def _invert(self, edge: str, before: DataFrame | None, rev: int | None = None) -> None:
@@ -430,29 +510,28 @@ class Engine:
             moved = fresh.select("entity").union(lost)
             left = before.join(moved, "entity", "left_semi")
             touched = self.storage.save(fresh.select(target.alias("target")).union(left.select(target.alias("target"))).where("target is not null").distinct())
-            held = self.storage.save(form(relationships.affected(touched, now, target), target))
+            held, seen = self.storage.counted(form(relationships.affected(touched, now, target), target))
             gone = touched.select(F.col("target").alias("entity")).join(held, "entity", "left_anti")
             owned = held.select("entity", "value", F.lit(None).cast("string").alias("_owner"), F.lit(None).cast("array<long>").alias("_keys"))
-            self._write(inv.name, owned, None, gone, rev)
+            self._write(inv.name, owned, None, gone, rev, seen["n"])
 
     def _retire(self, entities: DataFrame, external: bool) -> None:
         """Memos and outputs of invocations that a removed entity took part in; of joined rules only, if a rule removed it."""
-        orphans: list[DataFrame] = []
+        orphans: list[tuple[DataFrame, int]] = []
         for s in self.systems:
             pairwise = any(bound(query_of(p).where).keys or bound(query_of(p).where).members for p in s.params)
             st = self.state[s.name]
             if st.memo is None or not (external or pairwise):
                 continue
-            dead = self.storage.save(st.memo.rows().withColumn("_e", F.explode("_keys")).join(entities.withColumnRenamed("entity", "_e"), "_e", "left_semi").select("_keys").distinct())
-            n = dead.count()
-            if not n:
+            dead, seen = self.storage.counted(st.memo.rows().withColumn("_e", F.explode("_keys")).join(entities.withColumnRenamed("entity", "_e"), "_e", "left_semi").select("_keys").distinct())
+            if not seen["n"]:
                 continue
-            st.memo = self._forget(st.memo, dead, n)
-            orphans.append(dead.select(F.lit(s.name).alias("_owner"), "_keys"))
+            st.memo, st.forgotten = self._forget(st.memo, dead, seen["n"]), (*st.forgotten, dead)
+            orphans.append((dead.select(F.lit(s.name).alias("_owner"), "_keys"), seen["n"]))
         if orphans:
-            owners = reduce(DataFrame.union, orphans)
+            owners = reduce(DataFrame.union, [o for o, _ in orphans])
             spawned = self._owned_entities(owners)
-            self._commit({}, {n: owners for n in [*self.world.tables] if self._wrote.get(n)}, {}, None)
+            self._commit({}, {n: owners for n in [*self.world.tables] if self._wrote.get(n)}, {}, None, n_swept=sum(n for _, n in orphans))
             if spawned is not None and not spawned.isEmpty():
                 self._retire(spawned, external)
 
@@ -474,7 +553,7 @@ class Engine:
             seen = [*planned.required, *planned.optional, *planned.filters, *b.keys]
             deps = [f"_rev.{c}" for c in dict.fromkeys(seen) if not self.registry[c].untracked and c not in absent]
             columns = planned.rows.columns
-            renamed = planned.rows.select([F.col(f"`{c}`").alias(f"p{i}.{c}") for c in columns])
+            renamed = planned.rows.selectExpr(*[f"`{c}` AS `p{i}.{c}`" for c in columns])
             out.append((renamed, [f"p{i}.{c}" for c in deps if c in columns], [f"p{i}.{c}" for c in columns if c.startswith("_rev.")]))
         return out
 
@@ -523,70 +602,157 @@ class Engine:
                 found |= {*self.registry.components}
         return found
 
-    def _plan(self, s: System, world: World, only_new: int | None) -> DataFrame:
-        """_keys, _deps and the parameters' columns; with ``only_new``, of rows with a revision above it."""
+    def _param_interest(self, p: Query | Maybe) -> set[str]:
+        """Components that decide which rows a parameter has and what it depends on."""
+        q = query_of(p)
+        found = {*q.reads(), *q.optional(), *(f.component for f in walk(q.where) if hasattr(f, "component")), *bound(q.where).keys}
+        for shape in q.shapes():
+            found |= self.registry.shapes[shape].parts
+        if not found or all(isinstance(x, Entity) and not x.shape for x in q.parts) and not q.where:
+            found |= {*self.registry.components}
+        return found
+
+    def _by_entity(self, p: Query | Maybe, since: int) -> bool:
+        """Whether newer revisions of its rows don't tell all that is new of a parameter: something may be absent, or was removed."""
+        q = query_of(p)
+        absence = bool(q.optional()) or any(isinstance(x, Tracked) for x in q.parts) or any(isinstance(f, (Without, Not, Or)) for f in walk(q.where))
+        return absence or any(self.world.removed.get(c, -1) > since for c in self._param_interest(p))
+
+    def _rows_of(self, df: DataFrame, column: str, entities: DataFrame | None, how: str) -> DataFrame:
+        if entities is None:
+            return df.where(F.lit(False)) if how == "left_semi" else df
+        return df.join(entities.withColumnRenamed("entity", "_moved"), F.col(f"`{column}`") == F.col("_moved"), how)
+
+    def _plan(self, s: System, world: World, since: int | None, st: _State | None = None) -> DataFrame:
+        """_keys, _deps and the parameters' columns; with ``since``, of rows of which something is newer or went after it."""
         params = self._params(s, world)
         outer = any(isinstance(p, Maybe) for p in s.params)
-        if only_new is None or outer:
-            rows = self._joined(s, [df for df, _, _ in params], world)
+        whole = [df for df, _, _ in params]
+        if since is None:
+            rows = self._joined(s, whole, world)
+        elif outer:
+            # the rows of first entities that something happened to, or to what they are or were joined to
+            moved = [world.moved(self._param_interest(p), since) for p in s.params]
+            first = [] if moved[0] is None else [moved[0]]
+            held = F.col("_keys")
+            for i in range(1, len(params)):
+                if moved[i] is not None:
+                    near = [self._rows_of(df, f"p{i}.entity", moved[i], "left_semi") if j == i else df for j, df in enumerate(whole)]
+                    first.append(self._joined(s, near, world).where(F.col(f"`p{i}.entity`").isNotNull()).select(F.col("`p0.entity`").alias("entity")))
+                    first.append(st.memo.rows().select(held[0].alias("entity"), held[i].alias("_moved")).join(moved[i].withColumnRenamed("entity", "_moved"), "_moved", "left_semi").select("entity"))
+            first += [gone.select(held[0].alias("entity")) for gone in st.forgotten]
+            some = reduce(DataFrame.union, first).where("entity is not null").distinct() if first else None
+            rows = self._joined(s, [self._rows_of(whole[0], "p0.entity", some, "left_semi"), *whole[1:]], world)
         else:
             # one union member a parameter: its changed rows with all rows of those before and the unchanged of those after
-            members = []
-            for i in range(len(params)):
-                parts = []
-                for j, (df, _, revs) in enumerate(params):
-                    newer = joins.greatest_of(revs) > only_new
-                    parts.append(df.where(newer) if j == i else df.where(~newer) if j > i else df)
-                members.append(self._joined(s, parts, world))
-            rows = reduce(DataFrame.unionByName, members)
-        deps = [F.col(f"`{c}`") for _, d, _ in params for c in d]
+            new, old = [], []
+            for i, (df, _, revs) in enumerate(params):
+                if self._by_entity(s.params[i], since):
+                    moved = world.moved(self._param_interest(s.params[i]), since)
+                    new.append(self._rows_of(df, f"p{i}.entity", moved, "left_semi"))
+                    old.append(self._rows_of(df, f"p{i}.entity", moved, "left_anti"))
+                else:
+                    newer = joins.greatest_of(revs) > since
+                    new.append(df.where(newer))
+                    old.append(df.where(~newer))
+            rows = reduce(DataFrame.unionByName, [self._joined(s, [new[j] if j == i else old[j] if j > i else df for j, df in enumerate(whole)], world) for i in range(len(params))])
+        deps = [f"`{c}`" for _, d, _ in params for c in d]
         if outer:
             # an unmatched row depends on the whole tables that it found no partner in
             for i, p in enumerate(s.params):
                 if isinstance(p, Maybe):
                     mark = max((world.watermark.get(c, 0) for c in [*query_of(p).reads(), *bound(query_of(p).where).keys]), default=0)
-                    deps.append(F.when(F.col(f"`p{i}.entity`").isNull(), F.lit(mark).cast("long")))
-        keys = F.array(*[F.col(f"`p{i}.entity`") for i in range(len(params))])
-        return rows.withColumns({"_keys": keys, "_deps": F.array(*deps).cast("array<long>") if deps else F.array().cast("array<long>")})
+                    deps.append(f"IF(`p{i}.entity` IS NULL, CAST({mark} AS BIGINT), NULL)")
+        keys = ", ".join(f"`p{i}.entity`" for i in range(len(params)))
+        return rows.selectExpr("*", f"array({keys}) AS _keys", f"CAST(array({', '.join(deps)}) AS ARRAY<BIGINT>) AS _deps")
+
+    def _own(self, s: System) -> set[str]:
+        """Components that a rule both reads and writes, as far as it is declared or has been seen."""
+        reads = {c for p in s.params for c in self._param_interest(p)}
+        muts = {x.component for p in s.params for x in query_of(p).parts if isinstance(x, Mut)}
+        return muts | reads & {*s.outputs, *(c for c, who in self._wrote.items() if s.name in who)}
+
+    def _without_rows(self, s: System) -> bool:
+        """Whether a component that some parameter must have is known to be nowhere: there is nothing to plan then."""
+        for p in s.params:
+            if isinstance(p, Maybe):
+                continue
+            q = query_of(p)
+            needed = [*q.reads(), *bound(q.where).keys, *(f.component for f in conjuncts(bound(q.where).rest) if isinstance(f, (With, Eq, Gte)))]
+            if any(self.world.known_empty(c) for c in needed):
+                return True
+        return False
 
-    def _todo(self, s: System) -> tuple[DataFrame, int] | None:
-        """The invocations that must run, saved, and their number; None if there are none."""
+    def _todo(self, s: System) -> tuple[DataFrame, DataFrame, int] | None:
+        """The rows of the invocations that must run, their _keys and _deps, saved, and their number; None if there are none."""
         st, w = self.state[s.name], self.world
-        always = s.always and st.generation != self.counters["generations"]  # once a generation
+        always = s.always or any(isinstance(q, Meta) for _, q in s.view_queries())
+        always = always and st.generation != self.counters["generations"]  # once a generation
         st.generation = self.counters["generations"]
         interest = self._interest(s)
         high = max((w.watermark.get(c, -1) for c in interest), default=-1)
         if high <= st.planned and not st.stale and not always:
             return None  # nothing that it reads has moved: no Spark job
+        if self._without_rows(s):
+            st.planned, st.stale, st.forgotten = self.revision, False, ()
+            return None
         began = time.time()
-        absence = any(isinstance(p, Maybe) or query_of(p).optional() or any(isinstance(f, Without) for f in walk(query_of(p).where)) for p in s.params)
-        absence |= any(self.registry[c].untracked for c in interest)  # their revisions say nothing
-        removed = max((w.removed.get(c, -1) for c in interest), default=-1) > st.planned
-        delta = not (st.stale or always or st.memo is None or absence or removed)
-        rows = self._plan(s, w, st.planned if delta else None)
-        if not delta and st.memo is not None and not always:
-            seen = st.memo.rows().select(F.col("_keys").alias("_mk"), F.col("_deps").alias("_md"))
-            rows = rows.join(seen, F.col("_keys").eqNullSafe(F.col("_mk")) & F.col("_deps").eqNullSafe(F.col("_md")), "left_anti")
-        todo = self.storage.save(rows)
-        st.planned, st.stale = self.revision, False
+        # revisions of untracked components say nothing, so only their presence can be compared, in all rows
+        delta = not (st.stale or always or st.memo is None or any(self.registry[c].untracked for c in interest))
+        rows = self._plan(s, w, st.planned if delta else None, st)
+        by_memo = st.memo is not None and not always and (not delta or any(isinstance(p, Maybe) or self._by_entity(p, st.planned) for p in s.params) or bool(self._own(s)))
+        if by_memo:
+            seen = st.memo.rows().selectExpr("_keys AS _mk", "_deps AS _md")
+            rows = rows.join(seen, F.expr("_keys <=> _mk AND _deps <=> _md"), "left_anti")
+        waits = 0
+        targets = [i for i, p in enumerate(s.params) if any(isinstance(x, Mut) for x in query_of(p).parts)]
+        if targets and len(s.params) > 1:  # one invocation of those that write an entity runs in a wave
+            at = [F.col(f"`p{i}.entity`") for i in targets]
+            names = rows.columns
+            one = rows.groupBy(*[c.alias(f"_t{k}") for k, c in enumerate(at)]).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), "_keys").alias("_r"), F.count("*").alias("_all"))
+            held, n = self.storage.counted(one.select(*[F.col(f"_r.`{c}`").alias(c) for c in names], "_all"), all=F.sum("_all"))
+            rows, todo, n, waits = held.drop("_all"), held.select("_keys", "_deps"), n["n"], (n["all"] or 0) - n["n"]
+        elif len(s.params) == 1 and not by_memo and not always:
+            # planning is one scan, so values are read again by the body instead of written here
+            todo, n = self.storage.counted(rows.select("_keys", "_deps"))
+            n = n["n"]
+        else:
+            rows, n = self.storage.counted(rows)
+            todo, n = rows.select("_keys", "_deps"), n["n"]
+        st.planned, st.stale, st.forgotten = self.revision, waits > 0, ()
         st.plan_s += time.time() - began
-        n = todo.count()
-        return (todo, n) if n else None
+        return (rows, todo, n) if n else None
 
     # -- settling --------------------------------------------------------
 
     def settle(self) -> int:
-        """Apply queued writes and run rules until nothing runs; the settled revision."""
+        """Apply queued writes and run rules until nothing runs; the settled revision.
+
+        If it fails, all is as it was before, the queued writes too.
+        """
         with self._lock:
+            if self._driver is not None:
+                return self.settled_revision  # a hook asks; the settle that it is part of goes on
             if not self._queue and not self._late and not any(st.stale for st in self.state.values()):
                 return self.settled_revision
-            before = (self.world, self.revision, {k: replace(v) for k, v in self.state.items()})
+            states = {k: replace(v) for k, v in self.state.items()}
+            before = (self.world, self.revision, states, list(self._late), dict(self._cleaned), {c: set(x) for c, x in self._wrote.items()}, dict(self._news))
+            taken: list[Callable[[], None]] = []
+            with self._inbox:
+                self._driver = threading.get_ident()
             try:
-                worked = self._settle()
+                worked = self._settle(taken)
+                self.settled = self.world
             except BaseException:
-                self.world, self.revision, self.state = before
+                self.world, self.revision, self.state, self._late, self._cleaned, self._wrote, self._news = before
+                with self._inbox:
+                    self._queue = [*taken, *self._queue]
                 raise
-            self.settled = self.world
+            finally:
+                with self._inbox:
+                    # what hooks have put after the last generation is part of the next epoch
+                    self._queue, self._inner = [*self._inner, *self._queue] if self._driver and self.settled is self.world else self._queue, []
+                    self._driver, self._preempting = None, False
             self.counters["settles"] += 1
             if worked:
                 for callback in self._watch:
@@ -603,38 +769,58 @@ class Engine:
         """Call back after each settle that did work."""
         self._watch.append(callback)
 
-    def _settle(self) -> bool:
-        start, committed, self._waves = self.revision, 0, 0
+    def _settle(self, taken: list[Callable[[], None]]) -> bool:
+        start, committed, self._waves, self._preemptions = self.revision, 0, 0, 0
         for st in self.state.values():
             st.heals = 0
-        first = True
+        startup, arrived = True, True
         while True:
-            queue, self._queue = self._queue, []
+            with self._inbox:
+                work, self._inner = self._inner, []
+                if arrived:  # the epoch's writes: those that were there when it began, or when one preempted
+                    taken += self._queue
+                    work, self._queue, self._preempting = [*self._queue, *work], [], False
+            arrived = False
             late, self._late = self._late, []
-            for work in queue:
-                work()
+            for each in work:
+                each()
             for s, outputs in late:
                 self._apply([(s, None, 0, outputs)])
             self.counters["generations"] += 1
-            while True:
-                moved = False
-                for phase in PHASES[:3]:
-                    if phase == "startup" and not first:
-                        continue
-                    committed, ran = self._phase(phase, committed)
-                    moved |= ran
-                first = False
-                if not moved and not self._clean() and not self._heal():
-                    break
-            committed, ran = self._phase("settle", committed, once=True)
-            if not ran and not self._queue:
+            try:
+                while True:
+                    moved = False
+                    for phase in PHASES[:3]:
+                        if phase == "startup" and not startup:
+                            continue
+                        committed, ran = self._phase(phase, committed)
+                        moved |= ran
+                    startup = False
+                    if not moved and not self._clean() and not self._heal():
+                        break
+                committed, ran = self._phase("settle", committed, once=True)
+            except _Preempted:
+                self.counters["preemptions"] += 1
+                startup = arrived = True
+                continue
+            if not ran and not self._inner:
                 break
-            if not any(self._dirty(s) for s in self.systems if s.phase != "settle") and not self._queue:
+            if not any(self._dirty(s) for s in self.systems if s.phase != "settle") and not self._inner:
                 break
         for st in self.state.values():
             st.stale = False
+        self.world = self.world.without_lost_before(min((st.planned for st in self.state.values()), default=self.revision))
         return self.revision != start
 
+    def _check_preempted(self, batch: list[tuple]) -> None:
+        """End the wave without its results if a preempting write has come; its invocations are planned again."""
+        if not self._preempting or self._preemptions >= PREEMPTIONS:
+            return
+        self._preemptions += 1
+        for s, *_ in batch:
+            self.state[s.name].stale = True
+        raise _Preempted
+
     def _dirty(self, s: System) -> bool:
         st = self.state[s.name]
         return max((self.world.watermark.get(c, -1) for c in self._interest(s)), default=-1) > st.planned
@@ -647,17 +833,18 @@ class Engine:
                 found = self._todo(s)
                 if found is None:
                     continue
-                todo, n = found
+                rows, todo, n = found
                 committed += n
                 if self.commit_limit is not None and committed > self.commit_limit:
                     raise FactError(f"commit limit exceeded: {committed} invocations, {self.commit_limit} allowed")
                 for callback in self._hooks["start"]:
                     callback(s.name)
                 st, began = self.state[s.name], time.time()
-                views = {name: plan(self.world, self.registry, q).rows.select([f"`{c}`" for c in visible(q)]) for name, q in s.views.items()}
-                batch.append((s, todo, n, list(s.body(todo, **views) or ())))
-                st.views = max((self.world.watermark.get(c, -1) for q in s.views.values() for c in self._view_interest(q)), default=-1)
+                more = {"keep": self.storage.save} if s.keeps else {}
+                batch.append((s, todo, n, list(s.body(rows, **self._views(s), **more) or ())))
+                st.views = max((self.world.watermark.get(c, -1) for c in self._viewed(s)), default=-1)
                 st.runs, st.waves, st.run_s = st.runs + n, st.waves + 1, st.run_s + time.time() - began
+            self._check_preempted(batch)
             if not batch:
                 return committed, any_ran
             any_ran = True
@@ -672,6 +859,14 @@ class Engine:
             if once:
                 return committed, True
 
+    def _views(self, s: System) -> dict[str, Any]:
+        def of(q: Query | Meta) -> DataFrame:
+            if isinstance(q, Meta):
+                return self._current(q.component)
+            return plan(self.world, self.registry, q).rows.select([f"`{c}`" for c in visible(q)])
+
+        return {name: of(v) if isinstance(v, (Query, Meta)) else replace(v, **{k: of(q) for k, q in bundled(v).items()}) for name, v in s.views.items()}
+
     def _view_interest(self, q: Query) -> set[str]:
         found = {*q.reads(), *q.optional(), *(f.component for f in walk(q.where) if hasattr(f, "component"))}
         for shape in q.shapes():
@@ -685,6 +880,7 @@ class Engine:
         dead: list[DataFrame] = []
         anchored: list[tuple[System, str, DataFrame]] = []
         swept: list[DataFrame] = []
+        n_swept = 0
         for s, todo, n, outputs in batch:
             keep = [o for o in outputs if not settle or isinstance(o, (Remove, Despawn))]
             if settle and len(keep) < len(outputs):  # inserts of this phase wait for the next settle
@@ -698,6 +894,8 @@ class Engine:
                     slot = F.col(o.slot) if o.slot else F.lit(0)
                     entity = -F.shiftrightunsigned(F.xxhash64(F.lit(s.name), "_keys", slot.cast("string")), 2) - 1
                     rows = o.rows.withColumn("_entity", entity)
+                    if len(o.components) + bool(o.anchors) > 1:  # the body is worked out once for all of them
+                        rows = self.storage.save(rows)
                     if o.anchors:
                         anchored.append((s, o.anchors, rows.select("_keys", F.col("_entity").alias("entity"))))
                     for c in o.components:
@@ -710,6 +908,7 @@ class Engine:
                     raise FactError(f"{s.name} gave {type(o).__name__}")
             if todo is not None:
                 swept.append(todo.select(F.lit(s.name).alias("_owner"), "_keys"))
+                n_swept += n
                 st = self.state[s.name]
                 st.memo = self._remember(st.memo, todo.select("_keys", "_deps"), n)
         owners = {s.name for s, t, _, _ in batch if t is not None}
@@ -718,16 +917,32 @@ class Engine:
                 self._wrote.setdefault(c, set()).add(s.name)
         for s, c, _ in anchored:
             self._wrote.setdefault(c, set()).add(s.name)
-        ran = self.storage.save(reduce(DataFrame.union, swept)) if swept else None
+        ran = reduce(DataFrame.union, swept) if swept else None
         over: dict[str, DataFrame] = {}
         if ran is not None:
             # only tables that these rules have written can hold outputs to sweep
             over = {name: ran for name in self.world.tables if owners & self._wrote.get(name, set())}
         before = self.revision
-        self._commit({c: reduce(DataFrame.unionByName, d) for c, d in new.items()}, over, {c: reduce(DataFrame.union, d) for c, d in gone.items()}, reduce(DataFrame.union, dead) if dead else None)
+        self._commit({c: reduce(DataFrame.unionByName, d) for c, d in new.items()}, over, {c: reduce(DataFrame.union, d) for c, d in gone.items()}, reduce(DataFrame.union, dead) if dead else None, n_swept=n_swept)
         if anchored:
             self._anchor(anchored)
-        self._absorb(batch, new, before)
+        self._absorb(batch, before)
+        self._races(batch, before)
+
+    def _races(self, batch: list[tuple[System, DataFrame | None, int, list[Any]]], before: int) -> None:
+        """A rule whose views another of its wave has just changed has seen what is no more: it will be healed, but the order was not told."""
+        wrote = {s.name: {c for o in outputs for c in ([o.component] if isinstance(o, (Write, Remove)) else o.components if isinstance(o, Spawn) else [])} for s, _, _, outputs in batch}
+        for s, todo, _, _ in batch:
+            if todo is None:
+                continue
+            for other, some in wrote.items():
+                raced = sorted(c for c in some & self._viewed(s) if other != s.name and self.world.watermark.get(c, -1) > before)
+                if raced:
+                    said = f"{s.name} viewed {', '.join(raced)}, which {other} changed in the same wave"
+                    if self.strict:
+                        raise FactError(said)
+                    if said not in self.warnings:
+                        self.warnings.append(said)
 
     # -- provenance ------------------------------------------------------
 
@@ -749,40 +964,76 @@ class Engine:
             new.setdefault(component, []).append(held.select("entity", "value", F.lit(s.name).alias("_owner"), "_keys"))
         self._commit({c: reduce(DataFrame.unionByName, d) for c, d in new.items()}, {}, {}, None)
 
+    def _tracked(self) -> set[str]:
+        return {n for n in {*self.world.tables, *self.world.fused} if not self.registry[n].untracked}
+
+    def _current(self, component: str) -> DataFrame:
+        """(entity, current): whether what each came from is as it was; no anchor at all is not current."""
+        each = self.world.table(component).select("entity", F.explode_outer("value").alias("a")).select("entity", F.col("a.entity").alias("_from"), F.col("a.rev").alias("_was"))
+        return self._as_it_was(each)
+
+    def _as_it_was(self, each: DataFrame) -> DataFrame:
+        now = self._entity_revisions(each.select(F.col("_from").alias("entity")).distinct()).withColumnRenamed("entity", "_from")
+        return each.join(now, "_from", "left").groupBy("entity").agg(F.bool_and(F.coalesce(F.col("now") == F.col("_was"), F.lit(False))).alias("current"))
+
     def _clean(self) -> bool:
-        """Remove entities of which an anchor has moved or gone; no anchor at all is not current either."""
+        """Remove entities of which an anchor has moved or gone; no anchor at all is not current either.
+
+        Only anchors at entities that moved since the last time are looked at, and those written since.
+        """
         stale = []
         for c in self.registry.components.values():
             if not c.provenance or c.name not in self.world.tables:
                 continue
             high = max(self.world.watermark.values(), default=-1)
-            if self._cleaned.get(c.name) == high:
+            last = self._cleaned.get(c.name, -1)
+            if last == high:
                 continue
             self._cleaned[c.name] = high
-            each = self.world.table(c.name).select("entity", F.explode_outer("value").alias("a")).select("entity", F.col("a.entity").alias("_from"), F.col("a.rev").alias("_was"))
-            now = self._entity_revisions(each.select(F.col("_from").alias("entity")).distinct()).withColumnRenamed("entity", "_from")
-            fine = each.join(now, "_from", "left").groupBy("entity").agg(F.bool_and(F.coalesce(F.col("now") == F.col("_was"), F.lit(False))).alias("ok"))
-            stale.append(fine.where("not ok").select("entity"))
+            held = self.world.table(c.name)
+            each = held.select("entity", "_rev", F.explode_outer("value").alias("a")).select("entity", "_rev", F.col("a.entity").alias("_from"), F.col("a.rev").alias("_was"))
+            if last >= 0:
+                moved = self.world.moved(self._tracked(), last)
+                near = each.where(F.col("_rev") > last)
+                if moved is not None:
+                    near = near.unionByName(each.join(moved.withColumnRenamed("entity", "_from"), "_from", "left_semi").where(F.col("_rev") <= last).select(each.columns))
+                each = self.storage.save(near)
+            stale.append(self._as_it_was(each.select("entity", "_from", "_was")).where("not current").select("entity"))
         if not stale:
             return False
-        gone = self.storage.save(reduce(DataFrame.union, stale).distinct())
-        return not gone.isEmpty() and self._commit({}, {}, {}, gone)
+        gone, seen = self.storage.counted(reduce(DataFrame.union, stale).distinct())
+        return seen["n"] > 0 and self._commit({}, {}, {}, gone)
 
-    def _absorb(self, batch: list[tuple[System, DataFrame | None, int, list[Any]]], new: dict[str, list[DataFrame]], before: int) -> None:
-        """A rule's write to what it reads is no news to itself: its memo takes the revision of after the commit."""
+    def _absorb(self, batch: list[tuple[System, DataFrame | None, int, list[Any]]], before: int) -> None:
+        """An invocation's write to a row that it reads is no news to it: its memo takes the revision that this write has given the row."""
         if self.revision == before:
             return
         for s, todo, n, outputs in batch:
-            own = {o.component for o in outputs if isinstance(o, Write)} & {c for p in s.params for c in query_of(p).reads()}
-            if not own or todo is None or len(s.params) > 1:
+            if todo is None:
                 continue
-            st = self.state[s.name]
-            rows = self._plan(s, self.world, None).select(F.col("_keys").alias("_ak"), F.col("_deps").alias("_ad"))
-            ran = todo.select("_keys").distinct()
-            now = self.storage.save(ran.join(rows, F.col("_keys") == F.col("_ak")).select("_keys", F.col("_ad").alias("_deps")))
-            st.memo = self._remember(st.memo, now, n)
-            if all(s is other or not isinstance(o, Write) or o.component not in own for other, _, _, out in batch for o in out):
-                st.planned = self.revision
+            places: dict[tuple[int, str], int] = {}  # where the dependency on a component of a parameter is
+            at = 0
+            for i, (_, deps, _) in enumerate(self._params(s, self.world)):
+                for d in deps:
+                    places[i, d.removeprefix(f"p{i}._rev.")] = at
+                    at += 1
+            held, touched = todo, False
+            for o in outputs:
+                if not isinstance(o, Write) or self.world.watermark.get(o.component, -1) <= before:
+                    continue
+                for i in range(len(s.params)):
+                    if (i, o.component) not in places:
+                        continue
+                    own = o.rows.where(F.col("entity") == F.col("_keys")[i]).select("_keys").distinct().withColumnRenamed("_keys", "_wk")
+                    revs = self.world.table(o.component).where(F.col("_rev") > before).select(F.col("entity").alias("_we"), F.col("_rev").alias("_wr"))
+                    p = places[i, o.component]
+                    met = held.join(own, F.col("_keys") == F.col("_wk"), "left").join(revs, F.col("_wk")[i] == F.col("_we"), "left")
+                    renewed = F.concat(F.slice("_deps", 1, p), F.array("_wr"), F.slice("_deps", p + 2, 64))
+                    held = met.select("_keys", F.when(F.col("_wr").isNull(), F.col("_deps")).otherwise(renewed).alias("_deps"))
+                    touched = True
+            if touched:
+                st = self.state[s.name]
+                st.memo = self._remember(st.memo, self.storage.save(held), n)
 
     def _conform(self, s: System, written: frozenset[str], spawned: bool) -> None:
         if s.outputs and not written <= set(s.outputs):
@@ -804,7 +1055,7 @@ class Engine:
             st = self.state[s.name]
             if not s.views or st.memo is None or st.waves == 0 or s.phase == "settle":
                 continue
-            now = max((self.world.watermark.get(c, -1) for q in s.views.values() for c in self._view_interest(q)), default=-1)
+            now = max((self.world.watermark.get(c, -1) for c in self._viewed(s)), default=-1)
             if now > st.views:
                 st.heals += 1
                 if st.heals > HEAL_LIMIT:
@@ -857,6 +1108,16 @@ class Engine:
             self.despawn([entity])
             self.settle()
 
+    def vacuum(self) -> int:
+        """Delete what superseded versions have written; how many tables.  DataFrames read from older versions can't be used afterwards."""
+        with self._lock:
+            held = [t.rows() for t in [*self.world.tables.values(), *self.settled.tables.values()]]
+            held += [st.memo.rows() for st in self.state.values() if st.memo is not None]
+            held += [gone for some in self.world.lost.values() for _, gone in some] + [k for st in self.state.values() for k in st.forgotten]
+            if self._queue or self._late:
+                return 0  # what waits may be made from any of them
+            return self.storage.sweep({f for df in held for f in df.inputFiles()})
+
     def close(self) -> None:
         """Delete all that the store wrote; its DataFrames can't be read afterwards."""
         self.storage.clear()
@@ -868,7 +1129,7 @@ class Engine:
         for s in self.systems:
             if s.name.endswith(suffix):
                 st = self.state[s.name]
-                now = max((self.world.watermark.get(c, -1) for q in s.views.values() for c in self._view_interest(q)), default=-1)
+                now = max((self.world.watermark.get(c, -1) for c in self._viewed(s)), default=-1)
                 return {"name": s.name, "phase": s.phase, "matched": self._plan(s, self.world, None).count(), "memoized": 0 if st.memo is None else st.memo.rows().count(), "stale_views": bool(s.views) and now > st.views}
         return None
 

@@ -57,6 +57,12 @@ class Component:
             return value[self.revision].cast("long")
         return F.xxhash64(value) if self.hash else F.lit(None).cast("long")
 
+    def print_sql(self, value: str) -> str:
+        """The fingerprint as SQL over that of a value: one expression to send instead of many calls."""
+        if self.revision:
+            return f"CAST({value}.`{self.revision}` AS BIGINT)"
+        return f"xxhash64({value})" if self.hash else "CAST(NULL AS BIGINT)"
+
     def target_of(self, value: Column) -> Column:
         return value if self.target == "value" else value[self.target]
 

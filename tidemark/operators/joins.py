@@ -8,8 +8,6 @@ optional parameter joins outer, and parameters that nothing binds form a product
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +19,7 @@ def product(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def equality(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], outer: bool = False) -> DataFrame:
     """Rows whose keys are equal, on values; rows without a key never pair."""
-    on = reduce(lambda a, b: a & b, [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in pairs])
-    return left.join(right, on, "left" if outer else "inner")
+    return left.join(right, F.expr(" AND ".join(f"`{a}` = `{b}`" for a, b in pairs)), "left" if outer else "inner")
 
 
 def membership(left: DataFrame, right: DataFrame, members: str, entity: str) -> DataFrame:
@@ -39,5 +36,5 @@ def along_edges(left: DataFrame, edges: DataFrame, right: DataFrame, target: str
 
 def greatest_of(columns: list[str]) -> Column:
     """The greatest, nulls aside; -1 if there is none."""
-    found = [F.coalesce(F.col(f"`{c}`"), F.lit(-1)) for c in columns]
-    return reduce(lambda a, b: F.greatest(a, b), found) if found else F.lit(-1)
+    found = [f"coalesce(`{c}`, -1)" for c in columns]
+    return F.expr(f"greatest({', '.join(found)})" if len(found) > 1 else found[0] if found else "-1")

@@ -39,6 +39,11 @@ class Read(Part):
     component: str
 
 
+@dataclass(frozen=True)
+class Mut(Read):
+    """A component that the rule reads and replaces: of the invocations that would write one entity, one runs in a wave, and its own write is no news to it."""
+
+
 @dataclass(frozen=True)
 class Optional(Part):
     component: str
@@ -134,6 +139,16 @@ class Maybe:
     query: Query
 
 
+@dataclass(frozen=True)
+class Meta:
+    """As a view: (entity, current) of the entities that hold this provenance component, and whether what each came from has stayed as it was.
+
+    Such a rule runs once a generation whatever has changed.
+    """
+
+    component: str
+
+
 @dataclass(frozen=True)
 class Named:
     """A query with arguments of its own, which win over shared ones."""

@@ -24,7 +24,7 @@ def query(sql: str | None):
 
 
 def store(spark: SparkSession, systems: list[System], *sources) -> Engine:
-    e = Engine(spark, schema.COMPONENTS, systems=systems)
+    e = Engine(spark, schema.COMPONENTS, systems=systems, commit_limit=None)  # rules over whole tables
     for s in sources:
         e.load(s)
     return e
@@ -34,6 +34,11 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def digest(text: Column) -> Column:
+    """A text by its MD5 and length, for what compares whole texts."""
+    return F.concat_ws(":", F.md5(text.cast("binary")), F.octet_length(text))
+
+
 def write(rows: DataFrame, component: str, value: Column, entity: str = "p0.entity") -> Write:
     return Write(component, rows.select("_keys", col(entity).alias("entity"), value.alias("value")))
 
@@ -149,13 +154,13 @@ def in_join(spark, sf_dir):
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents QUALIFY doc_id > first_id")
 def earlier_duplicate(spark, sf_dir):
-    """A rule over a view of all: the first earlier document of the same text."""
+    """A rule over a view of all: the first earlier document of the same text; what is shuffled is 128 bits of each text and its length."""
 
     @system("first", Query(Entity(), "DocText"), views={"all": Query(Entity(), "DocText")}, outputs=["OutLong"])
     def body(rows, all):
-        first = all.groupBy(F.xxhash64("DocText").alias("h"), F.col("DocText").alias("t")).agg(F.min("entity").alias("first"))
-        met = rows.join(first, (F.xxhash64("`p0.DocText`") == F.col("h")) & (col("p0.DocText") == F.col("t"))).where(F.col("first") < col("p0.entity"))
-        yield write(met, "OutLong", F.col("first"))
+        first = all.groupBy(digest(F.col("DocText")).alias("d")).agg(F.min("entity").alias("first"))
+        own = rows.select("_keys", col("p0.entity"), digest(col("p0.DocText")).alias("d"))
+        yield write(own.join(first, "d").where(F.col("first") < col("p0.entity")), "OutLong", F.col("first"))
 
     return store(spark, [body], schema.documents(spark, sf_dir)).read(Query(Entity(), "OutLong")).select(F.col("entity").alias("doc_id"), F.col("OutLong").alias("first_id"))
 
@@ -164,9 +169,9 @@ def earlier_duplicate(spark, sf_dir):
 def scoped_duplicate(spark, sf_dir):
     @system("first", Query(Entity(), "DocText", "DocSource"), views={"all": Query(Entity(), "DocText", "DocSource")}, outputs=["OutLong"])
     def body(rows, all):
-        first = all.groupBy(F.xxhash64("DocText", "DocSource").alias("h"), F.col("DocText").alias("t"), F.col("DocSource").alias("s")).agg(F.min("entity").alias("first"))
-        met = rows.join(first, (F.xxhash64("`p0.DocText`", "`p0.DocSource`") == F.col("h")) & (col("p0.DocText") == F.col("t")) & (col("p0.DocSource") == F.col("s"))).where(F.col("first") < col("p0.entity"))
-        yield write(met, "OutLong", F.col("first"))
+        first = all.groupBy(digest(F.col("DocText")).alias("d"), F.col("DocSource").alias("s")).agg(F.min("entity").alias("first"))
+        own = rows.select("_keys", col("p0.entity"), digest(col("p0.DocText")).alias("d"), col("p0.DocSource").alias("s"))
+        yield write(own.join(first, ["d", "s"]).where(F.col("first") < col("p0.entity")), "OutLong", F.col("first"))
 
     return store(spark, [body], schema.documents(spark, sf_dir)).read(Query(Entity(), "OutLong")).select(F.col("entity").alias("doc_id"), F.col("OutLong").alias("first_id"))
 
@@ -203,7 +208,7 @@ def def_index(spark, sf_dir):
         held = all.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("NationName", entry.alias("e")))), lambda s: s["e"]), ",").alias("held"))
         yield write(rows.crossJoin(held), "Index", F.col("held"))
 
-    e = Engine(spark, [*schema.COMPONENTS, Component("Index", "string", hash=True, singleton=True)], systems=[body])
+    e = Engine(spark, [*schema.COMPONENTS, Component("Index", "string", hash=True, singleton=True)], systems=[body], commit_limit=None)
     e.load(schema.nations(spark, sf_dir))
     e.put(Demand=True)
     return e.read(Query("Index")).select(F.col("Index").alias("entries"))
@@ -472,3 +477,120 @@ def stream_ingest(spark, sf_dir):
     return e.read(Query(Entity(), "EventType", "EventValue")).groupBy(F.col("EventType").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("EventValue"), 2).alias("total"))
 
 
+# -- relationships, mutations, healing: each leaves rows that SQL can tell ----
+
+
+EDGES_SQL = "SELECT n_name AS nation, count(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE {} GROUP BY n_name"
+
+
+def counted_members(e: Engine) -> DataFrame:
+    return e.read(Query(Entity(), "NationName", "NationCustomers")).select(F.col("NationName").alias("nation"), F.col("NationCustomers.n").alias("customers"))
+
+
+@query(EDGES_SQL.format("c_acctbal >= 0"))
+def retracted_edges(spark, sf_dir):
+    """Edges that are removed leave the inverses of their targets."""
+    e = store(spark, [], schema.nations(spark, sf_dir), schema.customers(spark, sf_dir))
+    poor = e.read(Query(Entity(), "Balance")).where("Balance < 0")
+    e.remove("InNation", poor.select("entity"))
+    return counted_members(e)
+
+
+@query(EDGES_SQL.format("n_regionkey <> 1"))
+def removed_targets(spark, sf_dir):
+    """With a target its edges go, and what joined along them."""
+    e = store(spark, [], schema.nations(spark, sf_dir), schema.customers(spark, sf_dir))
+    gone = e.read(Query(Entity(), "InRegion")).where(F.col("InRegion") == F.lit(schema.REGION * 2**48 + 1))
+    e.despawn(gone.select("entity"))
+    return counted_members(e)
+
+
+@query("SELECT c_custkey AS cust, round(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS balance FROM customer UNION ALL SELECT 0, count(*) + count(*) FILTER (c_mktsegment = 'BUILDING') FROM customer")
+def member_values(spark, sf_dir):
+    """A member's value moves only its own pairs: the last row has the number of runs."""
+
+    @system("held", Query(Entity(), "NationName", "NationCustomers"), Query(Entity(), "Balance", where=In("NationCustomers")), outputs=["OutDouble"])
+    def body(rows):
+        yield write(rows, "OutDouble", col("p1.Balance"), "p1.entity")
+
+    e = store(spark, [body], schema.nations(spark, sf_dir), schema.customers(spark, sf_dir))
+    e.settle()
+    e.update("Balance", F.col("value") + 1, where=Eq("Segment", "BUILDING"))
+    found = e.read(Query(Entity(), "OutDouble")).select((F.col("entity") - F.lit(schema.CUSTOMER * 2**48)).alias("cust"), F.round("OutDouble", 2).alias("balance"))
+    return found.unionByName(spark.createDataFrame([(0, float(e.profile()["held"]["runs"]))], "cust long, balance double"))
+
+
+@query("SELECT n_nationkey::BIGINT AS nation, CASE n_nationkey WHEN 3 THEN 'NEW' WHEN 4 THEN lower(n_name) ELSE n_name END AS name FROM nation UNION ALL SELECT -1, 'true,false,true'")
+def compared_and_set(spark, sf_dir):
+    """A value is set only if its revision is still the one seen; another by a function of what it is."""
+    e = store(spark, [], schema.nations(spark, sf_dir))
+    at = lambda n: schema.NATION * 2**48 + n
+    seen = e.revision_of(at(3), "NationName")
+    said = [e.compare_and_set(at(3), "NationName", "NEW", seen), e.compare_and_set(at(3), "NationName", "OLD", seen)]
+    said.append(e.with_latest(at(4), "NationName", str.lower) is not None)
+    found = e.read(Query(Entity(), "NationName")).select((F.col("entity") - F.lit(schema.NATION * 2**48)).alias("nation"), F.col("NationName").alias("name"))
+    return found.unionByName(spark.createDataFrame([(-1, ",".join(str(x).lower() for x in said))], "nation long, name string"))
+
+
+@query("SELECT n_name AS nation, (SELECT count(*) FROM customer WHERE c_acctbal >= 5000) AS customers FROM nation")
+def healed_views(spark, sf_dir):
+    """A rule that viewed a table in the wave in which it was filled runs again."""
+
+    @system("count", Query(Entity(), "NationName"), views={"all": Query(Entity(), "OutDouble")}, outputs=["OutLong"])
+    def count(rows, all):
+        yield write(rows.crossJoin(all.agg(F.count("*").alias("n"))), "OutLong", F.col("n"))
+
+    @system("rich", Query(Entity(), "Balance", where=Gte("Balance", 5000.0)), outputs=["OutDouble"])
+    def rich(rows):
+        yield write(rows, "OutDouble", col("p0.Balance"))
+
+    e = store(spark, [count, rich], schema.nations(spark, sf_dir), schema.customers(spark, sf_dir))
+    return e.read(Query(Entity(), "NationName", "OutLong")).select(F.col("NationName").alias("nation"), F.col("OutLong").alias("customers"))
+
+
+@query("SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2")
+def retired_pairs(spark, sf_dir):
+    """Outputs of a pair go with its partner."""
+
+    @system("named", Query(Entity(), "NationName", "NationCustomers"), Query(Entity(), "CustomerName", where=In("NationCustomers")), outputs=["OutText", "Label"])
+    def body(rows):
+        yield spawn(rows, OutText=col("p1.CustomerName"), Label=col("p0.NationName"))
+
+    e = store(spark, [body], schema.nations(spark, sf_dir), schema.customers(spark, sf_dir))
+    gone = e.read(Query(Entity(), "InRegion")).where(F.col("InRegion") == F.lit(schema.REGION * 2**48 + 2))
+    e.despawn(gone.select("entity"))
+    return spawned(e, customer="OutText", nation="Label")
+
+
+@query("SELECT r_name AS region, n_name AS nation FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT 'runs', '50'")
+def given_again(spark, sf_dir):
+    """Outputs that something else removes are given again by the pairs that still hold."""
+
+    @system("named", Query(Entity(), "RegionName", "RegionNations"), Query(Entity(), "NationName", where=In("RegionNations")), outputs=["OutText", "Label"])
+    def body(rows):
+        yield spawn(rows, OutText=col("p0.RegionName"), Label=col("p1.NationName"))
+
+    e = store(spark, [body], schema.regions(spark, sf_dir), schema.nations(spark, sf_dir))
+    e.remove("OutText", e.read(Query(Entity(), "OutText")).select("entity"))
+    found = spawned(e, region="OutText", nation="Label")
+    return found.unionByName(spark.createDataFrame([("runs", str(e.profile()["named"]["runs"]))], "region string, nation string"))
+
+
+@query("SELECT user_id, max(value) AS best FROM events GROUP BY user_id")
+def mutated_best(spark, sf_dir):
+    """Each user's best value, raised in place by a rule that reads and writes it: own writes are no news."""
+    from ..model import Component
+    from ..plans.query import Mut
+
+    best = Component("Best", "double", hash=True)
+
+    @system("raise", Query(Entity(), Mut("Best"), "OutLong"), views={"all": Query(Entity(), "EventUser", "EventValue")}, outputs=["Best"])
+    def body(rows, all):
+        top = all.groupBy("EventUser").agg(F.max("EventValue").alias("top"))
+        yield write(rows.join(top, col("p0.OutLong") == F.col("EventUser")), "Best", F.greatest(col("p0.Best"), F.col("top")))
+
+    e = Engine(spark, [*schema.COMPONENTS, best], systems=[body], commit_limit=None)
+    e.load(schema.events(spark, sf_dir))
+    users = schema.read(spark, sf_dir, "events").select("user_id").distinct().select((-F.col("user_id") - 1).alias("entity"), "user_id")
+    e.insert(OutLong=users.select("entity", F.col("user_id").alias("value")), Best=users.select("entity", F.lit(float("-inf")).alias("value")))
+    return e.read(Query(Entity(), "OutLong", "Best")).select(F.col("OutLong").alias("user_id"), F.col("Best").alias("best"))

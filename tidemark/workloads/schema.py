@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Component, Inverse, Shape
@@ -59,9 +59,11 @@ def orders(spark: SparkSession, sf_dir: str) -> Source:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines have no key of their own: the entity is a hash of the whole row."""
+    """Lines have no key of their own: the entity is that of order, line number and rank among the lines of both, so no two share one."""
     df = read(spark, sf_dir, "lineitem")
-    row = F.pmod(F.xxhash64(*df.columns), F.lit(2**48))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
+    # lines are the last kind, so their keys may go on beyond those of the others: 44 bits of order, 4 of line, 12 of rank
+    row = F.shiftleft(F.col("l_orderkey").cast("long"), 16) + F.shiftleft(F.col("l_linenumber").cast("long"), 12) + nth
     return df.select(kind_entity(LINE, row).alias("entity"), "l_orderkey", "l_quantity", "l_extendedprice")
 
 

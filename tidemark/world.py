@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import Registry
+from .model import Component, Registry
 from .storage import Layered
 
 #: Columns of a component table: value, the commit of the last change, its fingerprint, the commit of the insert, and who owns the row.
@@ -24,6 +24,13 @@ class Fused:
     entity: Column
     column: Column
     rev: int
+    made: dict[str, DataFrame] = field(default_factory=dict, compare=False)
+
+    def rows(self, c: Component) -> DataFrame:
+        if c.name not in self.made:
+            rows = self.table.select(self.entity.alias("entity"), self.column.cast(c.type).alias("value")).where("value IS NOT NULL")
+            self.made[c.name] = rows.selectExpr("entity", "value", f"CAST({self.rev} AS BIGINT) AS _rev", f"{c.print_sql('value')} AS _fp", f"CAST({self.rev} AS BIGINT) AS _born", "CAST(NULL AS STRING) AS _owner", "CAST(NULL AS ARRAY<BIGINT>) AS _keys")
+        return self.made[c.name]
 
 
 @dataclass(frozen=True)
@@ -35,6 +42,26 @@ class World:
     #: Highest commit at which a table changed, and at which it lost a row.
     watermark: dict[str, int] = field(default_factory=dict)
     removed: dict[str, int] = field(default_factory=dict)
+    #: Entities that lost the component, with the commit at which they did; back to the oldest plan that may ask.
+    lost: dict[str, tuple[tuple[int, DataFrame], ...]] = field(default_factory=dict)
+
+    def moved(self, names: set[str], since: int) -> DataFrame | None:
+        """Entities of which one of these components was written or removed after ``since``; None if there are none."""
+        found = []
+        for name in sorted(names):
+            if self.watermark.get(name, -1) <= since:
+                continue
+            found.append(self.table(name).where(f"_rev > {since}").select("entity"))
+            found += [gone.select("entity") for rev, gone in self.lost.get(name, ()) if rev > since]
+        return reduce(DataFrame.union, found).distinct() if found else None
+
+    def without_lost_before(self, since: int) -> World:
+        kept = {n: some for n, all_ in self.lost.items() if (some := tuple(x for x in all_ if x[0] > since))}
+        return replace(self, lost=kept)
+
+    def known_empty(self, name: str) -> bool:
+        """Whether nothing has this component, as far as it is known without looking."""
+        return name not in self.fused and (name not in self.tables or self.tables[name].n == 0)
 
     def table(self, name: str) -> DataFrame:
         """entity, value and the columns of META."""
@@ -42,14 +69,15 @@ class World:
         if name in self.tables:
             return self.tables[name].rows()
         if name in self.fused:
-            f = self.fused[name]
-            rows = f.table.select(f.entity.alias("entity"), f.column.cast(c.type).alias("value")).where("value is not null")
-            return rows.select("entity", "value", F.lit(f.rev).cast("long").alias("_rev"), c.fingerprint(F.col("value")).alias("_fp"), F.lit(f.rev).cast("long").alias("_born"), F.lit(None).cast("string").alias("_owner"), F.lit(None).cast("array<long>").alias("_keys"))
+            return self.fused[name].rows(c)
         return self.spark.createDataFrame([], f"entity long, value {c.type}, {META}")
 
-    def with_table(self, name: str, table: Layered, rev: int, lost: bool = False) -> World:
+    def with_table(self, name: str, table: Layered, rev: int, lost: DataFrame | None = None) -> World:
         fused = {k: f for k, f in self.fused.items() if k != name}
-        return replace(self, tables={**self.tables, name: table}, fused=fused, watermark={**self.watermark, name: rev}, removed={**self.removed, name: rev} if lost else self.removed)
+        made = replace(self, tables={**self.tables, name: table}, fused=fused, watermark={**self.watermark, name: rev})
+        if lost is None:
+            return made
+        return replace(made, removed={**self.removed, name: rev}, lost={**self.lost, name: (*self.lost.get(name, ()), (rev, lost))})
 
     def entities(self) -> DataFrame:
         """Every entity that has a component."""
@@ -86,6 +114,6 @@ class World:
                 for n in set(names) - set(need):
                     part = part.withColumn(f"_rev.{n}", F.when(F.col(f"`{n}`").isNotNull(), F.col(f"`_rev.{n}`")))
             else:
-                part = self.table(names[0]).select("entity", F.col("value").alias(names[0]), F.col("_rev").alias(f"_rev.{names[0]}"))
+                part = self.table(names[0]).selectExpr("entity", f"value AS `{names[0]}`", f"_rev AS `_rev.{names[0]}`")
             df = part if df is None else df.join(part, "entity", "inner" if need else "left")
         return df
