@@ -54,6 +54,7 @@ def test_no_vectors(spark):
 @pytest.mark.parametrize("block, again", [(16_384, 320), (100, 60)])
 def test_search_against_brute_force(spark, vectors, block, again, monkeypatch):
     monkeypatch.setattr(neighbours, "CANDIDATES", block)
+    monkeypatch.setattr(neighbours, "CANDIDATES_LEAST", block)
     monkeypatch.setattr(neighbours, "QUERIES", 10)
     got = {}
     for r in neighbours.nearest(spark, vectors, vectors.vec_id % 20 == 0, again=again).collect():
@@ -82,7 +83,7 @@ def test_search_in_a_group_larger_than_what_is_ranked_again(noise):
     ids[50] = ids[51]  # a repeated id
     model = neighbours.Quantiser(x[:2000])
     asked = [*range(8), *range(2000, 2008)]
-    got = neighbours.scan(model, ids, x, ids[asked], x[asked], 20, 320)
+    got = neighbours.scan(model, ids, x, *model.coded(x), ids[asked], x[asked], 20, 320)
     for i in asked:
         exact = (x * x[i]).sum(axis=1)
         want = sorted((-s, j) for s, j in zip(exact.tolist(), ids.tolist()) if j != ids[i])[:20]
@@ -103,3 +104,18 @@ def test_anisotropic_loss_lowers_the_parallel_residual():
     plain = neighbours.Quantiser.__new__(neighbours.Quantiser)
     plain.__dict__ |= aware.__dict__ | {"more": 0.0}
     assert parallel(aware) < parallel(plain)
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-5, 0.02, 0.2])
+def test_half_precision_loses_no_pair_within_the_budget(noise):
+    r = np.random.default_rng(4)
+    blocks = embeddings.Blocks(64, 0.98, 1)
+    x = r.normal(size=(400, 64))
+    x[200:] = x[:200] + noise * r.normal(size=(200, 64))
+    y = embeddings.unit(x) @ blocks.rotation
+    for j, (a, b) in enumerate(blocks.cuts):
+        part = y[:, a:b]
+        exact = ((part[:200, None] - part[None, 200:]) ** 2).sum(axis=2) <= blocks.budget[j] * (1 + embeddings.SLACK)
+        some, other = embeddings.near(part[:200].astype("<f2"), np.zeros(200), part[200:].astype("<f2"), np.ones(200), blocks.budget[j])
+        assert not (exact.any(axis=1) & ~some).any() and not (exact.any(axis=0) & ~other).any()
+        assert some.sum() <= exact.any(axis=1).sum() + 20

@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 #: A key is heavy if it has more than one in HEAVY_SHARE of all rows; so at most HEAVY_SHARE keys are.
 HEAVY_SHARE = 1000
 #: Parts that the rows of a heavy key are dealt into.
 SALTS = 128
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Folders of tables made since ``scratch`` began, innermost last.
+_scratch: list[list[tuple[SparkSession, str]]] = []
 
 
 class Tables:
@@ -31,7 +28,9 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if _scratch:
+            _scratch[-1].append((spark, self.root))
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -40,8 +39,33 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.root}/{name}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` written; what it was made from is deleted."""
+        found = self.save(df, "result")
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(root):
+            if f.getPath().getName() != "result":
+                fs.delete(f.getPath(), True)
+        return found
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch():
+    """Tables that operators make in the block are deleted after it; what is wanted of them has been written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for spark, root in _scratch.pop():
+            delete(spark, root)
 
 
 def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
