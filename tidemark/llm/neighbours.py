@@ -11,11 +11,13 @@ floor: by the residual of its codes each other vector has a bound of its exact
 product, and all that may reach the floor are ranked again too, so the result is
 that of brute force.  Equal vectors of a block are coded and ranked as one.
 
-Centres are fitted on a bounded sample; every vector is coded.  Candidates and
-queries are dealt into blocks, and a task holds one block of each.
+Centres are fitted on a bounded sample; every vector is coded once, before any query is asked.  Candidates and
+queries are dealt into blocks, and a task holds one block of each; so many queries make a block that
+candidates travel seldom.
 
 Defined cases: null, empty or zero vectors and those with null or non-finite
-components take no part, as query or candidate; vectors only meet others of
+components take no part, as query or candidate; several rows of one id with unlike vectors are each a candidate, and each
+queries, under the one id that they have: the k best of all of them are its result; vectors only meet others of
 their own length; rows of equal id are not each other's candidates; ties go to
 the smaller id; a repeated row is a candidate as often as it occurs, and its id
 queries once; an empty table gives an empty result; columns of other names play
@@ -39,8 +41,10 @@ CENTRES = 16
 SUBSPACE, SAMPLE, ROUNDS = 2, 8192, 8
 #: Products below this share of the vector's norm need not be exact; sets how much more a parallel residual counts.
 THRESHOLD = 0.2
-#: Blocks: candidates and queries of a task at most about, and distinct vectors ranked again in each at first.
-CANDIDATES, QUERIES, AGAIN = 16_384, 1024, 320
+#: Blocks: candidates of a task at most and at least about, queries of one at most about, and distinct vectors ranked again in each at first.
+CANDIDATES, CANDIDATES_LEAST, QUERIES, AGAIN = 65_536, 4096, 8192, 320
+#: Blocks of candidates that are made where there are enough of them.
+BLOCKS = 32
 
 
 class Quantiser:
@@ -95,6 +99,13 @@ class Quantiser:
                 self.centres[j][k] = np.linalg.solve(left, right)
             total += ((x[:, a:b] - self.centres[j][codes[:, j]]) * u[:, a:b]).sum(axis=1) - parallel[:, j]
 
+    def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and how far a table sum may be off a product for a query of norm 1: the residual, and rounding."""
+        codes = self.encode(x)
+        back = np.concatenate([self.centres[j][codes[:, j]] for j in range(len(self.cuts))], axis=1)
+        length = np.linalg.norm(back, axis=1)
+        return codes, np.linalg.norm(x - back, axis=1) + 1e-5 * (length + sum(np.linalg.norm(c, axis=1).max(initial=0.0) for c in self.centres))
+
     def pairs(self, codes: np.ndarray) -> np.ndarray:
         """Two codes to a byte, a pair of subspaces in a row."""
         return np.ascontiguousarray((codes[:, 0::2] * CENTRES + codes[:, 1::2]).T)
@@ -106,7 +117,7 @@ class Quantiser:
 
 
 def collapse(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct vectors, and for each from ``start`` on ``size`` of its ids in order: the k + 1 smallest, each as often as it occurs but at most k times."""
+    """Where each distinct vector is first, and for each from ``start`` on ``size`` of its ids in order: the k + 1 smallest, each as often as it occurs but at most k times."""
     row = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0]
     _, at, of = np.unique(row, return_index=True, return_inverse=True)
     order = np.lexsort((ids, of))
@@ -118,18 +129,14 @@ def collapse(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     nth_row = position - np.maximum.accumulate(np.where(new_id, position, 0))
     keep = (nth_id <= k) & (nth_row < k)
     size = np.bincount(of[keep], minlength=len(at))
-    return x[at], ids[keep], np.cumsum(size) - size, size
+    return at, ids[keep], np.cumsum(size) - size, size
 
 
-def scan(model: Quantiser, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, again: int) -> dict[str, np.ndarray]:
+def scan(model: Quantiser, ids: np.ndarray, x: np.ndarray, found: np.ndarray, off: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, again: int) -> dict[str, np.ndarray]:
     """The k best of this block for each query: a table scan, exact products of the best ``again``, then of all that may reach the k-th of these."""
-    x, ids, start, size = collapse(ids, x, k)
-    found = model.encode(x)
-    codes = model.pairs(found)
-    back = np.concatenate([model.centres[j][found[:, j]] for j in range(len(model.cuts))], axis=1)
-    length = np.linalg.norm(back, axis=1)
-    # how far a table sum may be off a product, for a query of norm 1: the residual, and rounding
-    off = np.linalg.norm(x - back, axis=1) + 1e-5 * (length + sum(np.linalg.norm(c, axis=1).max(initial=0.0) for c in model.centres))
+    at, ids, start, size = collapse(ids, x, k)
+    x, off = x[at], off[at]
+    codes = model.pairs(found[at])
     out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "score": []}
     sums, room = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
 
@@ -169,28 +176,41 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     """query_id, rank (from 1), vec_id, score: for each query the k nearest found among all rows of other ids."""
     tables = Tables(spark, "neighbours")
     rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    found = [_nearest(spark, rows.where(F.size("v") == width), width, k, again) for width in widths(rows, "v")]
+    found = [_nearest(spark, tables, rows.where(F.size("v") == width), width, k, again) for width in widths(rows, "v")]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return tables.save(reduce(DataFrame.unionByName, found), "result")
+    return tables.result(reduce(DataFrame.unionByName, found))
 
 
-def _nearest(spark: SparkSession, rows: DataFrame, width: int, k: int, again: int) -> DataFrame:
+def _nearest(spark: SparkSession, tables: Tables, rows: DataFrame, width: int, k: int, again: int) -> DataFrame:
     n, n_query = rows.count(), rows.where("q").count()
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share)).select("id", "v").toArrow()
-    ids = sample["id"].to_numpy()
-    held = spark.sparkContext.broadcast(Quantiser(rows_of(sample["v"], width)[np.argsort(ids, kind="stable")]))
-    n_blocks, n_sets = max(1, -(-n // CANDIDATES)), max(1, -(-n_query // QUERIES))
+    share = min(1.0, 2 * SAMPLE / max(1, n))
+    near = rows.where(F.pmod(F.xxhash64("id", "v", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share))
+    # distinct rows, whatever their number, in the order of a hash: never more than the bound
+    sample = near.groupBy(F.xxhash64("id", "v").alias("h"), "id").agg(F.first("v").alias("v")).orderBy("h", "id").limit(SAMPLE).toArrow()
+    order = np.lexsort((sample["h"].to_numpy(), sample["id"].to_numpy()))
+    held = spark.sparkContext.broadcast(Quantiser(rows_of(sample["v"], width)[order]))
+
+    def code(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                some = batch.slice(start, 4096)
+                codes, off = held.value.coded(rows_of(some.column("v"), width))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)], names=["id", "v", "q", "codes", "off"])
+
+    rows = tables.save(rows.mapInArrow(code, f"id long, v {dict(rows.dtypes)['v']}, q boolean, codes binary, off double"), f"coded{width}")
+    n_blocks = max(1, -(-n // CANDIDATES), min(BLOCKS, n // CANDIDATES_LEAST))
+    n_sets = max(1, -(-n_query // QUERIES))
     # a stated query set against all rows, in blocks: each row goes to the tiles of its block
     tile = F.col("block") * n_sets + F.col("set")
     spread = lambda salt, m: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(m))
-    left = rows.select("id", "v", spread(1, n_blocks).alias("block")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1)))).select(tile.alias("tile"), "id", "v")
+    left = rows.select("id", "v", "codes", "off", spread(1, n_blocks).alias("block")).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1)))).select(tile.alias("tile"), "id", "v", "codes", "off")
     ask = rows.where("q").dropDuplicates(["id", "v"]).select("id", "v", spread(2, n_sets).alias("set"))
     right = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(tile.alias("tile"), "id", "v")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        got = scan(held.value, a["id"].to_numpy(), rows_of(a["v"], width), b["id"].to_numpy(), rows_of(b["v"], width), k, again)
+        codes = np.frombuffer(b"".join(a["codes"].to_pylist()), np.uint8).reshape(a.num_rows, -1)
+        got = scan(held.value, a["id"].to_numpy(), rows_of(a["v"], width), codes, a["off"].to_numpy(), b["id"].to_numpy(), rows_of(b["v"], width), k, again)
         return pa.table({"query_id": pa.array(got["query_id"].astype(np.int64)), "vec_id": pa.array(got["vec_id"].astype(np.int64)), "score": pa.array(got["score"].astype(np.float64))})
 
     each = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(run, "query_id long, vec_id long, score double")
