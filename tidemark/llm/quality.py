@@ -4,11 +4,13 @@ A text is cut into overlapping chunks that cover it to the last byte.  Learned
 filters slide over each chunk, the greatest response of each filter in a chunk
 is kept (max pooling), chunks are pooled once more into greatest, mean and least,
 and a small layer combines these into one probability.  Training runs on the driver, on
-a bounded sample of labelled documents; scoring runs in Arrow batches over every
-byte of every text.
+a bounded sample of labelled documents: distinct pairs of id and text in the order of a hash, as
+many as there may be and as fit a number of bytes, each of them whole.  Scoring runs in Arrow batches
+over every byte of every text.
 
 Defined cases: a null or empty text is one chunk of padding and gets a score
-too; labels that are neither 0 nor 1, or null, teach nothing; several labels of one document
+too; a very long text is scored and trained on in all its chunks, but is no part of the sample if it
+is longer than the sample may be; equal texts of one id count as one example, and ties of the hash go by label and length; labels that are neither 0 nor 1, or null, teach nothing; several labels of one document
 count by their least; without labels of both kinds every score is their share
 (0.5 without any); repeated rows get one result each; an empty table gives an
 empty result; columns of other names play no part.
@@ -16,8 +18,6 @@ empty result; columns of other names play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +28,8 @@ from .shared import map_arrow
 #: Bytes a chunk, bytes from one to the next, bytes a filter, filters, hidden units.
 CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 64, 48, 5, 12, 16
 PAD = 256
-#: The training sample: documents at most about, chosen by a hash of the id, and chunks of each at most, evenly spread.
-TRAIN_DOCUMENTS, TRAIN_CHUNKS = 6000, 160
+#: The training sample: documents at most, in the order of a hash of id and text, and bytes in all at most.
+TRAIN_DOCUMENTS, TRAIN_BYTES = 6000, 48_000_000
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 
 
@@ -136,31 +136,37 @@ class Network:
         return self
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", bound: int = TRAIN_DOCUMENTS) -> Network:
-    """Fit on at most about ``bound`` labelled documents, ``allowed`` being a condition on labels' rows."""
+def sample(docs: DataFrame, known: DataFrame, bound: int, most: int) -> list[tuple[str | None, int]]:
+    """Texts with their labels: of distinct pairs of id and text, the first by hash that fit, ``bound`` at most and ``most`` bytes in all."""
+    n = known.count()
+    if n > 2 * bound:  # ids that can't be met all; twice as many as wanted, for some have no document
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * 2 * bound / n))
+    met = docs.join(F.broadcast(known), "id")  # about 2 * bound rows at most
+    hashed = met.withColumn("h", F.xxhash64("id", "text", F.lit(9)))
+    sizes = hashed.groupBy("h", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).orderBy("h", "label", "size").limit(2 * bound).collect()
+    picked, total = [], 0
+    for r in sizes:
+        if len(picked) < bound and total + r["size"] <= most:
+            picked.append((r["h"],))
+            total += r["size"]
+    if not picked:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(picked, "h long").distinct())
+    got = hashed.join(wanted, "h", "left_semi").groupBy("h", "label").agg(F.first("text").alias("text")).select("text", "label").toArrow()
+    texts, marks = got["text"].to_pylist(), got["label"].to_pylist()
+    return sorted(zip(texts, marks), key=lambda r: (r[0] or "", r[1]))  # whatever order the rows came in
+
+
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", bound: int = TRAIN_DOCUMENTS, most: int = TRAIN_BYTES) -> Network:
+    """Fit on at most ``bound`` labelled documents of ``most`` bytes in all, ``allowed`` being a condition on labels' rows."""
     known = labels.where(allowed) if allowed is not None else labels
     known = known.select(known[id_column].cast("long").alias("id"), known[label_column].cast("int").alias("label")).where("label in (0, 1) and id is not null").groupBy("id").agg(F.min("label").alias("label"))
-    n = known.count()
-    if n > bound:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
-    picked = texts.join(F.broadcast(known), "id").select("label", "text")  # the sample is bounded, so may be broadcast
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                rows = [chunks(t) for t in some.column("text").to_pylist()]
-                rows = [r[np.unique(np.linspace(0, len(r) - 1, TRAIN_CHUNKS).astype(int))] for r in rows]
-                yield pa.RecordBatch.from_arrays([some.column("label"), pa.array([r.astype("<i2").tobytes() for r in rows], pa.binary())], names=["label", "rows"])
-
-    got = picked.mapInArrow(cut, "label int, rows binary").toArrow()
-    bodies, marks = got["rows"].to_pylist(), np.array(got["label"].to_pylist(), float)
-    order = sorted(range(len(bodies)), key=lambda i: (bodies[i], marks[i]))  # whatever order the rows came in
-    if not order or marks.min() == marks.max():
-        return Network(share=float(marks.mean()) if order else 0.5)
-    rows = [np.frombuffer(bodies[i], "<i2").reshape(-1, CHUNK + WIDTH - 1) for i in order]
-    return Network().fit(rows, marks[order])
+    rows = sample(texts, known, bound, most)
+    marks = np.array([m for _, m in rows], float)
+    if not rows or marks.min() == marks.max():
+        return Network(share=float(marks.mean()) if rows else 0.5)
+    return Network().fit([chunks(t) for t, _ in rows], marks)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Network, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
