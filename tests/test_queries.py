@@ -10,8 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SLOW = {"hover_resolution", "diagnostics", "qualified_names", "derived_cleanup"}  # covered by tests of their own
-NAMES = [n for n in entry.queries() if n in entry.oracle_sql() and n[:2] != "op" and n not in SLOW]
+NAMES = [n for n in entry.queries() if n in entry.oracle_sql() and n[:2] != "op"]
 
 
 @pytest.fixture(scope="module")

@@ -214,3 +214,18 @@ def test_language_serves_hover_and_replicas(spark):
     assert e.read(Query("Diagnostic")).isEmpty()  # nobody has asked for diagnostics
     e.put(1, FileText="fn alpha() { return 1; }\nfn two() { return 2; }")
     assert kinds() == ["ast_def", "ast_def", "source_file"]
+
+
+def test_duplicates_are_of_the_earlier_definition(spark):
+    """Whatever the entities that rules gave them: in the order of files, and of the text."""
+    e = language.language(spark)
+    names = [f"name{i}" for i in range(6)]
+    e.put(2, FilePath="b.toy", FileText="\n".join(f"fn {n}() {{ return 2; }}" for n in names))
+    e.put(1, FilePath="a.toy", FileText="\n".join(f"fn {n}() {{ return 0; }}\ntype {n}" for n in reversed(names)))
+    e.put(DiagnosticsDemand=True)
+    defs = {r.entity: (r.BelongsToFile, r.AstDef.start, r.AstDef.name) for r in e.read(Query(Entity(), "AstDef", "BelongsToFile")).collect()}
+    first = {}
+    for entity, (file, start, name) in sorted(defs.items(), key=lambda d: d[1][:2]):
+        first.setdefault(name, entity)
+    said = sorted(r.Diagnostic for r in e.read(Query("Diagnostic")).collect())
+    assert said == sorted(f"duplicate definition `{n}`; previous function is entity {first[n]}" for n in names for _ in range(2))

@@ -2,6 +2,7 @@
 
 A file is parsed in one row-wise pass (a table function over Arrow batches);
 everything else is joins between what parsing found.  Positions are in bytes.
+Of definitions the earlier one is that of the lesser file, in one file that of the lesser position.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..engine import Engine, Spawn, System, Write, system
 from ..functions.scalar import word_at
 from ..model import Component, Plugin, Shape
 from ..plans.query import Entity, Eq, Maybe, Query, With
+from ..sources.tables import from_table
 
 QUERIES, ORACLES = {}, {}
 
@@ -115,7 +117,8 @@ COMPONENTS = [
     Component("QualifiedName", "struct<definition:bigint,name:string>", hash=True),
     Component("Diagnostic", "string", hash=True),
     Component("Severity", "int", hash=True),
-    Component("DefIndex", "array<struct<name:string,namespace:string,entity:bigint>>", hash=True, singleton=True),
+    # how many definitions there are and a digest of all: it moves when any of them does, and is no list of them
+    Component("DefIndex", "struct<n:bigint,digest:bigint>", hash=True, singleton=True),
     Component("RequestKey", "long", hash=True),
     Component("HoverCandidate", "struct<priority:int,text:string>", hash=True),
     Component("HoverFile", "long", hash=True),
@@ -138,18 +141,25 @@ SHAPES = [
 ]
 
 
-def _first(view: DataFrame, on: list[str]) -> DataFrame:
-    """One row for each key: that of the least entity."""
+# The messages that the language gives.
+UNKNOWN_IMPORT = "unknown import `%s`"
+DUPLICATE = "duplicate definition `%s`; previous %s is entity %d"
+UNKNOWN_FILE, NO_SYMBOL, UNRESOLVED = "unknown file", "no symbol at position", "unresolved symbol `%s`"
+DEFINED, KNOWN_AS, IMPORTED = "`%s` is a %s definition on entity %d", "`%s` is a %s definition on entity %d, known as `%s`", "`%s` is %s import"
+
+
+def _first(view: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the least by ``order``."""
     rest = [c for c in view.columns if c not in on]
-    return view.groupBy(*on).agg(F.min_by(F.struct(*rest), "entity").alias("_f")).select(*on, *[F.col(f"_f.{c}").alias(c) for c in rest])
+    return view.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*on, *[F.col(f"_f.{c}").alias(c) for c in rest])
 
 
 def rules() -> list[System]:
     anchors = "DerivedFrom"
 
-    @system("parse_file", Query(Entity(), "FileText"))
-    def parse_file(rows):
-        found = rows.select("_keys", col("p0.entity").alias("entity"), col("p0.FileText").alias("text")).mapInPandas(_parse, DECLARED)
+    @system("parse_file", Query(Entity(), "FileText"), keeps=True)
+    def parse_file(rows, keep):
+        found = keep(rows.select("_keys", col("p0.entity").alias("entity"), col("p0.FileText").alias("text")).mapInPandas(_parse, DECLARED))
         span = F.struct("kind", "name", "start", "end")
         some = lambda kinds: found.where(F.col("kind").isin(kinds)).withColumn("BelongsToFile", F.col("file"))
         yield Spawn(some(["import"]).withColumn("ImportDecl", span), ("ImportDecl", "BelongsToFile"), "nth", anchors)
@@ -165,28 +175,27 @@ def rules() -> list[System]:
     def check_imports(rows, db):
         known = db.select(F.explode("ImportDb").alias("known"))
         missing = rows.join(known, F.col("`p1.ImportDecl`.name") == F.col("known"), "left_anti")
-        yield Spawn(missing.select("_keys", F.format_string("unknown import `%s`", F.col("`p1.ImportDecl`.name")).alias("Diagnostic"), F.lit(WARNING).alias("Severity")), ("Diagnostic", "Severity"), anchors=anchors)
+        yield Spawn(missing.select("_keys", F.format_string(UNKNOWN_IMPORT, F.col("`p1.ImportDecl`.name")).alias("Diagnostic"), F.lit(WARNING).alias("Severity")), ("Diagnostic", "Severity"), anchors=anchors)
 
     @system("index_defs", Query(Entity(), where=With("DiagnosticsDemand")), Query(Entity(), "FileText"), views={"defs": Query(Entity(), "AstDef"), "paths": Query(Entity(), "NamespacePath")}, phase="complete")
     def index_defs(rows, defs, paths):
-        entry = F.struct(F.col("AstDef.name").alias("name"), F.col("NamespacePath").alias("namespace"), "entity")
-        held = defs.join(paths, "entity", "left").agg(F.array_sort(F.collect_list(entry)).alias("value"))
+        each = F.xxhash64("AstDef.name", "NamespacePath", "entity")
+        held = defs.join(paths, "entity", "left").select(each.alias("h")).agg(F.struct(F.count("*").alias("n"), F.coalesce(F.expr("bit_xor(h)"), F.lit(0).cast("long")).alias("digest")).alias("value"))
         yield Write("DefIndex", rows.select("_keys", col("p1.entity").alias("entity")).crossJoin(held))
 
-    @system("check_duplicate_defs", Query(Entity(), where=With("DiagnosticsDemand")), Query(Entity(), "AstDef"), Query(Entity(), "DefIndex"), views={"defs": Query(Entity(), "AstDef"), "paths": Query(Entity(), "NamespacePath")}, phase="complete")
+    @system("check_duplicate_defs", Query(Entity(), where=With("DiagnosticsDemand")), Query(Entity(), "AstDef"), Query(Entity(), "DefIndex"), views={"defs": Query(Entity(), "AstDef", "BelongsToFile"), "paths": Query(Entity(), "NamespacePath")}, phase="complete")
     def check_duplicate_defs(rows, defs, paths):
-        scoped = defs.join(paths, "entity", "left").select("entity", F.col("AstDef.name").alias("name"), F.col("AstDef.kind").alias("kind"), F.coalesce("NamespacePath", F.lit("")).alias("scope"))
-        first = _first(scoped, ["name", "scope"]).select(F.col("name").alias("_n"), F.col("scope").alias("_s"), F.col("entity").alias("_e"), F.col("kind").alias("_k"))
-        own = rows.join(paths.select(F.col("entity").alias("_at"), F.col("NamespacePath").alias("_p")), col("p1.entity") == F.col("_at"), "left")
-        # earlier is of the order in the text here: entities of one file are told apart by position
-        met = own.join(first, (F.col("`p1.AstDef`.name") == F.col("_n")) & (F.coalesce("_p", F.lit("")) == F.col("_s")) & (F.col("_e") < col("p1.entity")))
-        text = F.format_string("duplicate definition `%s`; previous %s is entity %d", F.col("_n"), F.col("_k"), F.col("_e"))
+        scoped = defs.join(paths, "entity", "left").select("entity", F.col("AstDef.name").alias("name"), F.col("AstDef.kind").alias("kind"), F.coalesce("NamespacePath", F.lit("")).alias("scope"), F.col("BelongsToFile").alias("file"), F.col("AstDef.start").alias("start"))
+        first = _first(scoped, ["name", "scope"], ["file", "start"]).select(F.col("name").alias("_n"), F.col("scope").alias("_s"), F.col("entity").alias("_e"), F.col("kind").alias("_k"), F.struct("file", "start").alias("_at"))
+        own = rows.select("_keys", col("p1.entity").alias("entity")).join(scoped.select("entity", "name", "scope", F.struct("file", "start").alias("at")), "entity")
+        met = own.join(first, (F.col("name") == F.col("_n")) & (F.col("scope") == F.col("_s")) & (F.col("_at") < F.col("at")))
+        text = F.format_string(DUPLICATE, F.col("_n"), F.col("_k"), F.col("_e"))
         yield Spawn(met.select("_keys", text.alias("Diagnostic"), F.lit(ERROR).alias("Severity")), ("Diagnostic", "Severity"), anchors=anchors)
 
     @system("resolve_hover", Query(Entity(), "FilePath", "Position", where=With("HoverRequest")), Maybe(Query(Entity(), "FileText", where=Eq("FilePath"))))
     def resolve_hover(rows):
         at = rows.select("_keys", col("p0.entity").alias("entity"), col("p1.entity").alias("file"), word_at(col("p1.FileText"), col("p0.Position")).alias("word"))
-        info = F.when(F.col("file").isNull(), "unknown file").when(F.col("word").isNull(), "no symbol at position").otherwise(F.format_string("unresolved symbol `%s`", F.col("word")))
+        info = F.when(F.col("file").isNull(), UNKNOWN_FILE).when(F.col("word").isNull(), NO_SYMBOL).otherwise(F.format_string(UNRESOLVED, F.col("word")))
         rank = F.when(F.col("file").isNull(), NONE).otherwise(RESOLVED)
         for component, value in [("RequestKey", F.col("entity")), ("HoverFile", F.col("file")), ("HoverWord", F.col("word"))]:
             yield Write(component, at.select("_keys", "entity", value.alias("value")))
@@ -197,25 +206,27 @@ def rules() -> list[System]:
 
     asked = Query(Entity(), "HoverWord", where=With("HoverRequest"))
 
-    @system("hover_definitions", asked, views={"defs": Query(Entity(), "AstDef")}, phase="complete")
+    def first_named(defs):
+        at = defs.select(F.col("AstDef.name").alias("name"), "entity", F.col("AstDef.kind").alias("kind"), F.col("BelongsToFile").alias("file"), F.col("AstDef.start").alias("start"))
+        return _first(at, ["name"], ["file", "start"]).drop("file", "start")
+
+    @system("hover_definitions", asked, views={"defs": Query(Entity(), "AstDef", "BelongsToFile")}, phase="complete")
     def hover_definitions(rows, defs):
-        first = _first(defs.select(F.col("AstDef.name").alias("name"), "entity", F.col("AstDef.kind").alias("kind")), ["name"])
-        met = rows.join(first, col("p0.HoverWord") == F.col("name"))
-        yield candidate(met, NAME, F.format_string("`%s` is a %s definition on entity %d", "name", "kind", "entity"))
+        met = rows.join(first_named(defs), col("p0.HoverWord") == F.col("name"))
+        yield candidate(met, NAME, F.format_string(DEFINED, "name", "kind", "entity"))
 
-    @system("hover_qualified", asked, views={"defs": Query(Entity(), "AstDef"), "qualified": Query(Entity(), "QualifiedName")}, phase="complete")
+    @system("hover_qualified", asked, views={"defs": Query(Entity(), "AstDef", "BelongsToFile"), "qualified": Query(Entity(), "QualifiedName")}, phase="complete")
     def hover_qualified(rows, defs, qualified):
-        first = _first(defs.select(F.col("AstDef.name").alias("name"), "entity", F.col("AstDef.kind").alias("kind")), ["name"])
-        full = _first(qualified.select(F.col("QualifiedName.definition").alias("definition"), "entity", F.col("QualifiedName.name").alias("full")), ["definition"]).drop("entity")
-        met = rows.join(first, col("p0.HoverWord") == F.col("name")).join(full, F.col("entity") == F.col("definition"))
-        yield candidate(met, QUALIFIED, F.format_string("`%s` is a %s definition on entity %d, known as `%s`", "name", "kind", "entity", "full"))
+        full = _first(qualified.select(F.col("QualifiedName.definition").alias("definition"), F.col("QualifiedName.name").alias("full")), ["definition"], ["full"])
+        met = rows.join(first_named(defs), col("p0.HoverWord") == F.col("name")).join(full, F.col("entity") == F.col("definition"))
+        yield candidate(met, QUALIFIED, F.format_string(KNOWN_AS, "name", "kind", "entity", "full"))
 
     @system("hover_imports", Query(Entity(), "HoverFile", "Position", where=With("HoverRequest")), views={"imports": Query(Entity(), "BelongsToFile", "ImportDecl"), "db": Query(Entity(), "ImportDb")}, phase="complete")
     def hover_imports(rows, imports, db):
         inside = (F.col("BelongsToFile") == col("p0.HoverFile")) & (F.col("ImportDecl.start") <= col("p0.Position")) & (col("p0.Position") < F.col("ImportDecl.end"))
         known = db.select(F.explode("ImportDb").alias("known"))
         met = rows.join(imports, inside).join(known, F.col("ImportDecl.name") == F.col("known"), "left")
-        yield candidate(met, POSITION, F.format_string("`%s` is %s import", F.col("ImportDecl.name"), F.when(F.col("known").isNull(), "an unknown").otherwise("a known")))
+        yield candidate(met, POSITION, F.format_string(IMPORTED, F.col("ImportDecl.name"), F.when(F.col("known").isNull(), "an unknown").otherwise("a known")))
 
     @system("finalize_hover", Query(Entity(), "RequestKey", where=With("HoverRequest")), views={"candidates": Query(Entity(), "RequestKey", "HoverCandidate")}, phase="complete")
     def finalize_hover(rows, candidates):
@@ -245,7 +256,7 @@ def language(spark: SparkSession, *plugins: Plugin) -> Engine:
     # an anchor is written after the wave's own commit, so shapes that need one are checked without it
     shapes = [Shape(s.name, tuple(p for p in s.required if p != "DerivedFrom"), (*s.optional, *(p for p in s.required if p == "DerivedFrom"))) for s in SHAPES]
     plugins = [Plugin(p.components, [Shape(s.name, tuple(x for x in s.required if x != "DerivedFrom"), ("DerivedFrom",)) for s in p.shapes], p.systems) for p in plugins]
-    e = Engine(spark, COMPONENTS, shapes, rules(), plugins)
+    e = Engine(spark, COMPONENTS, shapes, rules(), plugins, commit_limit=None)
     e.put(ImportDb=["std.io"])
     return e
 
@@ -259,38 +270,76 @@ def _query(sql: str):
     return add
 
 
-PROGRAMS = {
-    1: ("core.toy", "namespace app.core {\nfn boot() { return 1; }\ntype Size\nnamespace inner { struct Box { w: Size } }\n}\nfn main() { return 0; }"),
-    2: ("io.toy", "import std.io\nimport unknown.lib\nfn alpha(x: Size) -> Size { return x; }\nfn alpha() { return 2; }"),
-}
+# One file a part: two imports, a namespace that four files share, two functions and a type in it.
+HEAD = ["import std.io\nimport lib", "k % 3", ".core\nnamespace app", "k DIV 4", " {\n"]
+FIRST, SECOND, LAST = ["fn f", "k % 7", "() { return 1; }"], ["fn f", "k % 3", "() { return 2; }"], ["type T", "k", "\n}\n"]
+
+
+def _text(parts: list[str]) -> str:
+    """Spark SQL of a text: every other part is an expression."""
+    return "concat(" + ", ".join(p if i % 2 else repr(p) for i, p in enumerate(parts)) + ")"
+
 
+def _sql(parts: list[str]) -> str:
+    """The same for DuckDB."""
+    quote = lambda p: " || chr(10) || ".join(f"'{x}'" for x in p.split("\n"))
+    return " || ".join(f"({p.replace('DIV', '//')})" if i % 2 else quote(p) for i, p in enumerate(parts))
 
-def served(spark: SparkSession) -> Engine:
+
+def served(spark: SparkSession, sf_dir: str) -> Engine:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("CAST(p_partkey AS BIGINT) AS k")
+    whole = f"concat({_text(HEAD)}, {_text(FIRST)}, '\\n', {_text(SECOND)}, '\\n', {_text(LAST)})"
     e = language(spark)
-    for entity, (path, text) in PROGRAMS.items():
-        e.put(entity, FilePath=path, FileText=text)
+    e.load(from_table(parts, "k", FilePath=F.expr("concat('p', k, '.toy')"), FileText=F.expr(whole)))
+    e.put(ImportDb=["std.io", "lib1.core"])
     return e
 
 
-@_query("SELECT * FROM (VALUES ('app.core.boot'), ('app.core.Size'), ('app.core.inner.Box')) v(name)")
+DEFINITIONS = f"""WITH p AS (SELECT p_partkey::BIGINT AS k, {_sql(HEAD)} AS head, {_sql(FIRST)} AS one FROM (SELECT p_partkey, p_partkey AS k FROM part)),
+d AS (SELECT k, 'app' || (k // 4) AS scope, 'f' || (k % 7) AS name, strlen(head)::BIGINT AS start, 'function' AS kind FROM p
+    UNION ALL SELECT k, 'app' || (k // 4), 'f' || (k % 3), strlen(head) + strlen(one) + 1, 'function' FROM p
+    UNION ALL SELECT k, 'app' || (k // 4), 'T' || k, NULL, 'type' FROM p)
+"""
+
+
+@_query(DEFINITIONS + "SELECT d.scope || '.' || d.name AS name, d.k AS file, count(*) AS known FROM d JOIN p ON d.scope = 'app' || (p.k // 4) GROUP BY ALL")
 def qualified_names(spark, sf_dir):
-    return served(spark).read(Query(Entity(), "QualifiedName")).select("QualifiedName.name")
+    """Each definition under each namespace declaration of its path, in whatever file."""
+    e = served(spark, sf_dir)
+    e.settle()
+    names, files = e.read(Query(Entity(), "QualifiedName"), Query(Entity(), "AstDef", "BelongsToFile"))
+    at = files.select(F.col("entity").alias("definition"), F.col("BelongsToFile").alias("file"))
+    return names.select("QualifiedName.name", "QualifiedName.definition").join(at, "definition").groupBy("name", "file").agg(F.count("*").alias("known"))
 
 
-@_query("SELECT 'unknown import `unknown.lib`' AS message, 1 AS severity UNION ALL SELECT 'duplicate definition `alpha`', 2")
+@_query(DEFINITIONS + """SELECT 'unknown import `lib' || (k % 3) || '.core`' AS message, 1 AS severity, k AS file, 14::BIGINT AS start, NULL::BIGINT AS previous_file, NULL::BIGINT AS previous_start FROM p WHERE k % 3 <> 1
+UNION ALL SELECT 'duplicate definition `' || name || '`; previous ' || kind || ' is entity', 2, k, start, first_value(k) OVER w, first_value(start) OVER w
+    FROM d WHERE kind = 'function' WINDOW w AS (PARTITION BY scope, name ORDER BY k, start) QUALIFY row_number() OVER w > 1""")
 def diagnostics(spark, sf_dir):
-    e = served(spark)
+    """The whole messages; the entity that one names, and the ones it is derived from, by the places they stand for."""
+    e = served(spark, sf_dir)
     e.put(DiagnosticsDemand=True)
-    return e.read(Query(Entity(), "Diagnostic", "Severity")).select(F.substring_index("Diagnostic", ";", 1).alias("message"), F.col("Severity").alias("severity"))
-
-
-@_query("""SELECT * FROM (VALUES (100, 30, '`std.io` is a known import'), (101, 30, '`unknown.lib` is an unknown import'), (102, 10, '`alpha` is a function definition'),
-    (103, 20, 'known as `app.core.boot`'), (104, 1, 'unresolved symbol `return`'), (105, 0, 'unknown file'), (106, 1, 'no symbol at position')) v(request, rank, info)""")
+    e.settle()
+    found, defs, imports = e.read(Query(Entity(), "Diagnostic", "Severity", "DerivedFrom"), Query(Entity(), "AstDef", "BelongsToFile"), Query(Entity(), "ImportDecl", "BelongsToFile"))
+    place = lambda df, c: df.select(F.col("entity").alias("_p"), F.col("BelongsToFile").alias("file"), F.col(f"{c}.start").alias("start"))
+    places = place(defs, "AstDef").unionByName(place(imports, "ImportDecl"))
+    each = found.select(F.regexp_replace("Diagnostic", " -?[0-9]+$", "").alias("message"), F.col("Severity").alias("severity"), F.explode("DerivedFrom.entity").alias("_from"), F.regexp_extract("Diagnostic", "(-?[0-9]+)$", 1).try_cast("long").alias("_named"))
+    met = each.join(places.withColumnRenamed("_p", "_from"), "_from")
+    named = places.select(F.col("_p").alias("_named"), F.col("file").alias("previous_file"), F.col("start").alias("previous_start"))
+    return met.join(named, "_named", "left").select("message", "severity", "file", "start", "previous_file", "previous_start")
+
+
+@_query(DEFINITIONS + """, f AS (SELECT name, arg_min(scope, (k, start)) AS scope FROM d GROUP BY name)
+SELECT k AS request, CASE k % 4 WHEN 0 THEN 30 WHEN 1 THEN 20 WHEN 2 THEN 1 ELSE 0 END AS rank,
+    CASE k % 4 WHEN 0 THEN '`lib' || (k % 3) || '.core` is ' || CASE WHEN k % 3 = 1 THEN 'a known' ELSE 'an unknown' END || ' import'
+    WHEN 1 THEN '`f' || (k % 7) || '` is a function definition on entity, known as `' || (SELECT scope FROM f WHERE name = 'f' || (k % 7)) || '.f' || (k % 7) || '`'
+    WHEN 2 THEN 'no symbol at position' ELSE 'unknown file' END AS info FROM p""")
 def hover_resolution(spark, sf_dir):
-    e = served(spark)
-    core, io = (PROGRAMS[i][1] for i in (1, 2))
-    asked = [("io.toy", 8), ("io.toy", 22), ("io.toy", io.index("alpha")), ("core.toy", core.index("boot")), ("core.toy", core.index("return")), ("none.toy", 0), ("core.toy", core.index("{"))]
-    for n, (path, offset) in enumerate(asked, 100):
-        e.put(n, HoverRequest=True, FilePath=path, Position=offset)
-    shown = F.regexp_replace(F.regexp_replace("HoverInfo", "^.*, (known as .*)$", "$1"), " on entity -?[0-9]+$", "")
-    return e.read(Query(Entity(), "HoverRank", "HoverInfo")).select(F.col("entity").cast("int").alias("request"), F.col("HoverRank").alias("rank"), shown.alias("info"))
+    """A request in each file: on its second import, on the name of a function, on a line's end, and in a file that isn't there."""
+    e = served(spark, sf_dir)
+    asked = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("CAST(p_partkey AS BIGINT) AS k").selectExpr(
+        "k + (1L << 50) AS request", "true AS demand", "IF(k % 4 = 3, 'nowhere.toy', concat('p', k, '.toy')) AS path", f"CAST(CASE k % 4 WHEN 0 THEN 21 WHEN 1 THEN octet_length({_text(HEAD)}) + 3 ELSE 13 END AS BIGINT) AS position"
+    )
+    e.insert_rows(asked, "request", HoverRequest="demand", FilePath="path", Position="position")
+    shown = F.regexp_replace("HoverInfo", " entity -?[0-9]+", " entity")
+    return e.read(Query(Entity(), "HoverRank", "HoverInfo")).select((F.col("entity") - F.lit(1 << 50)).alias("request"), F.col("HoverRank").alias("rank"), shown.alias("info"))
