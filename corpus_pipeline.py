@@ -9,6 +9,11 @@ return the columns of documents.
 3. secrets: secrets found are replaced by a mask; no document goes for them.
 4. mixing: each document comes as often as the mix takes it, none, one or two times.
 5. packing: pieces of documents and their places in sequences.
+
+Defined cases: a null or empty text is in no language and goes in the first stage; null ids and sources stay
+what they are; of rows with equal id and text one stays after the second stage; columns beyond those of documents
+stay until packing; very long texts go through whole; an empty table gives an empty result.  The tables that a
+stage makes, and its predecessor's result, are deleted when its own result is written.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import language, mixing, packing, secrets, simhash
-from tidemark.llm.shared import Tables
+from tidemark.llm.shared import Tables, scratch
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = tables.save(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = tables.save(stage(spark, docs, sf_dir), name)
+        if before:
+            tables.drop(before)
+        before = name
     return docs
