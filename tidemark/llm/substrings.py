@@ -17,8 +17,6 @@ the first of each kind is compared run by run, so what only two of them share in
 part is found as well.  Spans of enough words are what the operator reports or
 removes: runs of chunks and of words, united where they meet.
 
-Chunks and runs of one or two words again and again are no passages and never count.
-
 Digests are grouped by partial aggregation, those in one document only fall
 away, and hot digests join as heavy keys; what is left of a document's chunks
 is put in order by windows over its own rows.
@@ -26,13 +24,13 @@ is put in order by windows over its own rows.
 Defined cases: a null or empty text has no chunk; rows of equal id count as one
 document, so repeated rows are not repeats of each other; rows without id have
 no earlier and later and are never reported, nor counted as the earlier
-occurrence; an empty table gives an empty result; columns of other names play no part.
+occurrence; of several earlier documents the least id is named; one or two words again and again are a passage as any
+other; very long texts are cut and compared whole; an empty table gives an empty result; columns of other names play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -110,20 +108,6 @@ def words_of(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, Powers(LETTER[body], BYTE)(start, end)
 
 
-def prose_runs(words: np.ndarray, least: int) -> np.ndarray:
-    """For each run of ``least`` words whether it has more than two different ones."""
-    if least < 4:
-        return np.ones(len(words) - least + 1, bool)
-    x, y, z = words[:-2], words[1:-1], words[2:]
-    good = over((x != y) & (y != z) & (x != z), least - 2, np.maximum)
-    left = np.nonzero(~good)[0]
-    each, low, high = np.lib.stride_tricks.sliding_window_view(words, least), over(words, least, np.minimum), over(words, least, np.maximum)
-    for k in range(0, len(left), 65_536):
-        at = left[k : k + 65_536]
-        good[at] = ((each[at] != low[at, None]) & (each[at] != high[at, None])).any(axis=1)
-    return good
-
-
 def stretches(words: np.ndarray, least: int, of: np.ndarray) -> tuple[np.ndarray, ...]:
     """First and last run of each stretch, its seed and its digest; ``of`` has the text that each word is of."""
     if len(words) < least:
@@ -131,7 +115,7 @@ def stretches(words: np.ndarray, least: int, of: np.ndarray) -> tuple[np.ndarray
     size, by_word = min(SEED, least), Powers(words, WORD)
     at = np.arange(len(words) - size + 1)
     seed = over(by_word(at, at + size), least - size + 1, np.minimum)
-    good = prose_runs(words, least) & (of[: len(seed)] == of[least - 1 :])
+    good = of[: len(seed)] == of[least - 1 :]
     new = np.ones(len(seed), bool)
     new[1:] = (seed[1:] != seed[:-1]) | (good[1:] != good[:-1]) | (of[1 : len(seed)] != of[: len(seed) - 1])
     first = np.nonzero(new)[0]
@@ -167,11 +151,9 @@ def chunks(docs: DataFrame, least: int = SPAN_WORDS, wanted: Broadcast | None =
             names.append(np.full(len(end), name))
             parts = [body[s:e] for s, e in zip(start.tolist(), end.tolist())]
             words = np.diff(begins[end - 1], prepend=0)
-            prose = np.fromiter((len(set(p.split())) > 2 for p in parts), bool, len(parts)) | (words < 4)
-            names[-1] = names[-1][prose]
-            places.append((start << 24 | (end - start) << 12 | words)[prose])
-            firsts.append((begins[end - 1] - words << 32 | words)[prose])
-            digests += map(xxhash.xxh3_128_digest, compress(parts, prose))
+            places.append(start << 24 | (end - start) << 12 | words)
+            firsts.append(begins[end - 1] - words << 32 | words)
+            digests += map(xxhash.xxh3_128_digest, parts)
         whole = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         start, end, words = words_of(np.frombuffer(b" ".join([*bodies, b""]), np.uint8))
         offset = np.cumsum([0, *(len(b) + 1 for b in bodies)])
@@ -271,7 +253,7 @@ def repeated(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", te
     both = as_span(whole, F.col("chunks")).unionByName(as_span(by_stretch, F.lit(0))).unionByName(as_span(by_run, F.lit(0)))
     united = both.withColumn("new", (F.coalesce(F.max("stop").over(before), F.lit(-1)) < F.col("word")).cast("int")).withColumn("run", F.sum("new").over(upto))
     spans = united.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("stop") - F.min("word")).alias("words"), F.sum("chunks").alias("chunks"), F.min("first").alias("first_id"))
-    return spans.drop("run")
+    return tables.result(spans.drop("run"))
 
 
 def removed(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = SPAN_WORDS) -> DataFrame:
