@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 from tidemark.llm.shared import Tables, components, least_labels
@@ -64,3 +65,10 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in components(spark, spark.createDataFrame(links, "a long, b long"), Tables(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 299: 299, 300: 299}
     assert least_labels(4, np.array([3, 2]), np.array([2, 1])).tolist() == [0, 1, 1, 1]
+
+
+def test_one_of_each_group_whatever_the_ids(spark):
+    long, other, third = (" ".join(f"{c}{i}" for i in range(80)) for c in "wvu")
+    docs = spark.createDataFrame([(1, long), (2, long), (2, other), (2, other), (3, other), (None, third), (None, third), (None, long)], "doc_id long, text string").withColumn("id", F.lit(0))
+    got = sorted((repr(r.doc_id), r.text[0]) for r in simhash.one_of_each(spark, docs).collect())
+    assert got == [("1", "w"), ("2", "v"), ("None", "u")]

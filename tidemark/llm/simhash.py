@@ -9,7 +9,7 @@ spanning forest of its links, not the links, so a group of k near copies moves
 O(k) rows.  Groups are then joined across tiles by connected components.
 
 Defined cases: a null text counts as empty; a text without words has
-fingerprint zero; repeated rows and equal ids give one result row each; a null
+fingerprint zero; a very long text counts whole; texts at exactly the radius are linked; repeated rows and equal ids give one result row each; a null
 id is an id that is never the least unless all of a group are null; an empty
 table gives an empty result; columns of other names play no part.
 """
@@ -26,7 +26,7 @@ from .shared import Tables, components, heavy_join, least_labels, map_arrow
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints a tile holds: a 24th of all, within these bounds.
-TILE_LEAST, TILE_MOST = 2048, 1 << 20
+TILE_LEAST, TILE_MOST = 2048, 1 << 16
 ROWS, COLUMNS = 256, 2048
 
 
@@ -50,13 +50,13 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """(id long, fp long): one row a document."""
+    """(id long, th long, fp long): one row a document; th is a hash of the text as it is."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(t, words, seed) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "th", "fp"])
 
-    return map_arrow(docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text")), make, "id long, fp long")
+    return map_arrow(docs.select(docs[id_column].cast("long").alias("id"), F.xxhash64(docs[text_column]).alias("th"), docs[text_column].alias("text")), make, "id long, th long, fp long")
 
 
 def close(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +118,11 @@ def tile_links(distinct: DataFrame, radius: int, tables: Tables) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """One row a document: id, fp (the fingerprint as a signed long), component_id (least id of its group)."""
+    return groups(spark, docs, id_column, text_column, words, radius, seed).select("id", "fp", "component_id")
+
+
+def groups(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """One row a document: id, th (a hash of its text), fp, root (a fingerprint that names its group), component_id."""
     tables = Tables(spark, "simhash")
     each = tables.save(fingerprints(docs, id_column, text_column, words, seed), "each")
     distinct = tables.save(each.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("_w")), "distinct")
@@ -126,29 +131,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_
     roots = components(spark, links, tables)
     placed = tables.save(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_g"))
-    named = tables.save(heavy_join(placed.select("fp", "_w", "root"), least, "root", "_g", distinct.count()).select("fp", "_w", "component_id"), "named")
-    return heavy_join(each, named, "fp", "_w", total).select("id", "fp", "component_id")
+    named = tables.save(heavy_join(placed.select("fp", "_w", "root"), least, "root", "_g", distinct.count()).select("fp", "_w", "root", "component_id"), "named")
+    return tables.result(heavy_join(each, named, "fp", "_w", total).select("id", "th", "fp", "root", "component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The documents with one of each group: that of the least id; of rows with equal ids in a group, one.
+    """The documents with one of each group: of those with the least id the one whose text has the least hash; a null id is the greatest.
 
-    Rows of a null id are told apart by their text and stay if their group has no id at all.
+    What decides is the group, not the id: rows of one id and unlike texts are each kept or not with their own group.
     """
-    found = near_duplicates(spark, docs, id_column, text_column, **options)
+    found = groups(spark, docs, id_column, text_column, **options)
     tables = Tables(spark, "simhash-kept")
-    found = tables.save(found, "found")
-    kept = found.where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count("*").alias("_n"))
-    nameless = found.where(F.col("component_id").isNull()).select("fp")
-    gone = tables.save(found.select("id").distinct().join(kept.select("id"), "id", "left_anti").where(F.col("id").isNotNull()).select(F.col("id").alias("_gone")), "gone")
-    key = docs[id_column].cast("long")
-    small = gone.count() <= 500_000
-    rest = docs.where(key.isNotNull()).join(F.broadcast(gone) if small else gone, key == F.col("_gone"), "left_anti")
-    again = tables.save(kept.where(F.col("_n") > 1).select(F.col("id").alias("_again")), "again")
-    if not again.isEmpty():
-        at = rest[id_column].cast("long")
-        rest = rest.join(again, at == F.col("_again"), "left_anti").unionByName(rest.join(again, at == F.col("_again"), "left_semi").dropDuplicates([id_column]))
-    if not nameless.isEmpty():
-        lone = docs.where(key.isNull())
-        rest = rest.unionByName(lone.dropDuplicates([text_column]))
-    return rest
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    pairs = tables.save(found.groupBy("root", "id", "th").agg(F.count("*").alias("_n")), "pairs")
+    kept = pairs.groupBy("root").agg(F.min(key).alias("_k"))
+    total = pairs.groupBy("root").agg(F.count("*").alias("_w")).join(kept, "root")
+    marked = heavy_join(pairs, total, "root", "_w", pairs.count())
+    marked = tables.save(marked.select("id", "th", "_n", (F.col("_k.id").eqNullSafe(F.col("id")) & (F.col("_k.th") == F.col("th"))).alias("stays")), "marked")
+    gone = marked.where("not stays").select(F.col("id").alias("_gid"), F.col("th").alias("_gth"))
+    again = marked.where("stays and _n > 1").select(F.col("id").alias("_gid"), F.col("th").alias("_gth"))
+    same = docs[id_column].cast("long").eqNullSafe(F.col("_gid")) & (F.xxhash64(docs[text_column]) == F.col("_gth"))
+    small = lambda df: F.broadcast(df) if df.count() <= 500_000 else df
+    rest = docs.join(small(gone), same, "left_anti")
+    if again.isEmpty():
+        return rest
+    again = small(again)
+    return rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates([id_column, text_column]))
