@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from tidemark.llm import language, secrets
 from tidemark.llm.shared import crc_mod
@@ -16,6 +17,65 @@ def test_language_of_held_out_documents(spark, prose):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def plain_language(labelled):
+    """Language by plain expectation-maximisation, a trigram and a language at a time."""
+    count = defaultdict(Counter)
+
+    def grams(text):
+        b = [32, *(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()), 32]
+        return Counter((((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1) % 2**32) >> 16 for i in range(len(b) - 2) if b[i + 1] != 32)
+
+    for text, lang in labelled:
+        if text is not None and lang is not None:
+            count[lang] += grams(text)
+    names = sorted(count)
+    total = {k: sum(count[k].values()) + 0.5 * 2**16 for k in names}
+    chance = lambda k, g: (count[k][g] + 0.5) / total[k]
+
+    def fit(some, g, theta, rounds):
+        for _ in range(rounds):
+            new = dict.fromkeys(some, 0.0)
+            for x, n in g.items():
+                each = {k: theta[k] * chance(k, x) for k in some}
+                for k in some:
+                    new[k] += n * each[k] / sum(each.values())
+            theta = {k: v / sum(g.values()) for k, v in new.items()}
+        return theta, sum(n * math.log(sum(theta[k] * chance(k, x) for k in some)) for x, n in g.items())
+
+    def predict(text):
+        if not text or not any(c.isalpha() for c in text) or not names:
+            return "und", 0.0
+        g = grams(text)
+        if not g:
+            return names[0], 1 / len(names)
+        chosen = [max(names, key=lambda k: sum(n * math.log(chance(k, x)) for x, n in g.items()))]
+        theta, score = fit(chosen, g, {chosen[0]: 1.0}, 0)
+        while len(chosen) < len(names):
+            tries = []
+            for c in names:
+                if c not in chosen:
+                    found, now = fit([*chosen, c], g, {**{k: 0.7 * v for k, v in theta.items()}, c: 0.3}, 12)
+                    tries.append((now, c, found))
+            now, c, found = max(tries, key=lambda t: t[0])
+            if now - score <= 8 * math.log(sum(g.values()) + 1):
+                break
+            chosen, theta, score = [*chosen, c], found, now
+        best = max(sorted(theta), key=lambda k: theta[k])
+        return best, theta[best]
+
+    return predict
+
+
+def test_mixtures_equal_plain_expectation_maximisation(spark, prose):
+    rows = prose.collect()
+    model = language.learn(spark, prose)
+    predict = plain_language([(r.text, r.lang) for r in rows])
+    texts = [r.text for r in rows[:60]] + [rows[0].text + " " + rows[1].text * 2, "", None, "123", "x", rows[3].text[:40] + " " + rows[4].text[:90]]
+    for t in texts:
+        (a, b), (c, d) = model.predict(t), predict(t)
+        assert a == c and abs(b - d) < 1e-6, t
+
+
 def test_mixtures(spark, prose):
     model = language.learn(spark, prose)
     texts = {lang: " ".join(r.text for r in prose.where(f"lang = '{lang}'").limit(40).collect()) for lang in ("en", "fr")}

@@ -29,6 +29,38 @@ def test_quality_of_held_out_documents(spark, marked):
     assert abs(again.filters - model.filters).max() == 0
 
 
+def test_scores_equal_a_loop_over_chunks_and_filters(marked, odd):
+    docs, labels = marked
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.limit(60).collect()
+    model = quality.Network().fit([quality.chunks(r.text) for r in rows], np.array([marks[r.doc_id] for r in rows], float))
+    texts = [r.text for r in rows[:12]] + [None, "", "é語", "x" * 113] + [r.text[:3000] for r in odd.collect() if r.text]
+
+    def plain(text):
+        b = list((text or "").encode())
+        last = max(0, len(b) - quality.CHUNK)
+        best = []
+        for start in [*range(0, last, quality.STRIDE), last]:
+            row = [b[start + k] if start + k < len(b) else quality.PAD for k in range(quality.CHUNK + quality.WIDTH - 1)]
+            best.append([max(sum(float(model.filters[k, row[at + k], f]) for k in range(quality.WIDTH)) for at in range(quality.CHUNK)) for f in range(quality.FILTERS)])
+        columns = list(zip(*best))
+        x = [*map(max, columns), *(sum(c) / len(c) for c in columns), *map(min, columns), min(len(b), quality.CHUNK) / quality.CHUNK]
+        hidden = [math.tanh(sum(a * w for a, w in zip(x, model.w1[:, j])) + model.b1[j]) for j in range(quality.HIDDEN)]
+        return 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, model.w2)) + model.b2[0])))
+
+    assert model.scores(texts) == pytest.approx([plain(t) for t in texts], abs=1e-4)
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i % 50, "ab " * (i % 50 + 1)) for i in range(2000)] + [(50, "z" * 90_000)], "id long, text string")
+    known = spark.range(51).selectExpr("id", "cast(id % 2 as int) AS label")
+    whole = quality.sample(docs, known, 100, 1_000_000)
+    assert len(whole) == 51  # however often a row is repeated
+    assert len(quality.sample(docs, known, 20, 1_000_000)) <= 20
+    small = quality.sample(docs, known, 100, 3000)
+    assert 0 < sum(len(t) for t, _ in small) <= 3000 and all(len(t) % 3 == 0 for t, _ in small)
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, quality.CHUNK, quality.CHUNK + 1, 1000):
         rows = quality.chunks("x" * n)

@@ -79,8 +79,57 @@ def test_substrings_odd_rows(spark, odd):
     assert cut[1] == text and cut[3] is None and len(cut[2]) < 60
     assert substrings.repeated(spark, docs.limit(0)).count() == 0
     assert {(r.id, r.first_id) for r in substrings.repeated(spark, odd).collect()} == set()
-    same = spark.createDataFrame([(1, "du " * 90), (2, "x y z " + "du " * 90)], DOCS)
-    assert substrings.repeated(spark, same).count() == 0
+    same = spark.createDataFrame([(1, "du " * 90), (2, "x y z " + "du " * 90), (3, "la di " * 30), (4, "one " + "la di " * 31)], DOCS)
+    assert {(r.id, r.first_id) for r in substrings.repeated(spark, same).collect()} == {(2, 1), (4, 3)}
+
+
+def test_stages_equal_plain_python(spark, prose, odd, tmp_path):
+    """Each stage on what the one before it gave, odd rows among them, against a brute-force version."""
+    import duckdb
+    from test_language_secrets import by_hand, plain_language
+    from test_packing import check
+    from test_simhash import expected
+
+    from tidemark.llm import secrets
+
+    docs = prose.union(odd.select(prose.columns).withColumn("doc_id", F.col("doc_id") + 1000))
+    key = lambda r: repr(tuple(r)[:4])
+
+    def apply(number):
+        corpus_pipeline.STAGES[number][1](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{number}")
+        return spark.read.parquet(f"{tmp_path}/stage{number}")
+
+    before, docs = docs.collect(), apply(0)
+    predict = plain_language([(r.text, r.lang) for r in before])
+    want = [r for r in before if (p := predict(r.text))[0] != "und" and p[1] >= 0.5]
+    assert sorted(map(key, docs.collect())) == sorted(map(key, want)) and 100 < len(want) < len(before)
+
+    before, docs = docs.collect(), apply(1)
+    least = {(i, fp): component for i, fp, component in expected([(r.doc_id, r.text) for r in before])}
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect()) == sorted({(c is None, c or 0) for c in least.values()})
+
+    before = docs.collect()
+    formats, docs = secrets.learn(spark, docs), apply(2)
+    want = []
+    for r in before:
+        spans = secrets.base_spans(r.text)
+        spans += [(kind, a, b, a) for a, b in secrets.candidates(r.text, spans) if (kind := by_hand(formats, r.text[a:b]))]
+        text = r.text
+        for inner, end in sorted({(i, e) for _, _, e, i in spans}, reverse=True):
+            text = text[:inner] + "[secret]" + text[end:]
+        want.append((r.doc_id, text, r.lang, r.source))
+    assert sorted(map(key, docs.collect())) == sorted(map(key, want)) and any("[secret]" in w[1] for w in want)
+
+    docs = apply(3)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/stage2/*.parquet')")
+    times = {i: max(n, size == 0) for i, size, n in db.sql(f"SELECT doc_id, size, times FROM ({queries.ORACLES['op1_mix_sources']})").fetchall()}
+    came = {}
+    for r in docs.collect():
+        came[r.doc_id] = came.get(r.doc_id, 0) + 1
+    assert came == {i: n for i, n in times.items() if n}
+    used, tokens = check(spark, docs)
+    assert used <= -(-tokens // 2048) + 1
 
 
 def test_pipeline(spark, prose, odd, tmp_path):

@@ -9,7 +9,8 @@ is the language of the largest proportion and the score is that proportion.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 rows without text or language teach nothing; with nothing to learn from, all is
-``und``; ties go to the language that is first by name; an empty table gives an
+``und``; ties go to the language that is first by name; the sample is uniform, so a language with few of very many
+labelled documents may have none in it; very long texts count whole; repeated rows get one result each; an empty table gives an
 empty result; columns of other names play no part.
 """
 

@@ -15,7 +15,8 @@ builds the part of the automaton that its own texts can reach.  Counts cover all
 training documents, and every task holds one block or one bucket.
 
 Defined cases: a null text is empty and is the end token alone; repeated rows
-are counted and scored as often as they occur; without training documents all
+are counted and scored as often as they occur; ties don't arise; a very long text is a block of its own, scored in
+one traversal; without training documents all
 tokens are unknown; an empty table gives an empty result; columns of other names play no part.
 """
 
@@ -207,4 +208,4 @@ def score(spark: SparkSession, docs: DataFrame, train: Column, id_column: str =
         found = score_block(row, [totals[i] for i in order], buckets, tokens, seen)
         return pa.table({"id": pa.array(row["ids"], pa.int64()), "train": pa.array(row["train"], pa.bool_()), "n_tokens": pa.array(found["n_tokens"], pa.int64()), "n_known": pa.array(found["n_known"], pa.int64()), "train_tokens": pa.array([tokens] * len(row["ids"]), pa.int64()), "base_score": pa.array(found["base_score"], pa.float64()), "score": pa.array(found["score"], pa.float64())})
 
-    return held.groupBy("block").cogroup(answer.select("block", "bucket", "totals").groupBy("block")).applyInArrow(finish, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return tables.result(held.groupBy("block").cogroup(answer.select("block", "bucket", "totals").groupBy("block")).applyInArrow(finish, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

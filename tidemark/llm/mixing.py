@@ -196,7 +196,7 @@ def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     sized, rule, tables = plan(spark, docs, **options)
     total = rule.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ruled = by_source(sized, rule.select(*RULE, "source_size", "target"), total)
-    return counted(ruled, tables, rule).select("id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    return tables.result(counted(ruled, tables, rule).select("id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken")))
 
 
 def repeat(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:

@@ -44,7 +44,7 @@ from .shared import Tables, map_arrow
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 450_000
+REMEMBERED = 250_000
 #: Marks that the tokenizer splits from a letter or digit before them, whatever follows; no apostrophe, which may begin an ending.
 MARKS = b'!"#$%&()*+,-./:;<=>?@[]^_`{|}~\\'
 #: Pieces that a rank bucket holds, about.
@@ -301,4 +301,4 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACI
         found = [pa.array(base[at] + nth // times[at]), pa.array(offset[at] + nth % times[at] * length)]
         return pa.RecordBatch.from_arrays([*batch.columns[:5], *found], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return map_arrow(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return tables.result(map_arrow(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

@@ -293,7 +293,7 @@ class Formats:
     def kind(self, word: str) -> str | None:
         """The kind whose format explains the word far better than ordinary words do."""
         if word not in self.seen:
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             self.seen[word] = self._kind(word)
         return self.seen[word]
