@@ -42,9 +42,9 @@ SUBSPACE, SAMPLE, ROUNDS = 2, 8192, 8
 #: Products below this share of the vector's norm need not be exact; sets how much more a parallel residual counts.
 THRESHOLD = 0.2
 #: Blocks: candidates of a task at most and at least about, queries of one at most about, and distinct vectors ranked again in each at first.
-CANDIDATES, CANDIDATES_LEAST, QUERIES, AGAIN = 65_536, 4096, 8192, 320
-#: Blocks of candidates that are made where there are enough of them.
-BLOCKS = 32
+CANDIDATES, CANDIDATES_LEAST, QUERIES, AGAIN = 65_536, 16_384, 8192, 320
+#: Blocks of candidates, and of queries, that are made where there are enough of them.
+BLOCKS, SETS = 32, 4
 
 
 class Quantiser:
@@ -200,7 +200,7 @@ def _nearest(spark: SparkSession, tables: Tables, rows: DataFrame, width: int, k
 
     rows = tables.save(rows.mapInArrow(code, f"id long, v {dict(rows.dtypes)['v']}, q boolean, codes binary, off double"), f"coded{width}")
     n_blocks = max(1, -(-n // CANDIDATES), min(BLOCKS, n // CANDIDATES_LEAST))
-    n_sets = max(1, -(-n_query // QUERIES))
+    n_sets = max(1, -(-n_query // QUERIES), min(SETS, n_query // 512))
     # a stated query set against all rows, in blocks: each row goes to the tiles of its block
     tile = F.col("block") * n_sets + F.col("set")
     spread = lambda salt, m: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(m))
