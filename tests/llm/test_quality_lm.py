@@ -101,10 +101,11 @@ def words_of(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
 
 
-@pytest.mark.parametrize("block, bucket", [(3_000_000, 500_000), (2000, 300)])
-def test_scores_equal_brute_force(spark, prose, odd, block, bucket, monkeypatch):
+@pytest.mark.parametrize("block, bucket, group", [(3_000_000, 500_000, 4096), (2000, 300, 4096), (2000, 300, 4)])
+def test_scores_equal_brute_force(spark, prose, odd, block, bucket, group, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK", block)
     monkeypatch.setattr(lm, "BUCKET", bucket)
+    monkeypatch.setattr(lm, "GROUP", group)
     for docs in (prose, odd):
         got = lm.score(spark, docs, crc_mod("doc_id", 7) != 2).collect()
         rows = [(r.doc_id, words_of(r.text), zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2) for r in docs.collect()]
