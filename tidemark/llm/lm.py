@@ -43,8 +43,8 @@ from .shared import Tables, mix64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text in a block and keys in a bucket, about.
 BLOCK, BUCKET = 3_000_000, 500_000
-#: Blocks that one group adds up, about.
-GROUP = 4096
+#: Blocks that one group adds up, about; more groups than one write and shuffle what blocks ask a second time.
+GROUP = 32_768
 END = 0
 END_KEY = np.uint64(0x1F83D9ABFB41BD6B)
 #: The bit of a key that tells a pair from a word.
@@ -227,6 +227,7 @@ def score(spark: SparkSession, docs: DataFrame, train: Column, id_column: str =
         asked = tables.save(asked.withColumn("asker", asker), "asked")
         summed = tables.save(asked.groupBy("asker").applyInArrow(combine, ASKED).groupBy("bucket").applyInArrow(add_up, ANSWER), "sums")
         answer = tables.save(asked.groupBy("asker").cogroup(summed.groupBy("block")).applyInArrow(reply, ANSWER), "answers")
+        tables.drop("asked")
     sums = summed.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     seen, tokens = sums.seen, sums.tokens
 
