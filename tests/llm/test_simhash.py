@@ -72,3 +72,38 @@ def test_one_of_each_group_whatever_the_ids(spark):
     docs = spark.createDataFrame([(1, long), (2, long), (2, other), (2, other), (3, other), (None, third), (None, third), (None, long)], "doc_id long, text string").withColumn("id", F.lit(0))
     got = sorted((repr(r.doc_id), r.text[0]) for r in simhash.one_of_each(spark, docs).collect())
     assert got == [("1", "w"), ("2", "v"), ("None", "u")]
+
+
+def linked(fps, radius):
+    """The least index reachable from each, by all pairs."""
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= radius)
+    return least_labels(len(fps), a, b)
+
+
+def near(seed, n, centres):
+    """Distinct fingerprints around few centres, and as many anywhere."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**64, centres, np.uint64)[r.integers(0, centres, n)]
+    for _ in range(6):
+        base = base ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
+    return np.unique(np.concatenate([base, r.integers(0, 2**64, n, np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+
+
+def test_few_pairs_are_compared(monkeypatch):
+    fps, compared, close = np.random.default_rng(3).integers(0, 2**64, 100_000, np.uint64), [], simhash.close
+    fps[1::1000] = fps[::1000] ^ np.uint64(0b1000000000000100000000000001000000000001)
+    monkeypatch.setattr(simhash, "close", lambda a, b, radius: compared.append(len(a) * len(b)) or close(a, b, radius))
+    found = [simhash.banded(fps, band, 4) for band in simhash.bands(4)]
+    assert {frozenset(x) for a, b in found for x in zip(a.tolist(), b.tolist())} >= {frozenset(x) for x in zip(fps[::1000].tolist(), fps[1::1000].tolist())}
+    assert sum(compared) < len(fps) ** 2 / 1000
+
+
+@pytest.mark.parametrize(("radius", "least", "most"), [(4, 2048, 1 << 16), (4, 16, 32), (4, 64, 64), (0, 16, 32), (1, 16, 32), (9, 16, 32)])
+def test_tiles_and_groups_larger_than_a_tile(spark, radius, least, most, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_LEAST", least)
+    monkeypatch.setattr(simhash, "TILE_MOST", most)
+    fps = near(radius, 400, 3)
+    links = simhash.tile_links(spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long"), radius, Tables(spark, "t")).collect()
+    at = {x: i for i, x in enumerate(fps.view(np.int64).tolist())}
+    a, b = (np.array([at[r[c]] for r in links], np.int64) for c in ("a", "b"))
+    assert (least_labels(len(fps), a, b) == linked(fps, radius)).all()

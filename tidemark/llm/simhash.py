@@ -1,11 +1,14 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are computed once a document; equal ones collapse to one row.
-Distinct fingerprints are dealt into tiles of one population count each, tiles
-are packed into arrays, and every pair of tiles whose counts differ by no more
-than the radius is compared whole with numpy's exclusive-or and bit count.  Pairs of tiles further
-apart cannot hold a link and are never formed.  A pair of tiles gives a
-spanning forest of its links, not the links, so a group of k near copies moves
+Their bits are cut into bands, one more than the radius, so two fingerprints within
+the radius are equal in some band.  Each fingerprint goes once a band to a tile,
+which holds whole groups of one value of the band, and every group is compared whole with numpy's
+exclusive-or and bit count.  A group larger than a tile is dealt into tiles of
+one population count each, and every pair of these whose counts differ by no more than the
+radius is compared whole.  Pairs that differ in every band cannot be links
+and are never formed: with bands of 12 or 13 bits, some 5 in 8,192 of all pairs are compared.
+A tile gives a spanning forest of its links, not the links, so a group of k near copies moves
 O(k) rows.  Groups are then joined across tiles by connected components.
 
 Defined cases: a null text counts as empty; a text without words has
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import Tables, components, heavy_join, least_labels, map_arrow
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Fingerprints a tile holds: a 24th of all, within these bounds.
+#: Fingerprints a tile holds, about: a 24th of all, within these bounds.
 TILE_LEAST, TILE_MOST = 2048, 1 << 16
 ROWS, COLUMNS = 256, 2048
 
@@ -63,7 +66,7 @@ def close(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
     """Least index (b's after a's) reachable within these two tiles, for each of a and b."""
     same = a is b
     label = np.arange(len(a) + (0 if same else len(b)))
-    room = np.empty((ROWS, COLUMNS), np.uint64)
+    room = np.empty((min(ROWS, len(a)), min(COLUMNS, len(b))), np.uint64)
     for i in range(0, len(a), ROWS):
         row = a[i : i + ROWS, None]
         heads, tails = [], []
@@ -74,35 +77,82 @@ def close(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
             heads.append(x + i)
             tails.append(y + j + (0 if same else len(a)))
         x, y = np.concatenate(heads), np.concatenate(tails)
+        if same:
+            x, y = x[x < y], y[x < y]
         if x.size:
             label = label[least_labels(len(label), np.concatenate([x, np.arange(len(label))]), np.concatenate([y, label]))]
     return label[: len(a)], label[0 if same else len(a) :]
 
 
+def bands(radius: int) -> list[tuple[int, int]]:
+    """(first bit, mask) of the parts that a fingerprint is cut into, one more than the radius: some part of two linked ones is equal."""
+    ends = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(ends, ends[1:])]
+
+
+def banded(fps: np.ndarray, band: tuple[int, int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): a spanning forest of the links among those that agree in this band; each group of them is compared whole."""
+    value = (fps >> np.uint64(band[0])) & np.uint64(band[1])
+    order = np.argsort(value, kind="stable")
+    fps, value = fps[order], value[order]
+    starts = np.concatenate([[0], np.nonzero(value[1:] != value[:-1])[0] + 1, [len(fps)]])
+    a, b = [fps[:0]], [fps[:0]]
+    for at in np.nonzero(np.diff(starts) > 1)[0]:
+        group = fps[starts[at] : starts[at + 1]]
+        label = close(group, group, radius)[0]
+        linked = np.nonzero(label != np.arange(len(label)))[0]
+        if linked.size:
+            a.append(group[linked])
+            b.append(group[label[linked]])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def tile_links(distinct: DataFrame, radius: int, tables: Tables) -> DataFrame:
-    """(a, b): a spanning forest, tile pair by tile pair, of all fingerprints (fp) within the radius."""
-    spark = distinct.sparkSession
-    counted = distinct.select("fp", F.bit_count("fp").cast("int").alias("pop"))
-    sizes = {r["pop"]: r["count"] for r in counted.groupBy("pop").count().collect()}  # 65 rows at most
-    most = min(TILE_MOST, max(TILE_LEAST, sum(sizes.values()) // 24))
-    number = {pop: -(-size // most) for pop, size in sizes.items()}
-    first = {pop: sum(number[q] for q in sizes if q < pop) for pop in sizes}
-    if not sizes:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    lookup = F.create_map(*[F.lit(x) for pop in sizes for x in (pop, first[pop] * (1 << 24) + number[pop])])
-    dealt = counted.withColumn("_of", lookup[F.col("pop")].cast("long"))
-    dealt = dealt.select("fp", "pop", (F.shiftright("_of", 24) + F.pmod(F.xxhash64("fp"), F.col("_of") % (1 << 24))).alias("tile"))
+    """(a, b): a spanning forest, tile by tile, of all fingerprints (fp) within the radius."""
+    total = distinct.count()
+    most = min(TILE_MOST, max(TILE_LEAST, total // 24))
+    tiles = -(-total // most) or 1
+    parts = bands(radius)
+    values = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")) for lo, mask in parts]
+    each = distinct.select("fp", F.posexplode(F.array(*values)).alias("band", "value"))
+    large = None
+    if total > most:  # at most total * bands / most groups
+        large = tables.save(each.groupBy("band", "value").count().where(F.col("count") > most).select("band", "value"), "large")
+        large = None if large.isEmpty() else large
+    few = each if large is None else each.join(F.broadcast(large), ["band", "value"], "left_anti")
+
+    def compare_groups(table: pa.Table) -> pa.Table:
+        a, b = banded(table["fp"].to_numpy().view(np.uint64), parts[table["tile"][0].as_py() // tiles], radius)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    tiled = few.select("fp", (F.col("band").cast("long") * tiles + F.pmod(F.xxhash64("band", "value"), F.lit(tiles))).alias("tile"))
+    # bytes say nothing of the work in a tile: deal tiles out by their number
+    links = tiled.repartition(-(-tiles * len(parts) // 4), "tile").groupBy("tile").applyInArrow(compare_groups, "a long, b long")
+    if large is None:
+        return links
+    return links.unionByName(large_links(each.join(F.broadcast(large), ["band", "value"]), most, radius, tables))
+
+
+def large_links(each: DataFrame, most: int, radius: int, tables: Tables) -> DataFrame:
+    """(a, b) of groups (band, value) larger than a tile: tiles of one population count each, all pairs whose counts differ by no more than the radius."""
+    counted = each.withColumn("pop", F.bit_count("fp").cast("int"))
+    sizes = tables.save(counted.groupBy("band", "value", "pop").agg(F.ceil(F.count("*") / most).alias("number")), "sizes")
+    dealt = counted.join(sizes, ["band", "value", "pop"]).withColumn("tile", F.shiftleft(F.col("pop").cast("long"), 32) + F.pmod(F.xxhash64("fp"), "number"))
 
     def pack(table: pa.Table) -> pa.Table:
-        return pa.table({"tile": table["tile"][:1], "pop": table["pop"][:1], "body": pa.array([table["fp"].to_numpy().astype("<i8").tobytes()], pa.binary())})
+        return pa.table({**{c: table[c][:1] for c in ("band", "value", "pop", "tile")}, "body": pa.array([table["fp"].to_numpy().astype("<i8").tobytes()], pa.binary())})
 
-    packed = tables.save(dealt.groupBy("tile").applyInArrow(pack, "tile long, pop int, body binary"), "tiles")
-    spans = spark.createDataFrame([(p, first[q], first[q] + number[q] - 1) for p in sizes for q in sizes if abs(p - q) <= radius], "pop int, lo long, hi long")  # 65 x (2 radius + 1) rows at most
-    partner = packed.join(F.broadcast(spans), "pop").select("tile", "body", F.explode(F.sequence("lo", "hi")).alias("other"))
-    sides = partner.select(F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).alias("second"), "body")
+    packed = dealt.select("band", "value", "pop", "tile", "fp").groupBy("band", "value", "tile").applyInArrow(pack, "band int, value long, pop int, tile long, body binary")
+    packed = tables.save(packed, "tiles")
+    spans = sizes.select("band", "value", F.col("pop").alias("near"), "number")
+    first = F.shiftleft(F.col("near").cast("long"), 32)
+    partner = packed.join(spans, ["band", "value"]).where(F.abs(F.col("pop") - F.col("near")) <= radius).withColumn("other", F.explode(F.sequence(first, first + F.col("number") - 1)))
+    sides = partner.select("band", "value", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).alias("second"), "body")
 
     def compare(table: pa.Table) -> pa.Table:
         bodies = {s: np.frombuffer(b, "<u8") for s, b in zip(table["second"].to_pylist(), table["body"].to_pylist())}
+        if False not in bodies:  # a number that no fingerprint was dealt to
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         a = bodies[False]
         b = bodies.get(True, a)
         la, lb = close(a, b, radius)
@@ -111,9 +161,8 @@ def tile_links(distinct: DataFrame, radius: int, tables: Tables) -> DataFrame:
         linked = np.nonzero(label != np.arange(len(label)))[0]
         return pa.table({"a": names[linked].view(np.int64), "b": names[label[linked]].view(np.int64)})
 
-    # bytes say nothing of the work in a pair of tiles: deal pairs out by their number
-    pairs = sum(number[p] * number[q] for p in sizes for q in sizes if abs(p - q) <= radius) // 2 + 1
-    return sides.repartition(-(-pairs // 4), "x", "y").groupBy("x", "y").applyInArrow(compare, "a long, b long")
+    keys = ["band", "value", "x", "y"]
+    return sides.repartition(-(-sides.count() // 8) or 1, *keys).groupBy(*keys).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
