@@ -57,6 +57,35 @@ def test_words_are_encoded_as_whole_texts_are():
         assert np.frombuffer(words.encode([text], 0)[0], "<u4").tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, 0], text
 
 
+def ids_of(words, text):
+    return [*words.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_batches_are_encoded_as_their_texts_are(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 60)
+    words, r = packing.Words(PATH), random.Random(3)
+    parts = ["the", "cat", "Ab1", "a", "1", "é", "École", "ß", "語", ",", ".", "...", "$$$", "'", "'s", "!?", " ", "  ", "\n", "\t", "\x0b", "\x85", "\xa0", "<", "|", "<|endoftext|>", "\ud800"]
+    for n in range(300):
+        some = parts if n % 3 == 0 else parts[:-3]
+        texts = ["".join(r.choice(some) for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 6))] + [None, "", "  "][: r.randint(0, 3)]
+        want = [ids_of(words, t and t.encode("utf-8", "replace").decode()) for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts, 0)] == want, texts
+    assert words.encode([], 0) == [] and words.encode(["", None], 5) == [b"\5\0\0\0"] * 2
+
+
+def test_words_met_again_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 400)
+    words, r, asked = packing.Words(PATH), random.Random(4), Counter()
+    add = words._add
+    monkeypatch.setattr(words, "_add", lambda some: asked.update(some) or add(some))
+    often = ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(100)]
+    for _ in range(30):
+        once = ["".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(100)]
+        words.encode([" ".join(w + r.choice(["", ",", "..."]) for w in [*often, *once])], 0)
+        assert len(words.ids) <= 400 + 203
+    assert max(asked[w.encode()] for w in often) == 1
+
+
 @pytest.mark.parametrize("histogram", [{}, {5: 3}, {10: 7}, {6: 10, 5: 10, 4: 10}, {10: 2, 9: 3, 1: 4}])
 def test_solutions_hold_everything_once(histogram):
     solution = packing.solve(histogram, 10)

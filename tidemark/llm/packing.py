@@ -33,6 +33,7 @@ import os
 import zlib
 from array import array
 from collections import defaultdict
+from operator import concat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -43,10 +44,14 @@ from pyspark.sql import functions as F
 from .shared import Tables, map_arrow
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers; it starts anew beyond that.
+#: Words whose ids a worker remembers; beyond that it keeps those that it met in several batches, half as many at most, about.
 REMEMBERED = 250_000
 #: Marks that the tokenizer splits from a letter or digit before them, whatever follows; no apostrophe, which may begin an ending.
 MARKS = b'!"#$%&()*+,-./:;<=>?@[]^_`{|}~\\'
+#: What bytes are to the split into words: white space, marks, ASCII letters and digits, all others.
+WHITE = bytes([32, *range(9, 14)])
+SPACE, MARK, ALNUM = 1, 2, 3
+KINDS = np.array([SPACE if b in WHITE else MARK if b in MARKS else ALNUM if bytes([b]).isalnum() else 0 for b in range(256)], np.uint8)
 #: Pieces that a rank bucket holds, about.
 RANKED = 20_000
 #: Rounds of the linear program at most, and the share of pieces that it covers before it ends.
@@ -56,7 +61,8 @@ SHARE, GROWTH, SHORT, SHORT_MOST = 0.25, 0.001, 1e-6, 0.05
 #: Shares of the solution that rounding tries, the largest first.
 KEPT = (1.0, 0.98, 0.96, 0.94, 0.92)
 #: Byte-level letters: printable Latin-1 characters stand for their bytes, those from U+0100 on for the others in turn.
-BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_LETTERS = "".join(chr(256 + OTHERS.index(b) if b in OTHERS else b) for b in range(256))
 _workers: dict = {}
 
 
@@ -71,12 +77,30 @@ class Words:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.ids: dict[bytes, bytes] = {}
-
-    def split(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "replace")
-        if not any(s[:2] in raw for s in self.special):  # the tokenizer lower-cases all but special tokens
-            raw = raw.lower()
-        return raw.split()
+        self.again: set[bytes] = set()
+
+    def split(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, marks after an ASCII letter or digit at the end of one apart; and where each text's begin and the last ones end."""
+        raws, plain = [], True
+        for raw in [(t or "").encode("utf-8", "replace") for t in texts]:
+            if any(s[:2] in raw for s in self.special):  # the tokenizer lower-cases all but special tokens
+                plain = False
+            else:
+                raw = raw.lower()
+            raws.append(raw)
+        begins = np.cumsum([1, *(len(raw) + 1 for raw in raws)])
+        whole = b"\n".join([b"", *raws, b""])
+        kind = KINDS[np.frombuffer(whole, np.uint8)]
+        space = kind == SPACE
+        starts, ends = (np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1)
+        if plain:
+            mark = kind == MARK
+            first, last = np.flatnonzero(mark[1:] & ~mark[:-1]) + 1, np.flatnonzero(mark[:-1] & ~mark[1:])
+            apart = first[(kind[first - 1] == ALNUM) & (kind[last + 1] == SPACE)]
+            starts, ends = (np.sort(np.concatenate([x, apart]), kind="stable") for x in (starts, ends))
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole.translate(None, WHITE))])
+        return words, np.searchsorted(starts, begins)
 
     def _add(self, words: list[bytes]) -> None:
         slow = []
@@ -98,22 +122,38 @@ class Words:
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, with ``end`` at the end."""
         if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        parts = [self.split(t) for t in texts]
-        known = self.ids
-        whole, joined = [], []
-        for word in set().union(*parts).difference(known):
+            self.ids = {word: self.ids[word] for word in self.again}
+            self.again = set()
+        words, firsts = self.split(texts)
+        coded = words.dictionary_encode()
+        _, offsets, body = coded.dictionary.buffers()
+        at, body = np.frombuffer(offsets, np.int64, len(coded.dictionary) + 1).tolist(), (body or pa.py_buffer(b"")).to_pybytes()
+        met = [body[a:b] for a, b in zip(at, at[1:])]
+        known, distinct = self.ids, set(met)
+        joined, cores, ends = [], [], []
+        for word in [w for w in met if w[-1] in MARKS]:
             core = word.rstrip(MARKS)
-            if core and len(core) < len(word) and b"<|" not in word and (core[-1:].isalnum() or core.decode("utf-8").lower()[-1].isalnum()):
-                joined.append((word, core, word[len(core) :]))
-            else:
-                whole.append(word)
-        # a word that ends in marks has the ids of the word before them, then those of the marks
-        self._add(list({*whole, *(x for _, *two in joined for x in two)}.difference(known)))
-        for word, core, marks in joined:
-            known[word] = known[core] + known[marks]
+            if core and b"<|" not in word and (core[-1:].isalnum() or core.decode("utf-8").lower()[-1].isalnum()):
+                joined.append(word)
+                cores.append(core)
+                ends.append(word[len(core) :])
+        # a word that ends in marks has the ids of the word before them, then those of the marks; only these two are remembered
+        distinct.difference_update(joined)
+        distinct.update(cores, ends)
+        new = distinct.difference(known)
+        if len(self.again) < REMEMBERED // 2:
+            self.again |= distinct - new
+        self._add(list(new))
         of, close = known.__getitem__, int(end).to_bytes(4, "little")
-        return [b"".join(map(of, words)) + close for words in parts]
+        known.update(zip(joined, map(concat, map(of, cores), map(of, ends))))
+        found = list(map(of, met))
+        offsets = np.cumsum([0, *map(len, found)])
+        found = pa.Array.from_buffers(pa.large_binary(), len(met), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(found))]).take(coded.indices)
+        for word in joined:
+            del known[word]
+        _, offsets, body = found.buffers()
+        at, ids = np.frombuffer(offsets, np.int64, len(words) + 1)[firsts].tolist(), memoryview(body or b"")
+        return [bytes(ids[a:b]) + close for a, b in zip(at, at[1:])]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
