@@ -7,7 +7,7 @@ which holds whole groups of one value of the band, and every group is compared w
 exclusive-or and bit count.  A group larger than a tile is dealt into tiles of
 one population count each, and every pair of these whose counts differ by no more than the
 radius is compared whole.  Pairs that differ in every band cannot be links
-and are never formed: with bands of 12 or 13 bits, some 5 in 8,192 of all pairs are compared.
+and are never formed: with bands of 12 or 13 bits, some 6 in 8,192 of all pairs are compared.
 A tile gives a spanning forest of its links, not the links, so a group of k near copies moves
 O(k) rows.  Groups are then joined across tiles by connected components.
 
