@@ -263,12 +263,15 @@ class Engine:
 
     def insert(self, _preempt: bool = False, **rows: DataFrame) -> None:
         """Facts by component: each DataFrame has entity and value; an entity's old value is replaced."""
-        for name in rows:
+        self._writable(rows)
+        self._put(lambda: self._base(rows), _preempt)
+
+    def _writable(self, names: Iterable[str]) -> None:
+        for name in names:
             if isinstance(self.registry[name], Inverse):
                 raise FactError(f"{name} is kept by the store")
-        if sum(self.registry[n].singleton for n in rows) > 1:
+        if sum(self.registry[n].singleton for n in names) > 1:
             raise FactError("one singleton at most in a bundle")
-        self._put(lambda: self._base(rows), _preempt)
 
     def insert_rows(self, table: DataFrame, entity: str | None = None, **columns: str) -> None:
         """A bundle: one row an entity, a column for each component; a null column is a component left out.
@@ -280,7 +283,14 @@ class Engine:
                 self._blocks += 1
                 first = FIRST_ENTITY + self._blocks * BLOCK
             table, entity = self.storage.save(table.withColumn("_entity", F.monotonically_increasing_id() + F.lit(first))), "_entity"
-        self.insert(**{n: table.select(F.col(entity).cast("long").alias("entity"), F.col(c).alias("value")).where("value is not null") for n, c in columns.items()})
+        self._writable(columns)
+        some = table.select(F.col(entity).cast("long").alias("entity"), *[F.col(c).cast(self.registry[n].type).alias(n) for n, c in columns.items()]).where("entity is not null")
+
+        def work() -> None:
+            held, n = self._held(some, columns)  # written once for all of its columns
+            self._base({c: held.select("entity", F.col(f"`{c}`").alias("value")) for c in columns}, n)
+
+        self._put(work)
 
     def put(self, entity: int | None = None, _preempt: bool = False, **values: Any) -> int:
         """One entity's bundle of plain values; without an entity, that of its singleton, else a new one.  Which one it is.
@@ -366,18 +376,27 @@ class Engine:
             return self.spark.createDataFrame([(e,) for e in entities], "entity long")
         return entities.select("entity")
 
-    def _base(self, rows: dict[str, DataFrame]) -> None:
+    def _held(self, rows: DataFrame, components: Iterable[str]) -> tuple[DataFrame, dict[str, int]]:
+        """``rows`` saved, and for each of these columns how many values it has."""
+        names = list(components)
+        held, seen = self.storage.counted(rows, **{f"_{i}": F.count(F.col(f"`{c}`")) for i, c in enumerate(names)})
+        return held, {c: seen[f"_{i}"] or 0 for i, c in enumerate(names)}
+
+    def _base(self, rows: dict[str, DataFrame], held: dict[str, int] | None = None) -> None:
         new = {}
         for name, df in rows.items():
             c = self.registry[name]
             value = df.select((F.lit(self.registry.singleton_entity(name)) if c.singleton else F.col("entity").cast("long")).alias("entity"), F.col("value").cast(c.type).alias("value"), F.lit(None).cast("string").alias("_owner"), F.lit(None).cast("array<long>").alias("_keys"))
             new[name] = value.where("value is not null and entity is not null")
-        self._commit(new, {}, {}, None)
+        self._commit(new, {}, {}, None, held=held)
 
     # -- commit ----------------------------------------------------------
 
-    def _commit(self, new: dict[str, DataFrame], swept: dict[str, DataFrame], gone: dict[str, DataFrame], despawned: DataFrame | None, external: bool = False, n_swept: int | None = None) -> bool:
-        """Apply writes, sweeps (by component) and removals as one diff; whether anything changed."""
+    def _commit(self, new: dict[str, DataFrame], swept: dict[str, DataFrame], gone: dict[str, DataFrame], despawned: DataFrame | None, external: bool = False, n_swept: int | None = None, held: dict[str, int] | None = None, fresh: frozenset[str] = frozenset()) -> bool:
+        """Apply writes, sweeps (by component) and removals as one diff; whether anything changed.
+
+        ``held`` has the rows of what is written from saved tables; components of ``fresh`` are only written to entities spawned just now.
+        """
         rev = self.revision + 1
         w = self.world
         names = {*new, *swept, *gone}
@@ -399,7 +418,7 @@ class Engine:
             leaving = reduce(DataFrame.union, lost) if lost else None
             if name not in new and name not in swept and w.table(name).join(leaving, "entity", "left_semi").isEmpty():
                 continue
-            if self._write(name, new.get(name), swept.get(name), leaving, rev, None, n_swept):
+            if self._write(name, new.get(name), swept.get(name), leaving, rev, (held or {}).get(name), n_swept, name in fresh):
                 changed[name] = w.table(name)
         for name, before in changed.items():
             if self.registry[name].target:
@@ -436,12 +455,25 @@ class Engine:
             return Layered("_keys", seen, n, None, 0, n)
         return memo.put(self.storage, seen.withColumn("_dead", F.lit(False)), n, memo.n + n)
 
-    def _write(self, name: str, new: DataFrame | None, swept: DataFrame | None, gone: DataFrame | None, rev: int, n_new: int | None = None, n_swept: int | None = None) -> bool:
-        """Change one table by one grouping of the rows that it touches; what it costs to write is what changes, unless that is much of the table."""
+    def _write(self, name: str, new: DataFrame | None, swept: DataFrame | None, gone: DataFrame | None, rev: int, n_new: int | None = None, n_swept: int | None = None, fresh: bool = False) -> bool:
+        """Change one table by one grouping of the rows that it touches; what it costs to write is what changes, unless that is much of the table.
+
+        Rows of entities that have no row yet are put beside those that are there, without a grouping.
+        """
         c = self.registry[name]
         layer, old = self._layer(name), self.world.table(name)
+        if new is not None and swept is None and gone is None:
+            change = new.selectExpr("entity", "value", f"CAST({rev} AS BIGINT) AS _rev", f"{c.print_sql('value')} AS _fp", f"CAST({rev} AS BIGINT) AS _born", "_owner", "_keys")
+            if n_new is None:
+                change, seen = self.storage.counted(change)
+                new, n_new = change.select("entity", "value", "_owner", "_keys"), seen["n"]
+            if not n_new:
+                return False
+            if n_new > LAYER_SHARE * layer.n and self._distinct(change, old if layer.n else None):
+                self._lay(name, layer, change, n_new, layer.n + n_new, rev, n_new, 0, added=True, fresh=fresh)
+                return True
         if new is not None and (n_new is None or layer.n):
-            new, seen = self.storage.counted(new)
+            new, seen = (new, {"n": n_new}) if n_new is not None and swept is None and gone is None else self.storage.counted(new)
             n_new = seen["n"]
         if gone is not None:
             gone, seen = self.storage.counted(gone.select("entity").distinct())
@@ -470,10 +502,20 @@ class Engine:
         self._lay(name, layer, change, now["n"], after, rev, now["changed"], now["lost"], whole)
         return bool(now["changed"] or now["lost"])
 
-    def _lay(self, name: str, layer: Layered, change: DataFrame, n: int, after: int, rev: int, changed: int, lost: int, whole: bool = False) -> None:
-        """The world with ``change`` (saved, with _dead) on a table; what moved is news."""
+    def _distinct(self, rows: DataFrame, old: DataFrame | None) -> bool:
+        """Whether no entity is there twice, among ``rows`` and those of ``old`` together: only entities are shuffled."""
+        ids = rows.select("entity") if old is None else rows.select("entity").union(old.select("entity"))
+        return ids.groupBy("entity").count().agg(F.max("count")).first()[0] == 1
+
+    def _lay(self, name: str, layer: Layered, change: DataFrame, n: int, after: int, rev: int, changed: int, lost: int, whole: bool = False, added: bool = False, fresh: bool = False) -> None:
+        """The world with ``change`` (saved, with _dead) on a table; what moved is news.  If it is ``added``, no row of it was there before and none is dead."""
         c = self.registry[name]
-        table = Layered("entity", change.where("NOT _dead").drop("_dead"), after, None, 0, after) if whole else layer.put(self.storage, change, n, after)
+        if added:
+            change = change.withColumn("_dead", F.lit(False))
+            rows = change.drop("_dead")
+            table = Layered("entity", layer.rows().unionByName(rows) if layer.n else rows, after, None, 0, after)
+        else:
+            table = Layered("entity", change.where("NOT _dead").drop("_dead"), after, None, 0, after) if whole else layer.put(self.storage, change, n, after)
         news, gone = change.where(f"NOT _dead AND _rev = {rev}").drop("_dead"), change.where("_dead").drop("_dead")
         if c.on_insert and changed:
             c.on_insert(news)
@@ -481,7 +523,8 @@ class Engine:
             c.on_remove(gone)
         self._news[name] = (news.select("entity", "value"), gone.select("entity"))
         if changed or lost:
-            self.world = self.world.with_table(name, table, rev, gone.select("entity") if lost else None)
+            births = (*self.world.births.get(name, ()), rev) if fresh and added and (not layer.n or name in self.world.births) else ()
+            self.world = self.world.with_table(name, table, rev, gone.select("entity") if lost else None, births)
         else:  # other owners of the same values
             self.world = replace(self.world, tables={**self.world.tables, name: table}, fused={k: f for k, f in self.world.fused.items() if k != name})
 
@@ -881,7 +924,11 @@ class Engine:
         anchored: list[tuple[System, str, DataFrame]] = []
         swept: list[DataFrame] = []
         n_swept = 0
+        held: dict[str, int] = {}
+        unheld: set[str] = set()
+        aged: set[str] = set()  # written to entities that may have been there before
         for s, todo, n, outputs in batch:
+            first = todo is not None and self.state[s.name].waves == 1  # nothing of it is there to sweep
             keep = [o for o in outputs if not settle or isinstance(o, (Remove, Despawn))]
             if settle and len(keep) < len(outputs):  # inserts of this phase wait for the next settle
                 self._late.append((s, [o for o in outputs if o not in keep]))
@@ -889,13 +936,20 @@ class Engine:
                 if isinstance(o, Write):
                     self._conform(s, frozenset([o.component]), False)
                     new.setdefault(o.component, []).append(self._owned(s, o.rows.select("_keys", "entity", "value"), o.component))
+                    unheld.add(o.component)
+                    aged.add(o.component)
                 elif isinstance(o, Spawn):
                     self._conform(s, frozenset(o.components), True)
                     slot = F.col(o.slot) if o.slot else F.lit(0)
                     entity = -F.shiftrightunsigned(F.xxhash64(F.lit(s.name), "_keys", slot.cast("string")), 2) - 1
                     rows = o.rows.withColumn("_entity", entity)
+                    if not first:
+                        aged |= {*o.components}
                     if len(o.components) + bool(o.anchors) > 1:  # the body is worked out once for all of them
-                        rows = self.storage.save(rows)
+                        rows, counts = self._held(rows.select("_keys", "_entity", *[F.col(f"`{c}`").cast(self.registry[c].type).alias(c) for c in o.components]), o.components)
+                        held |= {c: held.get(c, 0) + k for c, k in counts.items()}
+                    else:
+                        unheld |= {*o.components}
                     if o.anchors:
                         anchored.append((s, o.anchors, rows.select("_keys", F.col("_entity").alias("entity"))))
                     for c in o.components:
@@ -907,11 +961,12 @@ class Engine:
                 else:
                     raise FactError(f"{s.name} gave {type(o).__name__}")
             if todo is not None:
-                swept.append(todo.select(F.lit(s.name).alias("_owner"), "_keys"))
-                n_swept += n
+                if not first:
+                    swept.append(todo.select(F.lit(s.name).alias("_owner"), "_keys"))
+                    n_swept += n
                 st = self.state[s.name]
                 st.memo = self._remember(st.memo, todo.select("_keys", "_deps"), n)
-        owners = {s.name for s, t, _, _ in batch if t is not None}
+        owners = {s.name for s, t, _, _ in batch if t is not None and self.state[s.name].waves > 1}
         for s, _, _, outputs in batch:
             for c in (c for o in outputs for c in ([o.component] if isinstance(o, Write) else o.components if isinstance(o, Spawn) else [])):
                 self._wrote.setdefault(c, set()).add(s.name)
@@ -923,7 +978,7 @@ class Engine:
             # only tables that these rules have written can hold outputs to sweep
             over = {name: ran for name in self.world.tables if owners & self._wrote.get(name, set())}
         before = self.revision
-        self._commit({c: reduce(DataFrame.unionByName, d) for c, d in new.items()}, over, {c: reduce(DataFrame.union, d) for c, d in gone.items()}, reduce(DataFrame.union, dead) if dead else None, n_swept=n_swept)
+        self._commit({c: reduce(DataFrame.unionByName, d) for c, d in new.items()}, over, {c: reduce(DataFrame.union, d) for c, d in gone.items()}, reduce(DataFrame.union, dead) if dead else None, n_swept=n_swept, held={c: k for c, k in held.items() if c not in unheld}, fresh=frozenset(new) - aged)
         if anchored:
             self._anchor(anchored)
         self._absorb(batch, before)

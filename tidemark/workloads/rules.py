@@ -133,8 +133,7 @@ def outer_join(spark, sf_dir):
         yield spawn(rows, OutLong=col("p0.OrderKey"), OutDouble=col("p1.Quantity"))
 
     e = store(spark, [body], schema.orders(spark, sf_dir))
-    held = schema.lines(spark, sf_dir)
-    e.insert(OrderKey=held.select("entity", F.col("l_orderkey").alias("value")), Quantity=held.select("entity", F.col("l_quantity").alias("value")))
+    e.insert_rows(schema.lines(spark, sf_dir), "entity", OrderKey="l_orderkey", Quantity="l_quantity")
     found = e.read(Query(Entity(), "OutLong", Optional("OutDouble")))
     return found.select(F.col("OutLong").alias("order_key"), F.col("OutDouble").alias("quantity"))
 

@@ -44,6 +44,8 @@ class World:
     removed: dict[str, int] = field(default_factory=dict)
     #: Entities that lost the component, with the commit at which they did; back to the oldest plan that may ask.
     lost: dict[str, tuple[tuple[int, DataFrame], ...]] = field(default_factory=dict)
+    #: Of tables whose rows are all as they were when their entities were spawned: the commits that spawned them.
+    births: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def moved(self, names: set[str], since: int) -> DataFrame | None:
         """Entities of which one of these components was written or removed after ``since``; None if there are none."""
@@ -72,9 +74,10 @@ class World:
             return self.fused[name].rows(c)
         return self.spark.createDataFrame([], f"entity long, value {c.type}, {META}")
 
-    def with_table(self, name: str, table: Layered, rev: int, lost: DataFrame | None = None) -> World:
+    def with_table(self, name: str, table: Layered, rev: int, lost: DataFrame | None = None, births: tuple[int, ...] = ()) -> World:
+        born = {k: b for k, b in self.births.items() if k != name} | ({name: births} if births else {})
         fused = {k: f for k, f in self.fused.items() if k != name}
-        made = replace(self, tables={**self.tables, name: table}, fused=fused, watermark={**self.watermark, name: rev})
+        made = replace(self, tables={**self.tables, name: table}, fused=fused, watermark={**self.watermark, name: rev}, births=born)
         if lost is None:
             return made
         return replace(made, removed={**self.removed, name: rev}, lost={**self.lost, name: (*self.lost.get(name, ()), (rev, lost))})
