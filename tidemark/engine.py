@@ -35,7 +35,7 @@ from .model import Component, FactError, Inverse, Plugin, Registry, Shape
 from .operators import diff, joins, relationships
 from .plans.query import Entity, Eq, Filter, Gte, Maybe, Meta, Mut, Named, Not, Or, Query, Read, Tracked, With, Without, bound, conjuncts, plan, visible, walk
 from .sources.tables import Source
-from .storage import LAYER_SHARE, Layered, Storage, small
+from .storage import BROADCAST_ROWS, LAYER_SHARE, PARTS, Layered, Storage, small
 from .world import META, Fused, World
 
 PHASES = ("startup", "evaluate", "complete", "settle")
@@ -167,6 +167,9 @@ class Engine:
         self._lock = threading.RLock()
         self._sources = 0
         self._cleaned: dict[str, int] = {}
+        # what anchors came from that were written without looking up revisions; and revisions of whole tables, as they were found
+        self._sure: dict[str, set[tuple[str, int]]] = {}
+        self._uniforms: dict[tuple, int | None] = {}
         self._wrote: dict[str, set[str]] = {}
         self._news: dict[str, tuple[DataFrame, DataFrame]] = {}
         self.counters = {"settles": 0, "generations": 0, "waves": 0, "commits": 0, "preemptions": 0}
@@ -469,7 +472,7 @@ class Engine:
                 new, n_new = change.select("entity", "value", "_owner", "_keys"), seen["n"]
             if not n_new:
                 return False
-            if n_new > LAYER_SHARE * layer.n and self._distinct(change, old if layer.n else None):
+            if n_new > min(LAYER_SHARE * layer.n, BROADCAST_ROWS) and self._distinct(change, old if layer.n else None):
                 self._lay(name, layer, change, n_new, layer.n + n_new, rev, n_new, 0, added=True, fresh=fresh)
                 return True
         if new is not None and (n_new is None or layer.n):
@@ -499,7 +502,8 @@ class Engine:
         if not now["n"] or whole and not now["changed"] and not now["lost"]:
             return False
         after = layer.n + now["born"] - now["lost"]
-        self._lay(name, layer, change, now["n"], after, rev, now["changed"], now["lost"], whole)
+        fresh = fresh and n_new == now["born"] == now["changed"] and not now["lost"]
+        self._lay(name, layer, change, now["n"], after, rev, now["changed"], now["lost"], whole, fresh=fresh)
         return bool(now["changed"] or now["lost"])
 
     def _distinct(self, rows: DataFrame, old: DataFrame | None) -> bool:
@@ -513,7 +517,12 @@ class Engine:
         if added:
             change = change.withColumn("_dead", F.lit(False))
             rows = change.drop("_dead")
-            table = Layered("entity", layer.rows().unionByName(rows) if layer.n else rows, after, None, 0, after)
+            if layer.n:
+                rows = layer.rows().unionByName(rows)
+            parts = layer.parts + 1 if layer.n else 1
+            if parts > PARTS:
+                rows, parts = self.storage.save(rows), 1
+            table = Layered("entity", rows, after, None, 0, after, parts)
         else:
             table = Layered("entity", change.where("NOT _dead").drop("_dead"), after, None, 0, after) if whole else layer.put(self.storage, change, n, after)
         news, gone = change.where(f"NOT _dead AND _rev = {rev}").drop("_dead"), change.where("_dead").drop("_dead")
@@ -523,7 +532,7 @@ class Engine:
             c.on_remove(gone)
         self._news[name] = (news.select("entity", "value"), gone.select("entity"))
         if changed or lost:
-            births = (*self.world.births.get(name, ()), rev) if fresh and added and (not layer.n or name in self.world.births) else ()
+            births = (*self.world.births.get(name, ()), rev) if fresh and (not layer.n or name in self.world.births) else ()
             self.world = self.world.with_table(name, table, rev, gone.select("entity") if lost else None, births)
         else:  # other owners of the same values
             self.world = replace(self.world, tables={**self.world.tables, name: table}, fused={k: f for k, f in self.world.fused.items() if k != name})
@@ -779,7 +788,8 @@ class Engine:
             if not self._queue and not self._late and not any(st.stale for st in self.state.values()):
                 return self.settled_revision
             states = {k: replace(v) for k, v in self.state.items()}
-            before = (self.world, self.revision, states, list(self._late), dict(self._cleaned), {c: set(x) for c, x in self._wrote.items()}, dict(self._news))
+            before = (self.world, self.revision, states, list(self._late), dict(self._cleaned), {c: set(x) for c, x in self._wrote.items()}, dict(self._news), {c: set(x) for c, x in self._sure.items()})
+            self._uniforms = {}
             taken: list[Callable[[], None]] = []
             with self._inbox:
                 self._driver = threading.get_ident()
@@ -787,7 +797,7 @@ class Engine:
                 worked = self._settle(taken)
                 self.settled = self.world
             except BaseException:
-                self.world, self.revision, self.state, self._late, self._cleaned, self._wrote, self._news = before
+                self.world, self.revision, self.state, self._late, self._cleaned, self._wrote, self._news, self._sure = before
                 with self._inbox:
                     self._queue = [*taken, *self._queue]
                 raise
@@ -921,7 +931,7 @@ class Engine:
         new: dict[str, list[DataFrame]] = {}
         gone: dict[str, list[DataFrame]] = {}
         dead: list[DataFrame] = []
-        anchored: list[tuple[System, str, DataFrame]] = []
+        anchored: list[tuple[System, str, DataFrame, int | None]] = []
         swept: list[DataFrame] = []
         n_swept = 0
         held: dict[str, int] = {}
@@ -946,12 +956,13 @@ class Engine:
                     if not first:
                         aged |= {*o.components}
                     if len(o.components) + bool(o.anchors) > 1:  # the body is worked out once for all of them
-                        rows, counts = self._held(rows.select("_keys", "_entity", *[F.col(f"`{c}`").cast(self.registry[c].type).alias(c) for c in o.components]), o.components)
-                        held |= {c: held.get(c, 0) + k for c, k in counts.items()}
+                        rows, counts = self._held(rows.select("_keys", "_entity", *[F.col(f"`{c}`").cast(self.registry[c].type).alias(c) for c in o.components]), ["_keys", *o.components])
+                        held |= {c: held.get(c, 0) + counts[c] for c in o.components}
                     else:
                         unheld |= {*o.components}
                     if o.anchors:
-                        anchored.append((s, o.anchors, rows.select("_keys", F.col("_entity").alias("entity"))))
+                        # one anchor a row, where nothing else has spawned the entity
+                        anchored.append((s, o.anchors, rows.select("_keys", F.col("_entity").alias("entity")), counts["_keys"] if first else None))
                     for c in o.components:
                         new.setdefault(c, []).append(self._owned(s, rows.select("_keys", F.col("_entity").alias("entity"), F.col(f"`{c}`").alias("value")), c))
                 elif isinstance(o, Remove):
@@ -970,7 +981,7 @@ class Engine:
         for s, _, _, outputs in batch:
             for c in (c for o in outputs for c in ([o.component] if isinstance(o, Write) else o.components if isinstance(o, Spawn) else [])):
                 self._wrote.setdefault(c, set()).add(s.name)
-        for s, c, _ in anchored:
+        for s, c, _, _ in anchored:
             self._wrote.setdefault(c, set()).add(s.name)
         ran = reduce(DataFrame.union, swept) if swept else None
         over: dict[str, DataFrame] = {}
@@ -1003,21 +1014,76 @@ class Engine:
 
     def _entity_revisions(self, entities: DataFrame) -> DataFrame:
         """entity, now: the highest revision of an entity's tracked components."""
-        tables = [self.world.table(n) for n in sorted({*self.world.tables, *self.world.fused}) if not self.registry[n].untracked]
+        tables = [self.world.table(n) for n in sorted(self._tracked()) if not self.world.known_empty(n)]
         revs = [t.join(entities, "entity", "left_semi").select("entity", "_rev") for t in tables]
         return reduce(DataFrame.union, revs).groupBy("entity").agg(F.max("_rev").alias("now"))
 
-    def _anchor(self, anchored: list[tuple[System, str, DataFrame]]) -> None:
+    def _uniform(self, name: str) -> int | None:
+        """The revision of every entity that has this component, if it is known to be the same for all of them.
+
+        Of a table as it was spawned or loaded all rows have one revision, and what was spawned later is other entities;
+        so only tables that were written since are looked at, for whether an entity of this one is there.
+        """
+        w, c = self.world, self.registry[name]
+        if c.untracked or w.known_empty(name):
+            return None
+        births = w.births.get(name, ())
+        rev = w.fused[name].rev if name in w.fused else births[0] if len(births) == 1 else None
+        if rev is None and not c.singleton:
+            return None
+        # the reserved entities of singletons are none that rules spawn
+        others = [n for n in sorted(self._tracked()) if n not in w.births and not (births and self.registry[n].singleton)]
+        newer = [n for n in others if rev is None or n != name and w.watermark.get(n, -1) > rev]
+        if not newer:
+            return rev
+        key = (name, rev, *((n, w.watermark.get(n, -1)) for n in newer))
+        if key not in self._uniforms:
+            if c.singleton:
+                own = self.registry.singleton_entity(name)
+                self._uniforms[key] = reduce(DataFrame.union, [w.table(n).where(F.col("entity") == own).select("_rev") for n in newer]).agg(F.max("_rev")).first()[0]
+            else:
+                moved = reduce(DataFrame.union, [w.table(n).where(F.col("_rev") > rev).select("entity") for n in newer])
+                sizes = [w.tables[n].n if n in w.tables else -1 for n in newer]
+                met = w.table(name).select("entity").join(small(moved, sum(sizes)) if min(sizes) >= 0 else moved, "entity", "left_semi")
+                self._uniforms[key] = None if met.agg(F.count(F.lit(1))).first()[0] else rev
+        return self._uniforms[key]
+
+    def _uniforms_of(self, s: System) -> list[tuple[str, int]] | None:
+        """For each parameter a component that its entities have and their revision, if all have one."""
+        found = []
+        for p in s.params:
+            if isinstance(p, Maybe):
+                return None
+            q = query_of(p)
+            b = bound(q.where)
+            names = dict.fromkeys([*q.reads(), *b.keys, *(f.component for f in conjuncts(b.rest) if isinstance(f, (With, Eq, Gte)))])
+            known = next(((c, rev) for c in sorted(names, key=lambda c: not self.registry[c].singleton) if (rev := self._uniform(c)) is not None), None)
+            if known is None:
+                return None
+            found.append(known)
+        return found
+
+    def _anchor(self, anchored: list[tuple[System, str, DataFrame, int | None]]) -> None:
         """Note for spawned entities the entities that they come from, at the revisions after all writes of the wave."""
         new: dict[str, list[DataFrame]] = {}
-        for s, component, rows in anchored:
+        sizes: dict[str, int] = {}
+        looked_up: set[str] = set()
+        for s, component, rows, n in anchored:
             if not self.registry[component].provenance:
                 raise FactError(f"{component} holds no provenance")
+            known = self._uniforms_of(s) if n is not None else None
+            if known is not None:  # nothing to look up
+                came = F.array(*[F.struct(F.col("_keys")[i].alias("entity"), F.lit(rev).cast("long").alias("rev")) for i, (_, rev) in enumerate(known)])
+                new.setdefault(component, []).append(rows.select("entity", F.array_sort(came).alias("value"), F.lit(s.name).alias("_owner"), "_keys"))
+                sizes[component] = sizes.get(component, 0) + n
+                self._sure.setdefault(component, set()).update(known)
+                continue
+            looked_up.add(component)
             each = self.storage.save(rows.distinct().select("entity", "_keys", F.explode("_keys").alias("_from")))
             now = self._entity_revisions(each.select(F.col("_from").alias("entity")).distinct())
             held = each.join(now.withColumnRenamed("entity", "_from"), "_from").groupBy("entity", "_keys").agg(F.array_sort(F.collect_list(F.struct(F.col("_from").alias("entity"), F.col("now").alias("rev")))).alias("value"))
             new.setdefault(component, []).append(held.select("entity", "value", F.lit(s.name).alias("_owner"), "_keys"))
-        self._commit({c: reduce(DataFrame.unionByName, d) for c, d in new.items()}, {}, {}, None)
+        self._commit({c: reduce(DataFrame.unionByName, d) for c, d in new.items()}, {}, {}, None, held={c: k for c, k in sizes.items() if c not in looked_up}, fresh=frozenset(new) - looked_up)
 
     def _tracked(self) -> set[str]:
         return {n for n in {*self.world.tables, *self.world.fused} if not self.registry[n].untracked}
@@ -1045,6 +1111,8 @@ class Engine:
             if last == high:
                 continue
             self._cleaned[c.name] = high
+            if c.name in self.world.births and all(self._uniform(n) == rev for n, rev in self._sure.get(c.name, ())):
+                continue  # whatever its entities came from is as it was
             held = self.world.table(c.name)
             each = held.select("entity", "_rev", F.explode_outer("value").alias("a")).select("entity", "_rev", F.col("a.entity").alias("_from"), F.col("a.rev").alias("_was"))
             if last >= 0:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A change of at most this share of a table is kept as a layer over it; beyond it the table is written anew.
 LAYER_SHARE = 0.25
+#: Parts of a table whose rows were put beside each other, at most; beyond it they are written as one.
+PARTS = 32
 #: Rows up to which the keys of a layer are broadcast; beyond it both sides shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -95,6 +97,7 @@ class Layered:
     delta: DataFrame | None = None
     n_delta: int = 0
     n: int = 0
+    parts: int = 1
 
     def rows(self) -> DataFrame:
         if self.delta is None:
@@ -111,7 +114,7 @@ class Layered:
         if self.delta is not None:
             change, seen = storage.counted(self.delta.join(small(change.select(self.key), n_change), self.key, "left_anti").unionByName(change))
             n_change = seen["n"]
-        layered = Layered(self.key, self.base, self.n_base, change, n_change, n)
+        layered = Layered(self.key, self.base, self.n_base, change, n_change, n, self.parts)
         if n_change <= LAYER_SHARE * self.n_base:
             return layered
         return Layered(self.key, storage.save(layered.rows()), n, None, 0, n)

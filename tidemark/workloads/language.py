@@ -159,7 +159,8 @@ def rules() -> list[System]:
 
     @system("parse_file", Query(Entity(), "FileText"), keeps=True)
     def parse_file(rows, keep):
-        found = keep(rows.select("_keys", col("p0.entity").alias("entity"), col("p0.FileText").alias("text")).mapInPandas(_parse, DECLARED))
+        texts = rows.select("_keys", col("p0.entity").alias("entity"), col("p0.FileText").alias("text"))
+        found = keep(texts.repartition("entity").mapInPandas(_parse, DECLARED))  # a small file is one partition, however many texts its rows make
         span = F.struct("kind", "name", "start", "end")
         some = lambda kinds: found.where(F.col("kind").isin(kinds)).withColumn("BelongsToFile", F.col("file"))
         yield Spawn(some(["import"]).withColumn("ImportDecl", span), ("ImportDecl", "BelongsToFile"), "nth", anchors)
